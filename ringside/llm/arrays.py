@@ -6,7 +6,8 @@ code points agree about where a word ends. Hashes are 64-bit; sums and products
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2**64."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        size = max(n, 1 << 21)
+        size = 1 << (n - 1).bit_length() if n > 1 else 1
         steps = np.full(size, base, dtype=U64)
         steps[0] = 1
         known = np.cumprod(steps, dtype=U64)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = known
     return known[:n]
 
@@ -72,7 +73,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together; a longer text has a range of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -185,3 +186,12 @@ def cut_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     ).cast(pa.binary())
+
+
+def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; afterwards the worker's freed memory goes back to the system."""
+    yield from batches
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return

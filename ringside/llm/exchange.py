@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.arrays import U64, changes, cut_binary, from_planes, mix64, planes
+from ringside.llm.arrays import U64, changes, cut_binary, from_planes, mix64, planes, trimmed
 from ringside.llm.session import partitions
 
 PACKED = "bucket int, kind int, docs binary, keys binary, extra binary"
@@ -34,11 +34,12 @@ def rows_of(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
     for row in rows:
         held.append(row)
         size += sum(len(x) for x in row[2:])
-        if size > 1 << 23 or len(held) >= 1024:
+        if size > 1 << 22 or len(held) >= 1024:
             yield batch()
             held, size = [], 0
     if held:
         yield batch()
+    yield from trimmed(())
 
 
 def split(bucket: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -46,7 +46,7 @@ from ringside.llm.session import bucket_bits, partitions, small_batches
 #: Bytes of an anchor's hash that are sent, besides the bits that choose its bucket.
 ANCHOR_BYTES = 5
 #: Bytes of text whose keys one map task holds before it packs them.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -182,11 +182,12 @@ def _send_runs(kind: Windows, bits: int) -> Callable:
 
 def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(texts, facts, runs, bits): texts dealt by doc; facts with one row per document, its class's smallest
-    document as ``rep``; and the runs of windows that may be shared, packed by anchor bucket."""
+    document as ``rep``; and the runs of windows that may be shared, packed by anchor bucket.
+
+    ``docs`` has no null doc. Both uses of ``texts`` are inner joins on doc, so that Spark shuffles it once."""
     small_batches(docs.sparkSession)
     bits = bucket_bits(docs, "text")
-    known = docs.where("doc is not null")
-    table = X.shared_keys(known.select("doc", "text").mapInArrow(_send_anchors(kind, bits), X.PACKED), bits, ANCHOR_BYTES)
+    table = X.shared_keys(docs.select("doc", "text").mapInArrow(_send_anchors(kind, bits), X.PACKED), bits, ANCHOR_BYTES)
     facts = table.join(X.classes(table), "sig", "left").select("doc", F.coalesce("rep", "doc").alias("rep"), "size", "keys")
     texts = docs.repartition(partitions(docs.sparkSession), "doc")
     some = facts.where("rep = doc and length(keys) > 0").select(F.col("doc").alias("key_doc"), "keys")

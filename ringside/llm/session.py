@@ -34,7 +34,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucket_bits(docs: DataFrame, text: str = "text", bytes_per_bucket: int = 8 << 20) -> int:
+def bucket_bits(docs: DataFrame, text: str = "text", bytes_per_bucket: int = 2 << 20) -> int:
     """log2 of the number of hash buckets, so that one bucket holds the keys of about ``bytes_per_bucket`` of text.
 
     Counted over the whole table; it changes how the work is cut, never the result.

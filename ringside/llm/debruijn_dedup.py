@@ -135,15 +135,15 @@ def _cut(length: int) -> Callable:
 
 def remove_repeated_words(docs: DataFrame, length: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed, in words) and kept (remaining words, one space between) of every row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), R.Windows(length, max(1, min(ANCHOR_WORDS, length)), words=True))
     paths = compacted(X.dealt(runs).mapInArrow(_fragments, FRAGMENT))
     salt = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
     asks = paths.groupBy(F.col("src"), salt.alias("salt")).agg(F.collect_list(F.struct("doc", "start", "n", "src_start")).alias("asks"))
     # A source row that repeats gives the same digests again, and they are taken once.
-    read = texts.join(asks, F.col("doc") == F.col("src")).select("text", "asks").mapInArrow(_read_sources(length), "doc long, start long, n long, digest binary")
+    read = texts.join(asks, F.col("doc") == F.col("src")).select("body", "asks").mapInArrow(_read_sources(length), "doc long, start long, n long, digest binary")
     found = read.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))
     notes = facts.join(found, "doc", "left").select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "paths")
-    noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "text", "copy", "paths")
-    nameless = docs.where("doc is null").select("doc", "text", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["paths"].dataType).alias("paths"))
+    noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "paths")
+    nameless = docs.where("doc is null").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["paths"].dataType).alias("paths"))
     return noted.union(nameless).mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")

@@ -127,7 +127,7 @@ def _send_anchors(kind: Windows, bits: int) -> Callable:
 
 
 def _send_runs(kind: Windows, bits: int) -> Callable:
-    """From doc, text, keys: the windows whose anchor is shared, as runs by the anchor's bucket."""
+    """From doc, body, keys: the windows whose anchor is shared, as runs by the anchor's bucket."""
     shift = U64(64 - bits - 8 * ANCHOR_BYTES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +184,14 @@ def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, D
     """(texts, facts, runs, bits): texts dealt by doc; facts with one row per document, its class's smallest
     document as ``rep``; and the runs of windows that may be shared, packed by anchor bucket.
 
-    ``docs`` has no null doc. Both uses of ``texts`` are inner joins on doc, so that Spark shuffles it once."""
+    ``docs`` has doc, never null, and body. Both uses of ``texts`` are inner joins on doc, so that Spark shuffles it once."""
     small_batches(docs.sparkSession)
-    bits = bucket_bits(docs, "text")
-    table = X.shared_keys(docs.select("doc", "text").mapInArrow(_send_anchors(kind, bits), X.PACKED), bits, ANCHOR_BYTES)
+    bits = bucket_bits(docs, "body")
+    table = X.shared_keys(docs.select("doc", "body").mapInArrow(_send_anchors(kind, bits), X.PACKED), bits, ANCHOR_BYTES)
     facts = table.join(X.classes(table), "sig", "left").select("doc", F.coalesce("rep", "doc").alias("rep"), "size", "keys")
     texts = docs.repartition(partitions(docs.sparkSession), "doc")
     some = facts.where("rep = doc and length(keys) > 0").select(F.col("doc").alias("key_doc"), "keys")
-    runs = texts.join(some, F.col("doc") == F.col("key_doc")).select("doc", "text", "keys").mapInArrow(_send_runs(kind, bits), X.PACKED)
+    runs = texts.join(some, F.col("doc") == F.col("key_doc")).select("doc", "body", "keys").mapInArrow(_send_runs(kind, bits), X.PACKED)
     return texts, facts.drop("keys"), runs, bits
 
 

@@ -124,11 +124,11 @@ def _cut(length: int) -> Callable:
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes) and kept (the remaining bytes) of every row of ``docs``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     kind = R.Windows(length, max(1, round(length * ANCHOR_SHARE)), words=False)
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), kind)
     intervals = X.dealt(X.dealt(runs).mapInArrow(_judge(length, bits), X.PACKED)).mapInArrow(R.gather_intervals, "doc long, intervals binary")
     notes = facts.join(intervals, "doc", "left").select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "intervals")
-    noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "text", "copy", "intervals")
-    nameless = docs.where("doc is null").select("doc", "text", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("intervals"))
+    noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "intervals")
+    nameless = docs.where("doc is null").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("intervals"))
     return noted.union(nameless).mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

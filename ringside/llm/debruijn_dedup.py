@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
-from ringside.llm.arrays import SPACE, changes, spread, text_buffers, word_spans
+from ringside.llm.arrays import SPACE, changes, spread, text_buffers, trimmed, word_spans
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
@@ -49,23 +49,28 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> byte
 
 def _fragments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, packed in X.by_bucket(batches):
-        docs, start, count, content = R.unpack_runs(packed)
-        edge = content.view("<u8")
-        run = np.repeat(np.arange(len(docs)), count)
-        holder, place = docs[run], spread(start, count)
+        runs = R.unpack_runs(packed, lambda n: n * 8)
+        docs, start, count, own = runs.docs, runs.start, runs.count, runs.first
+        edge = runs.data.view("<u8")
+        holder, place = np.repeat(docs[own], count[own]), spread(start[own], count[own])
         order = np.lexsort((place, holder, edge))
         first = changes(edge[order])
         length = np.diff(np.append(first, len(edge)))
         src, src_place = np.empty_like(holder), np.empty_like(place)
         src[order] = np.repeat(holder[order][first], length)
         src_place[order] = np.repeat(place[order][first], length)
-        flags = holder > src
-        new = changes(run, flags, src, src_place - place)
-        n = np.diff(np.append(new, len(edge)))
-        n, new = n[flags[new]], new[flags[new]]
-        for i in range(0, len(new), 1 << 16):
-            at = new[i : i + (1 << 16)]
-            yield pa.record_batch([pa.array(x) for x in (holder[at], place[at], n[i : i + (1 << 16)], src[at], src_place[at])], ["doc", "start", "n", "src", "src_start"])
+        where = (np.cumsum(count[own]) - count[own])[runs.which]
+        for some in R.portions(count):
+            at = spread(where[some], count[some])
+            run, holder, place = np.repeat(np.arange(len(docs[some])), count[some]), np.repeat(docs[some], count[some]), spread(start[some], count[some])
+            source, source_place = src[at], src_place[at]
+            flags = holder > source
+            new = changes(run, flags, source, source_place - place)
+            n = np.diff(np.append(new, len(run)))
+            n, new = n[flags[new]], new[flags[new]]
+            if len(new):
+                yield pa.record_batch([pa.array(x) for x in (holder[new], place[new], n, source[new], source_place[new])], ["doc", "start", "n", "src", "src_start"])
+    yield from trimmed(())
 
 
 def compacted(fragments: DataFrame) -> DataFrame:

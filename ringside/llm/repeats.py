@@ -137,9 +137,11 @@ def _send_runs(kind: Windows, bits: int) -> Callable:
             def flush() -> Iterator[tuple]:
                 bucket, docs, start, count, content, length = (np.concatenate(x) for x in zip(*held, strict=True))
                 begin = np.cumsum(length) - length
+                raw = content.tobytes()
                 for b, at in X.split(bucket, 1 << bits):
-                    blob = content[spread(begin[at], length[at])].tobytes()
-                    yield b, X.KEYS, planes(docs[at], 8), blob, planes(start[at], 4) + planes(count[at], 4)
+                    seen: dict[bytes, int] = {}
+                    which = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(begin[at].tolist(), (begin + length)[at].tolist(), strict=True)])
+                    yield b, X.KEYS, planes(docs[at], 8), b"".join(seen), planes(start[at], 4) + planes(count[at], 4) + planes(which, 4)
 
             for batch in batches:
                 doc = batch.column(0).to_numpy()
@@ -195,12 +197,51 @@ def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, D
     return texts, facts.drop("keys"), runs, bits
 
 
-def unpack_runs(packed: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start and number of windows of every run, and the runs' contents."""
-    docs = np.concatenate([from_planes(d, 8).view(np.int64) for _, d, _, _ in packed])
-    extra = [(from_planes(x[: len(x) // 2], 4).astype(np.int64), from_planes(x[len(x) // 2 :], 4).astype(np.int64)) for *_, x in packed]
-    start, count = (np.concatenate(x) for x in zip(*extra, strict=True))
-    return docs, start, count, np.frombuffer(b"".join(k for _, _, k, _ in packed), np.uint8)
+@dataclass
+class Runs:
+    """Runs of one bucket: document, first window, number of windows and content number of each, and the contents.
+
+    Runs with equal contents are sent once by a task and judged once, however many documents hold them; ``first`` is
+    the first run (by document, then place) of each content, ``begin`` and ``data`` are its bytes.
+    """
+
+    docs: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    which: np.ndarray
+    first: np.ndarray
+    begin: np.ndarray
+    data: np.ndarray
+
+
+def unpack_runs(packed: list[tuple], size: Callable[[np.ndarray], np.ndarray]) -> Runs:
+    """``size``: bytes of a content with so many windows."""
+    docs, starts, counts, which, seen = [], [], [], [], {}
+    for _, d, content, extra in packed:
+        start, count, local = (from_planes(extra[i * len(extra) // 3 : (i + 1) * len(extra) // 3], 4).astype(np.int64) for i in range(3))
+        lengths = np.zeros(int(local.max()) + 1, np.int64)
+        lengths[local] = size(count)
+        ends = np.cumsum(lengths)
+        number = [seen.setdefault(content[a:b], len(seen)) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        docs.append(from_planes(d, 8).view(np.int64))
+        starts.append(start)
+        counts.append(count)
+        which.append(np.array(number, np.int64)[local])
+    docs, starts, counts, which = (np.concatenate(x) for x in (docs, starts, counts, which))
+    order = np.lexsort((starts, docs, which))
+    first = order[changes(which[order])]
+    length = np.fromiter(map(len, seen), np.int64, len(seen))
+    return Runs(docs, starts, counts, which, first, np.cumsum(length) - length, np.frombuffer(b"".join(seen), np.uint8))
+
+
+def portions(count: np.ndarray, limit: int = 1 << 18) -> Iterator[slice]:
+    """Slices of runs with about ``limit`` windows together."""
+    total = np.cumsum(count)
+    first = 0
+    while first < len(count):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + limit, "right")))
+        yield slice(first, last)
+        first = last
 
 
 def flagged_intervals(flags: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,25 +68,24 @@ def _judge(length: int, bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for _, packed in X.by_bucket(batches):
-                docs, start, count, data = R.unpack_runs(packed)
-                size = count + length - 1
-                suffix = spread(np.cumsum(size) - size, count)
-                owner = np.repeat(np.arange(len(docs)), count)
-                order, first = radix_groups(data, suffix, length)
-                if not len(order):
-                    continue
-                holder = docs[owner[order]]
-                least = np.repeat(np.minimum.reduceat(holder, first), np.diff(np.append(first, len(order))))
-                flags = np.zeros(len(suffix), bool)
-                flags[order] = holder > least
-                at, n = R.flagged_intervals(flags, owner)
-                if not len(at):
-                    continue
-                run_of = owner[at]
-                begin = start[run_of] + at - (np.cumsum(count) - count)[run_of]
-                found = docs[run_of]
-                for b, i in X.split(X.doc_bucket(found, bits), 1 << bits):
-                    yield b, X.KEYS, planes(found[i], 8), planes(begin[i], 4), planes(begin[i] + n[i] + length - 1, 4)
+                runs = R.unpack_runs(packed, lambda n: n + length - 1)
+                docs, start, count, own = runs.docs, runs.start, runs.count, runs.first
+                suffix = spread(runs.begin, count[own])
+                least = np.repeat(docs[own], count[own])
+                order, first = radix_groups(runs.data, suffix, length)
+                if len(order):
+                    least[order] = np.repeat(np.minimum.reduceat(least[order], first), np.diff(np.append(first, len(order))))
+                place = (np.cumsum(count[own]) - count[own])[runs.which]
+                for some in R.portions(count):
+                    holder = np.repeat(docs[some], count[some])
+                    flags = holder > least[spread(place[some], count[some])]
+                    at, n = R.flagged_intervals(flags, np.repeat(np.arange(len(docs[some])), count[some]))
+                    if not len(at):
+                        continue
+                    begin = spread(start[some], count[some])[at]
+                    found = holder[at]
+                    for b, i in X.split(X.doc_bucket(found, bits), 1 << bits):
+                        yield b, X.KEYS, planes(found[i], 8), planes(begin[i], 4), planes(begin[i] + n[i] + length - 1, 4)
 
         yield from X.rows_of(rows())
 

@@ -30,7 +30,8 @@ from pyspark.sql.window import Window
 
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
-from ringside.llm.arrays import SPACE, changes, spread, text_buffers, trimmed, word_spans
+from ringside.llm.arrays import SPACE, changes, spread, trimmed, unpacked, word_spans
+from ringside.llm.rows import pack_rows
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
@@ -87,7 +88,7 @@ def compacted(fragments: DataFrame) -> DataFrame:
 def _read_sources(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
+            data, offsets = unpacked(batch.column(0))
             out = []
             for i, asks in enumerate(batch.column(1).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]]
@@ -102,10 +103,10 @@ def _read_sources(length: int) -> Callable:
     return run
 
 
-def _cut(length: int) -> Callable:
+def _cut(length: int, as_is: bool, carried: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = unpacked(batch.column(1))
             copies = batch.column(2).to_pylist()
             found = batch.column(3).to_pylist()
             sizes, removed, kept, spans = [], [], [], []
@@ -122,7 +123,7 @@ def _cut(length: int) -> Callable:
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype(np.int8)))
                 sizes.append(len(starts))
                 removed.append(int(out.sum()))
-                kept.append(joined_words(text, starts[~out], ends[~out]))
+                kept.append(joined_words(text, starts[~out], ends[~out]) if removed[-1] or not as_is else text.tobytes())
                 spans.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
             yield pa.record_batch(
                 [
@@ -131,16 +132,23 @@ def _cut(length: int) -> Callable:
                     pa.array(removed, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array(kept, pa.binary()).cast(pa.string()),
+                    *(batch.column(4 + i) for i in range(len(carried))),
                 ],
-                ["doc_id", "n_words", "n_removed", "spans", "kept"],
+                ["doc_id", "n_words", "n_removed", "spans", "kept", *carried],
             )
 
     return run
 
 
-def remove_repeated_words(docs: DataFrame, length: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, spans (removed, in words) and kept (remaining words, one space between) of every row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
+def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False, carry: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, spans (removed, in words) and kept (remaining words, one space between) of every row.
+
+    With ``as_is``, texts that lose nothing are kept as they are. Columns to ``carry`` along follow (of a doc_id's rows,
+    the smallest values).
+    """
+    extra = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), *extra)
+    carried = [f"carried_{i}" for i in range(len(carry))]
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), R.Windows(length, max(1, min(ANCHOR_WORDS, length)), words=True))
     paths = compacted(X.dealt(runs).mapInArrow(_fragments, FRAGMENT))
     salt = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
@@ -148,7 +156,13 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, doc_id: str = "doc_
     # A source row that repeats gives the same digests again, and they are taken once.
     read = texts.join(asks, F.col("doc") == F.col("src")).select("body", "asks").mapInArrow(_read_sources(length), "doc long, start long, n long, digest binary")
     found = read.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))
-    notes = facts.join(found, "doc", "left").select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "paths")
-    noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "paths")
-    nameless = docs.where("doc is null").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["paths"].dataType).alias("paths"))
-    return noted.union(nameless).mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+    notes = facts.join(found, "doc", "left")
+    if carried:
+        notes = notes.join(docs.where("doc is not null").groupBy("doc").agg(F.min(F.struct(*carried)).alias("carried")), "doc")
+    notes = notes.select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "paths", *(f"carried.{c}" for c in carried))
+    noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "paths", *carried)
+    nobody = docs.where("doc is null")
+    nameless = pack_rows(nobody, "body").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["paths"].dataType).alias("paths"), *carried)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    out = noted.union(nameless).mapInArrow(_cut(length, as_is, carried), f"doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string{kinds}")
+    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

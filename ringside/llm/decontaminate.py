@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,17 +243,15 @@ def _count_hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(3).cast(pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit and items (ids of the items with a window in the text) of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _prepared(docs: DataFrame, benchmark: DataFrame, length: int, broadcast_windows: int) -> tuple[Callable | None, DataFrame]:
+    """What finds the windows in a batch of doc_id and text, if they may be broadcast; and the windows."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     windows = items.mapInArrow(_windows(length), "item_id long, window binary")
     distinct = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
     rows = distinct.limit(broadcast_windows + 1).collect()
     if len(rows) > broadcast_windows or sum(len(r["items"]) for r in rows) > 8 * broadcast_windows:
-        return _shuffled(docs, windows, length)
+        return None, windows
     bench = bench_of(sorted(rows, key=lambda r: bytes(r["window"])), length)
     window, place, size, value = bench.tokens()
     sizes = np.unique(size).tolist()
@@ -268,7 +267,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, broad
         at = order[size[order] == n]
         at = at[np.argsort(value[at], kind="stable")]
         prefix.append((n, value[at], window[at], place[at]))
-    return docs.mapInArrow(_match(bench, prefix), f"doc_id long, {FOUND}")
+    return _match(bench, prefix), windows
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """doc_id, n_words, n_hit and items (ids of the items with a window in the text) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    match, windows = _prepared(docs, benchmark, length, broadcast_windows)
+    return _shuffled(docs, windows, length) if match is None else docs.mapInArrow(match, f"doc_id long, {FOUND}")
+
+
+def _clean(match: Callable, at: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.record_batch([pa.nulls(batch.num_rows), batch.column(at)], ["doc_id", "text"])
+            for out in match([texts]):
+                yield batch.filter(pc.equal(out.column(2), 0))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, whole, whose text holds no window of an item."""
+    match, windows = _prepared(docs, benchmark, length, broadcast_windows)
+    if match is not None:
+        return docs.mapInArrow(_clean(match, docs.columns.index("text")), docs.schema)
+    found = _shuffled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows, length)
+    held = found.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")
 
 
 def _shuffled(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:

@@ -13,8 +13,8 @@
    no list of pairs leaves it.
 4. Links join to components, by ``components``.
 
-Shingles are compared by 48 bits of hash and more (the bucket's bits): for two documents of n shingles a false
-match has a probability below n * n / 2**53.
+Shingles are compared by 45 bits of hash or more (40 and the bucket's, which grow with the table): for two documents of
+n shingles, the chance of one false match is below n * n / 2**45.
 
 Defined results: null and wordless texts have an empty set, component = their own id and no link; a text of fewer
 words than a shingle has its whole sequence as the one shingle; rows that repeat a doc_id must repeat its text, count
@@ -39,7 +39,7 @@ from ringside.llm.repeats import PACK_BYTES, smallest_of_copies
 from ringside.llm.session import bucket_bits, partitions, small_batches, written
 
 #: Bytes of a shingle's hash that are sent, besides the bits that choose its bucket.
-SHINGLE_BYTES = 6
+SHINGLE_BYTES = 5
 #: Documents of one tile of a candidate cluster.
 TILE = 1024
 #: What a candidate costs, measured in prefix entries.
@@ -267,7 +267,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     facts = table.join(member.where("sig is not null and weight > 1"), "sig", "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"), "keys", "counts")
 
     prefixed = facts.where("rep = doc and keys is not null").select("doc", "size", "keys", "counts").mapInArrow(_prefixes(percent), "doc long, size long, k int, head array<long>, keys binary")
-    prefixed = written(prefixed, "prefixes")
     entry = prefixed.select("doc", F.explode("head").alias("token"))
     pivot = entry.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("token", "pivot")
     cluster = components(entry.join(pivot, "token").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))

@@ -33,11 +33,13 @@ from ringside.llm.arrays import (
     from_planes,
     gram_hashes,
     inside_texts,
+    packed as packed_texts,
     planes,
     slices,
     sliding_min,
     spread,
     text_buffers,
+    unpacked,
     word_hashes,
     word_spans,
 )
@@ -145,7 +147,7 @@ def _send_runs(kind: Windows, bits: int) -> Callable:
 
             for batch in batches:
                 doc = batch.column(0).to_numpy()
-                data, offsets = text_buffers(batch.column(1))
+                data, offsets = unpacked(batch.column(1))
                 shared = batch.column(2).to_pylist()
                 for i, j in slices(offsets):
                     part = data[offsets[i] : offsets[j]]
@@ -182,8 +184,18 @@ def _send_runs(kind: Windows, bits: int) -> Callable:
     return run
 
 
+def packed_bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), packed_texts(batch.column(1))], ["doc", "body"])
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """doc and body, packed."""
+    return docs.select("doc", "body").mapInArrow(packed_bodies, "doc long, body binary")
+
+
 def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(texts, facts, runs, bits): texts dealt by doc; facts with one row per document, its class's smallest
+    """(texts, facts, runs, bits): packed texts dealt by doc; facts with one row per document, its class's smallest
     document as ``rep``; and the runs of windows that may be shared, packed by anchor bucket.
 
     ``docs`` has doc, never null, and body. Both uses of ``texts`` are inner joins on doc, so that Spark shuffles it once."""
@@ -191,7 +203,7 @@ def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, D
     bits = bucket_bits(docs, "body")
     table = X.shared_keys(docs.select("doc", "body").mapInArrow(_send_anchors(kind, bits), X.PACKED), bits, ANCHOR_BYTES)
     facts = table.join(X.classes(table), "sig", "left").select("doc", F.coalesce("rep", "doc").alias("rep"), "size", "keys")
-    texts = docs.repartition(partitions(docs.sparkSession), "doc")
+    texts = bodies(docs).repartition(partitions(docs.sparkSession), "doc")
     some = facts.where("rep = doc and length(keys) > 0").select(F.col("doc").alias("key_doc"), "keys")
     runs = texts.join(some, F.col("doc") == F.col("key_doc")).select("doc", "body", "keys").mapInArrow(_send_runs(kind, bits), X.PACKED)
     return texts, facts.drop("keys"), runs, bits

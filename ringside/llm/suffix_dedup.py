@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
-from ringside.llm.arrays import U64, changes, planes, spread, text_buffers
+from ringside.llm.arrays import U64, changes, planes, spread, unpacked
 
 #: Grams of this share of a window are anchors.
 ANCHOR_SHARE = 0.52
@@ -95,7 +95,7 @@ def _judge(length: int, bits: int) -> Callable:
 def _cut(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = unpacked(batch.column(1))
             copies = batch.column(2).to_pylist()
             found = batch.column(3).to_pylist()
             kept, spans = [], []
@@ -129,5 +129,5 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_
     intervals = X.dealt(X.dealt(runs).mapInArrow(_judge(length, bits), X.PACKED)).mapInArrow(R.gather_intervals, "doc long, intervals binary")
     notes = facts.join(intervals, "doc", "left").select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "intervals")
     noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "intervals")
-    nameless = docs.where("doc is null").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("intervals"))
+    nameless = R.bodies(docs.where("doc is null")).select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("intervals"))
     return noted.union(nameless).mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

@@ -28,12 +28,12 @@ from ringside.llm.arrays import U64, changes, planes, spread, unpacked
 ANCHOR_SHARE = 0.52
 
 
-def digits(data: np.ndarray, width: int) -> np.ndarray:
-    """The ``width`` bytes from every place on, as one number whose order is theirs."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    out = np.zeros(len(data), U64)
+def digits(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from some places on, as numbers whose order is theirs."""
+    out = np.zeros(len(at), U64)
     for j in range(width):
-        out = (out << U64(8)) | padded[j : j + len(data)]
+        out <<= U64(8)
+        out |= data[at + j]
     return out
 
 
@@ -46,8 +46,7 @@ def radix_groups(data: np.ndarray, suffix: np.ndarray, depth: int) -> tuple[np.n
     first = np.zeros(1 if len(suffix) else 0, np.int64)
     for done in range(0, depth, 8):
         width = min(8, depth - done)
-        table = digits(data, width)
-        key = table[suffix[order] + done]
+        key = digits(data, suffix[order] + done, width)
         length = np.diff(np.append(first, len(order)))
         uneven = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first) if len(first) else np.zeros(0, bool)
         group = np.repeat(np.arange(len(first)), length)

@@ -88,4 +88,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+CODES = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+NO_NULL = "coalesce(text, '')"
+
+#: What no SQL says: learned prototypes (op1), a tokenizer (op6), pseudorandom draws (op10).
+ORACLES: dict[str, str] = {
+    "op2_chat_format": r"""with turns as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) as turns_sha256,
+  cast(coalesce(sum(length(t)) filter (r = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) as loss_sha256,
+  cast(sum(21 + length(r) + length(t) + len(regexp_extract_all(r || ' ' || t, '[<\[]\\*(s>|/s>|INST\]|/INST\])'))) as bigint) as formatted_chars
+from turns group by conv_id""",
+    "op3_exact_top_k": """with v as (
+  select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings
+), bad as (select distinct vec_id from v where x is null or not isfinite(x)), q as (
+  select vec_id, i, cast(floor(256 * x) as bigint) as c from v where vec_id not in (select vec_id from bad)
+), s as (
+  select a.vec_id as query_id, b.vec_id, cast(sum(a.c * b.c) as bigint) as score from q a join q b on a.i = b.i and a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by 1, 2
+)
+select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s) where rank <= 5""",
+    "op4_ngram_jaccard_join": f"""with recursive w as (select doc_id, {WORDS.format(LOWER)} as w from documents), g as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w
+), n as (select doc_id, count(*) as n from g group by doc_id), o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)
+), reach as (select a, a as b from links union select reach.a, links.b from reach join links on links.a = reach.b), c as (select a, min(b) as c from reach group by a), l as (select a, count(*) as l from links group by a
+), sets as (select doc_id, list_sort(list(g)) as s from g group by doc_id), class as (select doc_id, min(doc_id) over (partition by s) as class_id from sets)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c, w.doc_id) as component_id, coalesce(class_id, w.doc_id) as class_id, coalesce(l, 0) as n_links
+from w left join n using (doc_id) left join c on c.a = w.doc_id left join l on l.a = w.doc_id left join class using (doc_id)""",
+    "op5_suffix_array_dedup": f"""with t as (select doc_id, hex(encode({NO_NULL})) as h, cast(strlen({NO_NULL}) as bigint) as n from documents), k as (
+  select doc_id, unnest(range(1, n - 48)) as i, unnest(list_transform(range(1, n - 48), lambda i: substr(h, 2 * i - 1, 100))) as k from t where n >= 50
+), m as (select k, min(doc_id) as d from k group by k having min(doc_id) < max(doc_id)), c as (select doc_id, i from k join m using (k) where m.d < doc_id
+), p as (select doc_id, unnest(range(1, n + 1)) as i, unnest(list_transform(range(1, n + 1), lambda i: substr(h, 2 * i - 1, 2))) as b from t), e as (
+  select p.doc_id, p.i, b, max(c.i) over (partition by p.doc_id order by p.i) >= p.i - 49 as gone from p left join c on c.doc_id = p.doc_id and c.i = p.i
+), f as (select *, coalesce(gone, false) as out from e), s as (select *, out and not coalesce(lag(out) over (partition by doc_id order by i), false) as first from f
+), r as (select doc_id, count(*) filter (out) as n_removed, count(*) filter (first) as n_spans, string_agg(b, '' order by i) filter (not out) as kept from s group by doc_id)
+select t.doc_id, t.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from t left join r using (doc_id)""",
+    "op7_warc": """with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, strlen(h) as n, sha1(h) as d, case when strlen(h) >= 1000 then max(page_id) over (partition by h) end as m from p)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when page_id < m then 'revisit' else 'response' end as record_type, case when page_id < m then m end as refers_to from d""",
+    "op8_substring_dedup": f"""with t as (select doc_id, {WORDS.format(NO_NULL)} as w from documents), k as (
+  select doc_id, unnest(range(1, len(w) - 11)) as i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) as k from t where len(w) > 12
+), p as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from t), m as (select k, min(doc_id) as d from k group by k having min(doc_id) < max(doc_id)), c as (select doc_id, i from k join m using (k) where m.d < doc_id
+), f as (select p.doc_id, p.i, word, coalesce(max(c.i) over (partition by p.doc_id order by p.i) >= p.i - 12, false) as out from p left join c on c.doc_id = p.doc_id and c.i = p.i
+), r as (select doc_id, count(*) filter (out) as n_removed, string_agg(word, ' ' order by i) filter (not out) as kept from f group by doc_id)
+select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join r using (doc_id)""",
+    "op9_decontaminate": f"""with b as (select item_id, {CODES.format(LOWER)} as w from benchmark where item_id is not null), bw as (
+  select item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) as k, least(len(w), 10) as n from b where len(w) > 0
+), t as (select doc_id, {CODES.format(LOWER)} as w from documents), sizes as (select distinct n from bw), k as (
+  select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as k from t join sizes on n <= len(w)
+), hit as (select doc_id, i, k.n, item_id from k join bw on bw.k = k.k and bw.n = k.n), c as (select distinct doc_id, unnest(range(i, i + n)) as i from hit), h as (select doc_id, count(*) as n_hit from c group by doc_id
+), x as (select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct doc_id, cast(item_id as varchar) as name from hit) group by doc_id)
+select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from t left join h using (doc_id) left join x using (doc_id)""",
+}

@@ -33,6 +33,7 @@ from ringside.llm.arrays import (
     from_planes,
     gram_hashes,
     inside_texts,
+    mix64,
     packed as packed_texts,
     planes,
     slices,
@@ -75,7 +76,8 @@ class Windows:
         if not len(starts):
             return starts, text, np.zeros(0, U64)
         lowest = sliding_min(self.grams(tokens, self.gram), self.length - self.gram + 1)
-        return starts, text, lowest[starts]
+        # Minima are small numbers; mixed again, they spread evenly over the buckets.
+        return starts, text, mix64(lowest[starts])
 
 
 def smallest_of_copies(ids: np.ndarray, sigs: list[bytes]) -> np.ndarray:

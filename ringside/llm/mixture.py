@@ -107,7 +107,8 @@ def ranked_in_order(rows: DataFrame, group: list[str], key: str, width: Column,
     before = Window.partitionBy(*group).orderBy("_range")
     sums = sums.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum")).drop("_sum")
     inside = Window.partitionBy(*group, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(sums, [*group, "_range"])
+    # Exploded rows look as small to the optimizer as what they came from; none of these sides may be broadcast.
+    joined = rows.hint("merge").join(sums.hint("merge"), [*group, "_range"])
     return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_range", "_before")
 
 
@@ -144,10 +145,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     pieces = units.withColumn("index", F.explode(F.sequence(first, last)))
     at = F.col("index") * block
     overlap = lambda take: F.greatest(F.lit(0), F.least(F.col("begin") + words, at + take) - F.greatest(F.col("begin"), at))
-    taken = pieces.join(used, ["rank", "index"]).withColumn("words", F.aggregate("takes", F.lit(0).cast("long"), lambda acc, take: acc + overlap(take)))
+    taken = pieces.hint("merge").join(used.hint("merge"), ["rank", "index"]).withColumn("words", F.aggregate("takes", F.lit(0).cast("long"), lambda acc, take: acc + overlap(take)))
     taken = taken.groupBy("rank", "doc_id", "size", "copies").agg(F.sum("words").alias("words"))
     taken = taken.select(F.col("rank").alias("of_rank"), F.col("doc_id").alias("of_doc"), F.col("size").alias("of_size"), "copies", "words")
     same = (F.col("of_rank") == F.col("rank")) & F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_size") == F.col("size"))
     share = F.floor(F.coalesce("words", F.lit(0)) / F.coalesce("copies", F.lit(1)))
-    result = known.join(taken, same, "left").select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+    result = known.join(taken.hint("merge"), same, "left").select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
     return Mix(documents, slots, result)

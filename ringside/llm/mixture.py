@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ringside.llm.session import written
+from ringside.llm.session import partitions, written
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 BLOCK = 64
@@ -73,14 +73,17 @@ def scrambled(value: Column, *keys: Column) -> Column:
     return F.xxhash64(value, *keys).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
-def permuted(place: Column, half: Column, *keys: Column) -> Column:
-    """A pseudorandom permutation of 0 .. 4**half - 1: a balanced Feistel network on two halves of ``half`` bits."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), half) - 1
-    left = F.call_function("shiftright", place, half)
-    right = place.bitwiseAND(mask)
+def permuted(rows: DataFrame, place: str, half: str, *keys: Column) -> DataFrame:
+    """``key``: a pseudorandom permutation of 0 .. 4**half - 1, by a balanced Feistel network on two halves of ``half`` bits.
+
+    Each round is a projection of its own, so that no round is computed twice.
+    """
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(half)) - 1
+    rows = rows.withColumn("_mask", mask).withColumns({"_left": F.call_function("shiftright", F.col(place), F.col(half)), "_right": F.col(place).bitwiseAND(F.col("_mask"))})
     for i in range(ROUNDS):
-        left, right = right, left.bitwiseXOR(scrambled(right, F.lit(i), *keys).bitwiseAND(mask))
-    return F.call_function("shiftleft", left, half) + right
+        turned = F.col("_left").bitwiseXOR(scrambled(F.col("_right"), F.lit(i), *keys).bitwiseAND(F.col("_mask")))
+        rows = rows.withColumns({"_left": F.col("_right"), "_right": turned})
+    return rows.withColumn("key", F.call_function("shiftleft", F.col("_left"), F.col(half)) + F.col("_right")).drop("_left", "_right", "_mask")
 
 
 def block_orders(sources: DataFrame, block: int, seed: int) -> DataFrame:
@@ -92,9 +95,10 @@ def block_orders(sources: DataFrame, block: int, seed: int) -> DataFrame:
     half = F.greatest(F.lit(1), F.ceil(F.log2(F.col("blocks").cast("double") + 1) / 2)).cast("int")
     rows = needed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("target") / F.col("source_size")).cast("int"))))
     rows = rows.where("floor(target) > epoch * source_size").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / CHUNK_DOCS))))
+    rows = rows.withColumn("half", half).repartition(partitions(sources.sparkSession), "rank", "epoch", "part")
     low = F.col("part") * CHUNK_DOCS
     rows = rows.withColumn("index", F.explode(F.sequence(low, F.least(low + CHUNK_DOCS, F.col("blocks")) - 1)))
-    return rows.withColumn("key", permuted(F.col("index"), half, F.lit(seed), F.col("rank"), F.col("epoch"))).withColumn("half", half).drop("part")
+    return permuted(rows, "index", "half", F.lit(seed), F.col("rank"), F.col("epoch")).drop("part")
 
 
 def ranked_in_order(rows: DataFrame, group: list[str], key: str, width: Column, value: Column, out: str) -> DataFrame:

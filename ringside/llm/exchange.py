@@ -162,6 +162,10 @@ def shared_keys(packed: DataFrame, bits: int, width: int) -> DataFrame:
 
 
 def classes(table: DataFrame) -> DataFrame:
-    """sig, rep: the smallest document of every signature that several documents share."""
-    grouped = table.groupBy("sig").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
-    return grouped.where("n > 1").select("sig", "rep")
+    """sig, rep, n: the smallest document of every signature that several documents share, and their number.
+
+    The signature is computed anew, so that a join on it gets shuffles of its own on both sides: only then can Spark
+    split the partition of a signature that very many documents have.
+    """
+    grouped = table.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return grouped.where("n > 1").select(F.substring("sig", 1, 16).alias("sig"), "rep", "n")

@@ -263,8 +263,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     table = X.shared_keys(known.mapInArrow(_send_shingles(words, bits), X.PACKED), bits, SHINGLE_BYTES)
     likely = F.expr(f"size > 0 and 100 * n_shared >= {percent} * size")
     table = written(table.select("doc", F.when(F.col("size") > 0, F.col("sig")).alias("sig"), "size", F.when(likely, F.col("keys")).alias("keys"), F.when(likely, F.col("counts")).alias("counts")), "sets")
-    member = table.groupBy("sig").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    facts = table.join(member.where("sig is not null and weight > 1"), "sig", "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"), "keys", "counts")
+    facts = table.join(X.classes(table), "sig", "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"), F.coalesce("n", F.lit(1)).alias("weight"), "keys", "counts")
 
     prefixed = facts.where("rep = doc and keys is not null").select("doc", "size", "keys", "counts").mapInArrow(_prefixes(percent), "doc long, size long, k int, head array<long>, keys binary")
     entry = prefixed.select("doc", F.explode("head").alias("token"))
@@ -286,6 +285,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     degree = found.where("other is null").groupBy("doc").agg(F.sum("links").alias("links"))
 
     at_class = joined.toDF("rep", "component").join(degree.withColumnRenamed("doc", "rep"), "rep", "full")
+    at_class = at_class.withColumn("rep", F.greatest("rep", "rep"))  # as in ``classes``: a class may hold very many documents
     result = facts.select("doc", "size", "rep", "weight").join(at_class, "rep", "left").select(
         F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"),
         F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.arrays import lean
 from ringside.llm.session import partitions, small_batches
 
 CHAT_TEMPLATE = (
@@ -442,9 +443,9 @@ def format_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE
     small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format(template), "conv_id long, segment int, text string, loss array<struct<start:int,end:int>>")
+    return rows.select("conv_id", "role", "text").mapInArrow(lean(_format(template)), "conv_id long, segment int, text string, loss array<struct<start:int,end:int>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of the turns and of what the loss mask covers, parsed from formatted conversations as they come."""
-    return formatted.mapInArrow(_read_back, READ)
+    return formatted.mapInArrow(lean(_read_back), READ)

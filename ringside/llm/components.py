@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.arrays import lean
 from ringside.llm.session import written
 
 
@@ -48,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder; rounds grow with the logarithm of the nodes. Nothing is collected but two sums a round.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    stars = written(edges.where("a <> b").select(a, b).mapInArrow(_forest, "a long, b long").distinct(), "stars")
+    stars = written(edges.where("a <> b").select(a, b).mapInArrow(lean(_forest), "a long, b long").distinct(), "stars")
     seen = None
     while True:
         stars = written(_small_star(_large_star(stars)).distinct(), "stars")

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
-from ringside.llm.arrays import SPACE, changes, spread, trimmed, unpacked, word_spans
+from ringside.llm.arrays import lean, SPACE, changes, spread, trimmed, unpacked, word_spans
 from ringside.llm.rows import pack_rows
 
 #: Words of an anchor.
@@ -150,11 +150,11 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), *extra)
     carried = [f"carried_{i}" for i in range(len(carry))]
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), R.Windows(length, max(1, min(ANCHOR_WORDS, length)), words=True))
-    paths = compacted(X.dealt(runs).mapInArrow(_fragments, FRAGMENT))
+    paths = compacted(X.dealt(runs).mapInArrow(lean(_fragments), FRAGMENT))
     salt = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
     asks = paths.groupBy(F.col("src"), salt.alias("salt")).agg(F.collect_list(F.struct("doc", "start", "n", "src_start")).alias("asks"))
     # A source row that repeats gives the same digests again, and they are taken once.
-    read = texts.join(asks, F.col("doc") == F.col("src")).select("body", "asks").mapInArrow(_read_sources(length), "doc long, start long, n long, digest binary")
+    read = texts.join(asks, F.col("doc") == F.col("src")).select("body", "asks").mapInArrow(lean(_read_sources(length)), "doc long, start long, n long, digest binary")
     found = read.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))
     notes = facts.join(found, "doc", "left")
     if carried:
@@ -164,5 +164,5 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     nobody = docs.where("doc is null")
     nameless = pack_rows(nobody, "body").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["paths"].dataType).alias("paths"), *carried)
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    out = noted.union(nameless).mapInArrow(_cut(length, as_is, carried), f"doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string{kinds}")
+    out = noted.union(nameless).mapInArrow(lean(_cut(length, as_is, carried)), f"doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string{kinds}")
     return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.arrays import LOWER, NOT_ALNUM, U64, changes, gram_hashes, inside_texts, mix64, slices, spread, text_buffers, word_hashes, word_spans
+from ringside.llm.arrays import lean, LOWER, NOT_ALNUM, U64, changes, gram_hashes, inside_texts, mix64, slices, spread, text_buffers, word_hashes, word_spans
 from ringside.llm.session import small_batches
 
 #: Words of a shingle.
@@ -247,7 +247,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, length: int, broadcast_wind
     """What finds the windows in a batch of doc_id and text, if they may be broadcast; and the windows."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    windows = items.mapInArrow(_windows(length), "item_id long, window binary")
+    windows = items.mapInArrow(lean(_windows(length)), "item_id long, window binary")
     distinct = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
     rows = distinct.limit(broadcast_windows + 1).collect()
     if len(rows) > broadcast_windows or sum(len(r["items"]) for r in rows) > 8 * broadcast_windows:
@@ -256,7 +256,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, length: int, broadcast_wind
     window, place, size, value = bench.tokens()
     sizes = np.unique(size).tolist()
     known = {n: np.unique(value[size == n]) for n in sizes}
-    counted = docs.select("text").mapInArrow(_frequencies(known), "n long, shingle long, count long") if sizes else None
+    counted = docs.select("text").mapInArrow(lean(_frequencies(known)), "n long, shingle long, count long") if sizes else None
     frequency = {(r["n"], r["shingle"]): r["count"] for r in counted.groupBy("n", "shingle").agg(F.sum("count").alias("count")).collect()} if sizes else {}
     rarity = np.fromiter((frequency.get(k, 0) for k in zip(size.tolist(), value.view(np.int64).tolist(), strict=True)), np.int64, len(value))
     order = np.lexsort((place, value, rarity, window))
@@ -274,7 +274,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, broad
     """doc_id, n_words, n_hit and items (ids of the items with a window in the text) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     match, windows = _prepared(docs, benchmark, length, broadcast_windows)
-    return _shuffled(docs, windows, length) if match is None else docs.mapInArrow(match, f"doc_id long, {FOUND}")
+    return _shuffled(docs, windows, length) if match is None else docs.mapInArrow(lean(match), f"doc_id long, {FOUND}")
 
 
 def _clean(match: Callable, at: int) -> Callable:
@@ -291,18 +291,18 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10
     """The rows of ``docs``, whole, whose text holds no window of an item."""
     match, windows = _prepared(docs, benchmark, length, broadcast_windows)
     if match is not None:
-        return docs.mapInArrow(_clean(match, docs.columns.index("text")), docs.schema)
+        return docs.mapInArrow(lean(_clean(match, docs.columns.index("text"))), docs.schema)
     found = _shuffled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows, length)
     held = found.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_held")).distinct()
     return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")
 
 
 def _shuffled(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    hashed = windows.distinct().mapInArrow(_bench_hashes(length), "item_id long, n long, one long, two long")
+    hashed = windows.distinct().mapInArrow(lean(_bench_hashes(length)), "item_id long, n long, one long, two long")
     sizes = [r["n"] for r in hashed.select("n").distinct().orderBy("n").collect()]
     keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    at = keyed.select("row", "text").distinct().mapInArrow(_doc_windows(length, sizes), "row long, start long, n long, one long, two long")
+    at = keyed.select("row", "text").distinct().mapInArrow(lean(_doc_windows(length, sizes)), "row long, start long, n long, one long, two long")
     hits = at.join(hashed, ["n", "one", "two"])
     found = hits.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("places"), F.sort_array(F.collect_set("item_id")).alias("items"))
     joined = keyed.join(found, "row", "left").select("doc_id", "text", "places", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
-    return joined.mapInArrow(_count_hits, f"doc_id long, {FOUND}")
+    return joined.mapInArrow(lean(_count_hits), f"doc_id long, {FOUND}")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.arrays import U64, changes, cut_binary, from_planes, mix64, planes, trimmed
+from ringside.llm.arrays import lean, U64, changes, cut_binary, from_planes, mix64, planes, trimmed
 from ringside.llm.session import partitions
 
 PACKED = "bucket int, kind int, docs binary, keys binary, extra binary"
@@ -157,8 +157,8 @@ def shared_keys(packed: DataFrame, bits: int, width: int) -> DataFrame:
 
     ``keys`` are those that another document sent too; counts say how many entries each has.
     """
-    found = dealt(packed).mapInArrow(_shared(bits, width), PACKED)
-    return dealt(found).mapInArrow(_gather(), "doc long, sig binary, size long, n_shared long, keys binary, counts binary")
+    found = dealt(packed).mapInArrow(lean(_shared(bits, width)), PACKED)
+    return dealt(found).mapInArrow(lean(_gather()), "doc long, sig binary, size long, n_shared long, keys binary, counts binary")
 
 
 def classes(table: DataFrame) -> DataFrame:

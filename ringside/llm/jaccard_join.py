@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringside.llm import exchange as X
-from ringside.llm.arrays import LOWER, SPACE, U64, changes, cut_binary, gram_hashes, inside_texts, mix64, slices, text_buffers, word_hashes, word_spans
+from ringside.llm.arrays import lean, LOWER, SPACE, U64, changes, cut_binary, gram_hashes, inside_texts, mix64, slices, text_buffers, word_hashes, word_spans
 from ringside.llm.components import components
 from ringside.llm.repeats import PACK_BYTES, smallest_of_copies
 from ringside.llm.session import bucket_bits, partitions, small_batches, written
@@ -260,12 +260,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     known = docs.where("doc is not null")
     bits = bucket_bits(docs, "text")
-    table = X.shared_keys(known.mapInArrow(_send_shingles(words, bits), X.PACKED), bits, SHINGLE_BYTES)
+    table = X.shared_keys(known.mapInArrow(lean(_send_shingles(words, bits)), X.PACKED), bits, SHINGLE_BYTES)
     likely = F.expr(f"size > 0 and 100 * n_shared >= {percent} * size")
     table = written(table.select("doc", F.when(F.col("size") > 0, F.col("sig")).alias("sig"), "size", F.when(likely, F.col("keys")).alias("keys"), F.when(likely, F.col("counts")).alias("counts")), "sets")
     facts = table.join(X.classes(table), "sig", "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"), F.coalesce("n", F.lit(1)).alias("weight"), "keys", "counts")
 
-    prefixed = facts.where("rep = doc and keys is not null").select("doc", "size", "keys", "counts").mapInArrow(_prefixes(percent), "doc long, size long, k int, head array<long>, keys binary")
+    prefixed = facts.where("rep = doc and keys is not null").select("doc", "size", "keys", "counts").mapInArrow(lean(_prefixes(percent)), "doc long, size long, k int, head array<long>, keys binary")
     entry = prefixed.select("doc", F.explode("head").alias("token"))
     pivot = entry.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("token", "pivot")
     cluster = components(entry.join(pivot, "token").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
         .select("cluster", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "doc", "size", "k", "weight", "keys")
     )
     keys = ["cluster", "one", "two"]
-    found = tiled.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_tiles(percent), "doc long, other long, links long")
+    found = tiled.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(lean(_tiles(percent)), "doc long, other long, links long")
     found = written(found, "links")
     joined = components(found.where("other is not null").select(F.col("doc").alias("a"), F.col("other").alias("b")))
     degree = found.where("other is null").groupBy("doc").agg(F.sum("links").alias("links"))
@@ -291,6 +291,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
         F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
     )
     result = known.select(F.col("doc").alias("doc_id")).join(result, "doc_id")
-    nameless = docs.where("doc is null").select("text").mapInArrow(_count_only(words), "n_shingles long")
+    nameless = docs.where("doc is null").select("text").mapInArrow(lean(_count_only(words)), "n_shingles long")
     null = F.lit(None).cast("long")
     return result.union(nameless.select(null, "n_shingles", null, null, F.lit(0).cast("long")))

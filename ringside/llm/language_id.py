@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.arrays import U64, changes, mix64
+from ringside.llm.arrays import lean, U64, changes, mix64
 from ringside.llm.session import small_batches
 
 #: Elements of a vector.
@@ -31,7 +31,7 @@ SIZE = 512
 GRAM = 3
 UNKNOWN = "und"
 #: Characters of the texts that are bundled at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _letters: list[np.ndarray] = []
 
 
@@ -111,7 +111,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """From text, lang: the languages by code point, and the unit vector of each."""
     small_batches(labelled.sparkSession)
-    parts = labelled.where("lang is not null").mapInArrow(_learn, "lang string, vector array<long>")
+    parts = labelled.where("lang is not null").mapInArrow(lean(_learn), "lang string, vector array<long>")
     summed = parts.select("lang", F.posexplode("vector").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
     rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("vector")).orderBy("lang").collect()
     table = np.array([[x["value"] for x in r["vector"]] for r in rows], dtype=np.float64).reshape(len(rows), SIZE)
@@ -147,7 +147,7 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select("doc_id", "text", "held_out")
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{n} {t}" for n, t in kind.items()) + ", lang_pred string, score double"
-    out = rows.mapInArrow(_predict(langs, table), schema)
+    out = rows.mapInArrow(lean(_predict(langs, table)), schema)
     return out.select("doc_id", "held_out", "lang_pred", "score", *(["text"] if keep_text else []))
 
 
@@ -167,4 +167,4 @@ def known_language(docs: DataFrame, least: float = 0.0, doc_id: str = "doc_id",
     """The rows of ``docs``, whole, whose text has a language with a score above ``least``."""
     learn = docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     langs, table = prototypes(learn)
-    return docs.mapInArrow(_likeness(langs, table, docs.columns.index(text), least), docs.schema)
+    return docs.mapInArrow(lean(_likeness(langs, table, docs.columns.index(text), least)), docs.schema)

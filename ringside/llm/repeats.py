@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ringside.llm import exchange as X
 from ringside.llm.arrays import (
+    lean,
     SPACE,
     U64,
     byte_gram_hashes,
@@ -193,7 +194,7 @@ def packed_bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def bodies(docs: DataFrame) -> DataFrame:
     """doc and body, packed."""
-    return docs.select("doc", "body").mapInArrow(packed_bodies, "doc long, body binary")
+    return docs.select("doc", "body").mapInArrow(lean(packed_bodies), "doc long, body binary")
 
 
 def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -203,11 +204,11 @@ def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, D
     ``docs`` has doc, never null, and body. Both uses of ``texts`` are inner joins on doc, so that Spark shuffles it once."""
     small_batches(docs.sparkSession)
     bits = bucket_bits(docs, "body")
-    table = X.shared_keys(docs.select("doc", "body").mapInArrow(_send_anchors(kind, bits), X.PACKED), bits, ANCHOR_BYTES)
+    table = X.shared_keys(docs.select("doc", "body").mapInArrow(lean(_send_anchors(kind, bits)), X.PACKED), bits, ANCHOR_BYTES)
     facts = table.join(X.classes(table), "sig", "left").select("doc", F.coalesce("rep", "doc").alias("rep"), "size", "keys")
     texts = bodies(docs).repartition(partitions(docs.sparkSession), "doc")
     some = facts.where("rep = doc and length(keys) > 0").select(F.col("doc").alias("key_doc"), "keys")
-    runs = texts.join(some, F.col("doc") == F.col("key_doc")).select("doc", "body", "keys").mapInArrow(_send_runs(kind, bits), X.PACKED)
+    runs = texts.join(some, F.col("doc") == F.col("key_doc")).select("doc", "body", "keys").mapInArrow(lean(_send_runs(kind, bits)), X.PACKED)
     return texts, facts.drop("keys"), runs, bits
 
 

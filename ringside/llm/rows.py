@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringside.llm.arrays import packed, unpacked
+from ringside.llm.arrays import lean, packed, unpacked
 
 
 def _pack(at: int) -> Callable:
@@ -36,12 +36,12 @@ def _unpack(at: int) -> Callable:
 def pack_rows(rows: DataFrame, text: str = "text") -> DataFrame:
     """The same rows with that column packed to binary."""
     schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType, True) for f in rows.schema])
-    return rows.mapInArrow(_pack(rows.columns.index(text)), schema)
+    return rows.mapInArrow(lean(_pack(rows.columns.index(text))), schema)
 
 
 def unpack_rows(rows: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in rows.schema])
-    return rows.mapInArrow(_unpack(rows.columns.index(text)), schema)
+    return rows.mapInArrow(lean(_unpack(rows.columns.index(text))), schema)
 
 
 def without_ids(rows: DataFrame, gone: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
-from ringside.llm.arrays import U64, changes, planes, spread, unpacked
+from ringside.llm.arrays import lean, U64, changes, planes, spread, unpacked
 
 #: Grams of this share of a window are anchors.
 ANCHOR_SHARE = 0.52
@@ -125,8 +125,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     kind = R.Windows(length, max(1, round(length * ANCHOR_SHARE)), words=False)
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), kind)
-    intervals = X.dealt(X.dealt(runs).mapInArrow(_judge(length, bits), X.PACKED)).mapInArrow(R.gather_intervals, "doc long, intervals binary")
+    intervals = X.dealt(X.dealt(runs).mapInArrow(lean(_judge(length, bits)), X.PACKED)).mapInArrow(lean(R.gather_intervals), "doc long, intervals binary")
     notes = facts.join(intervals, "doc", "left").select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "intervals")
     noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "intervals")
     nameless = R.bodies(docs.where("doc is null")).select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("intervals"))
-    return noted.union(nameless).mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return noted.union(nameless).mapInArrow(lean(_cut(length)), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

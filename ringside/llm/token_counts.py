@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.arrays import lean
 from ringside.llm.session import small_batches
 
 #: Blanks that every part of the tokenizer takes as white space; other white space stays inside pieces.
@@ -124,7 +125,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, with_ends: bool = Tr
     """doc_id, n_bytes, n_tokens, piece_ends (characters) and piece_tokens (tokens up to each end) of every row."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(_count(path or default_path(), with_ends), COUNTS)
+    return docs.mapInArrow(lean(_count(path or default_path(), with_ends)), COUNTS)
 
 
 def fitting_pieces(budget: int | Column) -> Column:

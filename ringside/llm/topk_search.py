@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ringside.llm.arrays import lean
 from ringside.llm.session import partitions, small_batches
 
 QUERY_GROUP = 1024
@@ -156,6 +157,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, factor: int = 256, v
     asked = rows.where(is_query).select("dim", own(query_groups).alias("qg"), every(candidate_groups).alias("cg"), F.lit(True).alias("asked"), "vec_id", "v")
     offered = rows.select("dim", every(query_groups).alias("qg"), own(candidate_groups).alias("cg"), F.lit(False).alias("asked"), "vec_id", "v")
     cells = offered.union(asked).repartition(partitions(spark), "dim", "qg", "cg").sortWithinPartitions("dim", "qg", "cg", "asked")
-    found = cells.mapInArrow(_cells(k), RESULT)
+    found = cells.mapInArrow(lean(_cells(k)), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringside.llm.arrays import lean
 from ringside.llm.session import scratch_path, small_batches
 
 #: Fixed values of the two ARC versions: the version block's fields.
@@ -127,7 +128,7 @@ def _convert(version: int):  # noqa: ANN202
 def converted(pages: DataFrame, version: int = 1) -> DataFrame:
     """Pages through an ARC archive of that version to the parts of WARC records."""
     small_batches(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_convert(version), RECORDS)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(lean(_convert(version)), RECORDS)
 
 
 def with_revisits(records: DataFrame, pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
@@ -202,14 +203,14 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_warc(records: DataFrame, path: str, records_per_file: int = 4096) -> None:
     """Records with ``holder`` as gzipped WARC files below a path that all executors share."""
     columns = [x.split()[0] for x in RECORDS.split(", ")]
-    framed = records.select(*columns, "holder").mapInArrow(_frame, "value string")
+    framed = records.select(*columns, "holder").mapInArrow(lean(_frame), "value string")
     framed.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:  # noqa: ANN001
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record below a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(_read, READ)
+    return files.select("content").mapInArrow(lean(_read), READ)
 
 
 def convert_pages(pages: DataFrame, version: int = 1) -> DataFrame:

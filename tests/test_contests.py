@@ -7,13 +7,14 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from ringside.functions import rating as R
 from ringside.functions import text as X
-from ringside.operators import features, history, labels, merging, names, neighbours, ratings, regions, training
-from ringside.plans import registry
+from ringside.operators import features, history, labels, merging, names, neighbours, profiles, ratings, regions, training
+from ringside.plans import model_queries, registry
 from ringside.plans.contest_queries import model_rows
 from ringside.sources import contests as C
 
@@ -180,6 +181,56 @@ def test_nearest_and_silhouette_in_many_tiles(spark, monkeypatch):
         assert x.silhouette == pytest.approx((b - a) / max(a, b))
 
 
+def people_rows():
+    """45 athletes in three groups; of every fifth the age is unknown, of the last two weight or height."""
+    moves = [["Inner hook", "kurz"], [" inner hook"], ["bur"]]
+    rows = [(i, 90.0 + 20 * (i % 3) + i % 4, 175.0 + 5 * (i % 3), None if i % 5 == 0 else 1980 + i % 7, i % 3, "no" if i % 3 == 2 else f"a{i % 4}", moves[i % 3]) for i in range(45)]
+    return rows + [(45, None, 180.0, 1990, 1, "no", ["kurz"]), (46, 90.0, None, 1990, 1, "no", ["kurz"])]
+
+
+def test_profiles_and_their_clusters(spark):
+    import numpy as np
+
+    rows = people_rows()
+    people = spark.createDataFrame(rows, "athlete_id long, weight_kg double, height_cm double, birth_year int, wreath_ordinal int, association string, moves array<string>")
+    rated = spark.createDataFrame([(r[0], 1500.0 + 50 * (r[0] % 3) + r[0] % 2, r[0] % 9) for r in rows], "athlete_id long, elo double, n long")
+    found, names = profiles.profiles(people, rated, 2001)
+    assert names == [*profiles.NUMBERS, "inner hook", "bur", "kurz"]
+    ages = {r[0]: 2001 - r[3] for r in rows[:45] if r[3]}
+    mean = sum(ages.values()) / len(ages)
+    expected = {
+        i: [w, h, w / (h / 100) ** 2, 1500.0 + 50 * (i % 3) + i % 2, i % 9, ages.get(i, mean), o, float(i % 3 < 2), float(i % 3 == 2), float(i % 3 == 0)]
+        for i, w, h, _, o, _, _ in rows[:45]
+    }
+    got = {r.athlete_id: [r[c] for c in profiles.columns(names)] for r in found.collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[i] == pytest.approx(expected[i]) for i in got)
+    v = neighbours.standardised(found, profiles.columns(names), "athlete_id")
+    score, model, labelled = model_queries._clusters(v.withColumn("features", array_to_vector("v")).persist(), (2, 3, 4), 2)
+    group = {r.id: r.label for r in labelled.collect()}
+    assert len(model.clusterCenters()) == len(set(group.values())) == 3 and score > 0.3
+    assert all(len({group[i] for i in group if i % 3 == k}) == 1 for k in range(3))
+    members = found.join(labelled.select(labelled.id.alias("athlete_id"), "label", "v"), "athlete_id")
+    assert {r.label: r.top_moves for r in profiles.top_moves(members).collect()} == {group[0]: ["inner hook", "kurz"], group[1]: ["inner hook"], group[2]: ["bur"]}
+    assert {r.label: r.association for r in profiles.focus(members).collect()}[group[2]] == "no"
+    at = {r.id: np.array(r.v) for r in labelled.collect()}
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "label int, centre array<double>")
+    for r in profiles.representatives(members, centres).collect():
+        far = {i: np.linalg.norm(at[i] - model.clusterCenters()[r.label]) for i in at if group[i] == r.label}
+        assert [far[i] for i in r.representatives] == pytest.approx(sorted(far.values())[:3])
+
+
+def test_clusters_take_ten_starts_and_tell_what_sets_them_apart():
+    import inspect
+
+    for q in (model_queries.kmeans_summary, model_queries.pca_points):
+        assert inspect.signature(q).parameters["seeds"].default == 10
+    names = [*profiles.NUMBERS, "bur"]
+    assert profiles.distinction([0.0] * 3 + [-1.0] + [0.0] * 3 + [2.0], names) == "often prefers bur · rather low rating"
+    assert profiles.distinction([0.5] + [0.0] * 6 + [-2.0], names) == "above average: heavy"
+    assert profiles.distinction([0.29] * 8, names) == "near the average in all features"
+
+
 @pytest.mark.parametrize(("name", "tier"), [("Rigi Schwinget", "mountain"), ("Eidg. Schwinger-Fussballturnier", "regional"), ("Eidgenössisches Schwing- und Älplerfest", "federal"), ("Emmentalisches Schwingfest", "cantonal"), ("Innerschweizer Schwingfest", "union"), (None, "regional")])
 def test_fest_tiers(spark, name, tier):
     assert spark.range(1).select(X.fest_tier(F.lit(name).cast("string"))).first()[0] == tier

@@ -6,7 +6,8 @@ documents, the rarest. Documents are joined on these prefix shingles alone; the
 document's ends bound where the window could lie; and what remains is verified word by word.
 
 The windows of the benchmark are broadcast only if they are at most ``broadcast_windows`` in number. Beyond that, the
-documents' windows are joined with the benchmark's by hash in a shuffle, with no bound on either side.
+same prefix join, bounds and comparison of words run as joins in a shuffle. Either way a row is judged by its own text,
+whatever its doc_id.
 
 Defined results: null texts have no words and are clean; items without words, or with a null id or text, take no part;
 items that repeat count once; repeated documents get equal results; empty tables give empty or clean results; further
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.arrays import lean, LOWER, NOT_ALNUM, U64, changes, gram_hashes, inside_texts, mix64, slices, spread, text_buffers, word_hashes, word_spans
+from ringside.llm.arrays import lean, LOWER, NOT_ALNUM, U64, changes, gram_hashes, inside_texts, slices, spread, text_buffers, word_hashes, word_spans
 from ringside.llm.session import small_batches
 
 #: Words of a shingle.
@@ -187,8 +188,8 @@ def _match(bench: Bench, prefix: list[tuple]) -> Callable:
     return run
 
 
-def _doc_windows(length: int, sizes: list[int]) -> Callable:
-    """Every window of every document with two hashes: for the join without a broadcast."""
+def _doc_shingles(sizes: list[int]) -> Callable:
+    """row, text -> every shingle with its place and the number of words: for the join without a broadcast."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,48 +200,79 @@ def _doc_windows(length: int, sizes: list[int]) -> Callable:
                 for n in sizes:
                     at, doc = inside_texts(first, n, len(tokens))
                     if len(at):
-                        one, two = window_hashes(tokens, n)
                         yield pa.record_batch(
-                            [ids.take(pa.array(doc + i)), pa.array(at - first[doc]), pa.array(np.full(len(at), n)), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))],
-                            ["row", "start", "n", "one", "two"],
+                            [ids.take(pa.array(doc + i)), pa.array(at - first[doc]), pa.array(np.diff(first)[doc]), pa.array(np.full(len(at), n)), pa.array(shingles(tokens, n)[at].view(np.int64))],
+                            ["row", "at", "n_words", "n", "shingle"],
                         )
 
     return run
 
 
-def window_hashes(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return gram_hashes(tokens, n), gram_hashes(mix64(tokens ^ U64(0xA5A5A5A5A5A5A5A5)), n)
+def _window_shingles(length: int) -> Callable:
+    """window -> its shingles: window, number of words, place, shingle length and shingle."""
 
-
-def _bench_hashes(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_ALNUM)
-                one, two = window_hashes(word_hashes(data, starts, ends), len(starts))
-                out.append((item, len(starts), int(one.view(np.int64)[0]), int(two.view(np.int64)[0])))
-            if out:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["item_id", "n", "one", "two"])
+            bench = bench_of([{"window": w, "items": []} for w in batch.column(0).to_pylist()], length)
+            window, place, n, value = bench.tokens()
+            if len(window):
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array(window)), pa.array(bench.size[window]), pa.array(place), pa.array(n), pa.array(value.view(np.int64))],
+                    ["window", "size", "place", "n", "shingle"],
+                )
+
+    return run
+
+
+def verified(text: bytes, starts: list[int], ends: list[int], places: list[dict] | None) -> tuple[int, list[int]]:
+    """How many words of a text lie in a window, and the items, of those windows that the words at their place equal."""
+    hit, items = np.zeros(len(starts), bool), set()
+    for p in places or ():
+        begin, window = p["begin"], bytes(p["window"])
+        end = begin + window.count(b" ") + 1
+        if 0 <= begin and end <= len(starts) and b" ".join([text[a:b] for a, b in zip(starts[begin:end], ends[begin:end], strict=True)]) == window:
+            hit[begin:end] = True
+            items.update(p["items"])
+    return int(hit.sum()), sorted(items)
+
+
+def _judged(text: int, places: int) -> Callable:
+    """For each batch: number of words, words in windows, and items of every row."""
+
+    def run(batch: pa.RecordBatch) -> tuple[list, list, list]:
+        data, offsets = text_buffers(batch.column(text))
+        n_words, n_hit, items = [], [], []
+        for i, j in slices(offsets):
+            part, starts, ends, first, _ = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            whole = part.tobytes()
+            for k, found in enumerate(batch.column(places).slice(i, j - i).to_pylist()):
+                own = slice(first[k], first[k + 1])
+                hit, names = verified(whole, starts[own].tolist(), ends[own].tolist(), found)
+                n_words.append(int(first[k + 1] - first[k]))
+                n_hit.append(hit)
+                items.append(names)
+        return n_words, n_hit, items
 
     return run
 
 
 def _count_hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    judge = _judged(1, 2)
     for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        n_words, n_hit = [], []
-        for i, j in slices(offsets):
-            *_, first, _ = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            for k, places in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
-                n = int(first[k + 1] - first[k])
-                hit = np.zeros(n, bool)
-                for p in places or ():
-                    hit[p["start"] : p["start"] + p["n"]] = True
-                n_words.append(n)
-                n_hit.append(int(hit.sum()))
-        yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(3).cast(pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
+        n_words, n_hit, items = judge(batch)
+        yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
+
+
+def _without_hits(text: int, columns: int) -> Callable:
+    """The first ``columns`` columns of the rows without a hit; the places come next."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judged(text, columns)
+        for batch in batches:
+            n_hit = np.array(judge(batch)[1], np.int64)
+            yield batch.select(list(range(columns))).filter(pa.array(n_hit == 0))
+
+    return run
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, length: int, broadcast_windows: int) -> tuple[Callable | None, DataFrame]:
@@ -292,17 +324,31 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10
     match, windows = _prepared(docs, benchmark, length, broadcast_windows)
     if match is not None:
         return docs.mapInArrow(lean(_clean(match, docs.columns.index("text"))), docs.schema)
-    found = _shuffled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows, length)
-    held = found.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")
+    placed = _placed(docs, windows.select(F.lit(0).cast("long").alias("item_id"), "window"), length)
+    return placed.mapInArrow(lean(_without_hits(docs.columns.index("text"), len(docs.columns))), docs.schema)
 
 
 def _shuffled(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    hashed = windows.distinct().mapInArrow(lean(_bench_hashes(length)), "item_id long, n long, one long, two long")
-    sizes = [r["n"] for r in hashed.select("n").distinct().orderBy("n").collect()]
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    at = keyed.select("row", "text").distinct().mapInArrow(lean(_doc_windows(length, sizes)), "row long, start long, n long, one long, two long")
-    hits = at.join(hashed, ["n", "one", "two"])
-    found = hits.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("places"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    joined = keyed.join(found, "row", "left").select("doc_id", "text", "places", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
-    return joined.mapInArrow(lean(_count_hits), f"doc_id long, {FOUND}")
+    return _placed(docs, windows, length).mapInArrow(lean(_count_hits), f"doc_id long, {FOUND}")
+
+
+def _placed(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """``docs``, whole, and last the places at which windows could lie: of equal hashes, so words are still to be compared.
+
+    Rows are told apart by a hash of id and text; rows of equal hash share their places, and each is compared itself.
+    """
+    distinct = windows.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    own = distinct.select("window").mapInArrow(lean(_window_shingles(length)), "window binary, size long, place long, n long, shingle long")
+    sizes = [r["n"] for r in own.select("n").distinct().orderBy("n").collect()]
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    texts = keyed.select("_row", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    at = texts.mapInArrow(lean(_doc_shingles(sizes)), "row long, at long, n_words long, n long, shingle long")
+    counts = at.groupBy("n", "shingle").agg(F.count(F.lit(1)).alias("count"))
+    # The rarest shingle is one that no document holds, if there is one: then the window is in none.
+    held = own.join(counts, ["n", "shingle"], "left").groupBy("window", "size", "n")
+    rarest = held.agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "place")).alias("p")).where("p.count > 0")
+    prefix = rarest.select("window", "size", "n", "p.shingle", "p.place").join(distinct, "window")
+    begin = F.col("at") - F.col("place")
+    inside = at.join(prefix, ["n", "shingle"]).where((begin >= 0) & (begin + F.col("size") <= F.col("n_words")))
+    found = inside.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct(begin.alias("begin"), "window", "items")).alias("_places"))
+    return keyed.join(found, "_row", "left").select(*(F.col(c) for c in docs.columns), "_places")

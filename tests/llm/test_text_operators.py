@@ -235,6 +235,25 @@ def test_contamination(spark, n, most):
     assert {r.doc_id for r in clean.collect() if r.doc_id is not None} == kept
 
 
+@pytest.mark.parametrize("most", [1 << 18, 3])
+def test_rows_are_judged_by_their_own_text(spark, most):
+    """Also rows without an id, and clean rows with the id of a contaminated one."""
+    docs, bench = contamination_rows()
+    docs = [*docs, *((None, t) for _, t in docs[:20]), (None, None), *((8, t) for _, t in docs[20:40])]
+    kept = [i for i, d in enumerate(docs) if not brute_contamination([d], bench, 3)[0][2]]
+    assert {docs[i][0] is None for i in kept} == {True, False} and any(docs[i][0] is None for i in set(range(len(docs))) - set(kept))
+    df = spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "doc_id long, text string, row long").repartition(5)
+    clean = decontaminate.without_contaminated(df, spark.createDataFrame(bench, "item_id long, text string"), 3, broadcast_windows=most)
+    assert clean.columns == df.columns
+    assert sorted(map(tuple, clean.collect()), key=lambda r: r[2]) == [(*docs[i], i) for i in kept]
+
+
+def test_words_are_compared_after_the_join():
+    places = [{"begin": 0, "window": b"a b", "items": [4]}, {"begin": 1, "window": b"b x", "items": [5]}, {"begin": 2, "window": b"c d", "items": [6]}, {"begin": -1, "window": b"a", "items": [7]}]
+    assert decontaminate.verified(b"a b c", [0, 2, 4], [1, 3, 5], places) == (2, [4])
+    assert decontaminate.verified(b"", [], [], None) == (0, [])
+
+
 def test_contamination_of_and_by_empty_tables(spark):
     docs, bench = contamination_rows()
     items = spark.createDataFrame(bench, "item_id long, text string")

@@ -40,7 +40,7 @@ def printed_bouts(words: DataFrame) -> DataFrame:
 
     A block begins with a line of rank and name; bouts before the first one, or after one without a name, are dropped.
     """
-    first, rest = F.col("tokens")[0], F.expr("slice(tokens, 2, 1000)")
+    first, rest = F.col("tokens")[0], F.expr("slice(tokens, 2, greatest(size(tokens) - 1, 0))")
     last = lambda t: F.element_at(t, -1)
     without = lambda t: F.slice(t, F.lit(1), F.size(t) - 1)
     note, stars = r"^\d{1,2}\.\d{2}$", r"^\*{1,3}$"

@@ -159,3 +159,11 @@ def test_streams(spark, data, tmp_path):
     assert spark.table("once").count() == bout.count()
     run_stream(results.seasonal_counts(source).writeStream.format("memory").queryName("seasons").outputMode("complete").option("checkpointLocation", str(tmp_path / "c4")).start())
     assert spark.table("seasons").agg(F.sum("n")).first()[0] >= bout.count()
+
+
+def test_a_long_printed_line_keeps_its_end(spark):
+    lines = [(10.0, ["1", "Hans", "Muster", "57.25"]), (20.0, ["+", *(f"w{i}" for i in range(1100)), "9.75"])]
+    words = [("d", 1, t, 1.0 + 0.1 * i, top) for top, line in lines for i, t in enumerate(line)]
+    row = printed.printed_bouts(spark.createDataFrame(words, "doc string, page int, text string, x0 double, top double")).first()
+    assert (row.athlete, row.total, row.note) == ("Hans Muster", 57.25, 9.75)
+    assert row.opponent == " ".join(f"w{i}" for i in range(1100))

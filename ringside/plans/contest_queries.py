@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringside.functions import rating as R
+from ringside.functions import text as X
 from ringside.operators import features, history, labels, merging, neighbours, ratings, regions
 from ringside.plans.registry import query
 from ringside.sources import contests as C
@@ -184,6 +185,32 @@ def association_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir)
 
 
+def _elo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Athletes with their final rating (1500 without a bout) and number of bouts, and the bouts' sides."""
+    bout, rated = rated_bouts(spark, sf_dir)
+    people = C.athletes(spark, sf_dir)
+    return people.join(ratings.final_ratings(bout, rated, people), "athlete_id"), C.sides(bout)
+
+
+@query()
+def elo_top_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.top_threshold(_elo(spark, sf_dir)[0], "elo")
+
+
+@query()
+def elo_association_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.association_stats(*_elo(spark, sf_dir), "elo")
+
+
+@query()
+def move_mean_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean rating of the moves that 15 athletes with a bout hold, and of all athletes with a bout and a move."""
+    own = _elo(spark, sf_dir)[0].where((F.col("n") > 0) & (F.size("moves") > 0)).select("moves", "elo").persist()
+    overall = own.agg(F.avg("elo")).first()[0]
+    each = own.select(F.explode("moves").alias("move"), "elo").groupBy(X.lower_first(F.col("move")).alias("move")).agg(F.count(F.lit(1)).alias("n"), F.avg("elo").alias("elo"))
+    return each.where("n >= 15").withColumn("overall", F.lit(overall))
+
+
 NATIONS = ", spread as (select *, case when nation % 5 = 0 then 2 else 1 end as parts from full_stats), shared as (select region, * exclude (region) from spread union all select 'SHARED', * exclude (region) from spread where parts = 2)"
 ROLLED = "cast(round_even(sum({0}::double / parts), 0) as bigint) as {0}"
 

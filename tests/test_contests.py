@@ -181,6 +181,30 @@ def test_nearest_and_silhouette_in_many_tiles(spark, monkeypatch):
         assert x.silhouette == pytest.approx((b - a) / max(a, b))
 
 
+def test_statistics_of_elo(spark, data, monkeypatch):
+    """With athletes without a bout, who count as 1500 for associations and not for moves."""
+    import numpy as np
+
+    people = spark.createDataFrame([(i, f"a{i % 3}", ["bur" if i % 2 else "Kurz"]) for i in range(60)], "athlete_id long, association string, moves array<string>")
+    rows = [(i, i + 1, "win_a" if i % 3 else "draw") for i in range(49)]
+    bout = spark.createDataFrame([(i, i, a, b, o) for i, (a, b, o) in enumerate(rows)], "fest_id long, d int, a_id long, b_id long, outcome string")
+    bout = bout.selectExpr("fest_id", "date_add(date'2000-01-01', d) as datum", "'1-URGENT' as tier", "a_id", "b_id", "outcome", "50 as score_a", "40 as score_b")
+    monkeypatch.setattr(C, "bouts", lambda *_: bout)
+    monkeypatch.setattr(C, "athletes", lambda *_: people)
+    elo = {i: 1500.0 for i in range(60)}
+    for a, b, o in rows:
+        step = R.K * ((1.0 if o == "win_a" else 0.5) - 1 / (1 + 10 ** ((elo[b] - elo[a]) / 400)))
+        elo[a], elo[b] = elo[a] + step, elo[b] - step
+    top = np.percentile(list(elo.values()), 90)
+    assert registry.QUERIES["elo_top_threshold"](spark, data).first()[0] == pytest.approx(top)
+    for r in registry.QUERIES["elo_association_stats"](spark, data).collect():
+        own = [elo[i] for i in elo if f"a{i % 3}" == r.association]
+        assert (r.athletes, r.n_top) == (20, sum(x >= top for x in own)) and r.metric_sum == pytest.approx(sum(own))
+    got = {r.move: r for r in registry.QUERIES["move_mean_elo"](spark, data).collect()}
+    assert {m: (r.n, r.elo) for m, r in got.items()} == {m: (25, pytest.approx(np.mean([elo[i] for i in range(50) if i % 2 == k]))) for k, m in enumerate(["kurz", "bur"])}
+    assert got["bur"].overall == pytest.approx(np.mean([elo[i] for i in range(50)]))
+
+
 def people_rows():
     """45 athletes in three groups; of every fifth the age is unknown, of the last two weight or height."""
     moves = [["Inner hook", "kurz"], [" inner hook"], ["bur"]]

@@ -48,9 +48,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), with_ends=False)
-    total = F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), "piece_tokens"), -1), F.lit(0)).cast("long")
-    return counts.select("doc_id", "n_bytes", total.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    counts = token_counts.token_budget(table(spark, sf_dir, "documents"), TOKEN_LIMIT)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

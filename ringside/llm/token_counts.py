@@ -1,73 +1,338 @@
 """Operator 6, token counts: prefix dynamic programming.
 
-No token of this vocabulary reaches over a blank, so a text is a row of pieces between ASCII blanks, and the count of a
-prefix that ends with a piece is the count of the prefix before it plus the piece's own. The operator stores that table:
-where every piece ends, and the exact number of tokens up to there. Limits, truncation and budgets are then look-ups in
-the table; only a prefix that ends inside a piece needs one more encoding, of that part of the piece.
+For every prefix of a text the operator holds the exact number of its tokens, so that truncation and budget questions are
+look-ups. The table is built without encoding a prefix:
 
-A piece is encoded by the library itself, once in a worker: counts are remembered, up to ``MEMORY`` pieces.
+1. A vocabulary of merges encodes a word canonically if and only if every two neighbouring tokens do so by themselves. So
+   of all tokens that end at a place exactly one can follow the last token of the prefix before it, and
+   ``tokens(prefix) = tokens(shorter prefix) + 1``. Whether two tokens may be neighbours is worked out from the merges, and
+   remembered. A prefix ends a word, so its last token is one with the vocabulary's mark for word ends.
+2. No token reaches over a blank: the table of a text is that of its pieces between ASCII blanks, one after another, each
+   with the total before it. Pieces' tables are remembered, up to ``MEMORY`` of them.
+3. How a text is normalised and cut into words is asked of the library. Where normal forms of two characters melt into
+   each other (an accent after its letter), the prefixes between are normalised one by one.
 
-Defined results: a null or empty text has no pieces, 0 bytes and 0 tokens; strings of special tokens inside a text are
-handled as the library does by default; a token is never added; repeated rows get equal results; an empty table gives
-an empty result; further columns are ignored. The vocabulary must be one that drops white space (checked).
+Defined results: a null or empty text has 0 bytes and 0 tokens, and an empty table; strings of special tokens inside a text
+are one token, and up to their last character ordinary text, as the library does by default; a token is never added;
+repeated rows get equal results; an empty table gives an empty result; further columns are ignored. The vocabulary must be
+one of merges with a mark for word ends that drops white space (checked).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringside.llm.arrays import lean
 from ringside.llm.session import small_batches
 
-#: Blanks that every part of the tokenizer takes as white space; other white space stays inside pieces.
-BLANK = re.compile(r"[^ \t\n\r]+")
-MEMORY = 1 << 18
-#: Longer pieces are not remembered.
-LONG = 64
-COUNTS = "doc_id long, n_bytes long, n_tokens long, piece_ends array<int>, piece_tokens array<int>"
-_counters: dict[str, PieceCounter] = {}
+#: A piece and the blanks after it. Other white space stays inside pieces.
+PIECE = re.compile(r"[^ \t\n\r]+[ \t\n\r]*|[ \t\n\r]+")
+BLANKS = " \t\n\r"
+#: Pieces and pairs of tokens whose answers are remembered; longer pieces than LONG are not.
+MEMORY, LONG = 1 << 18, 64
+#: Pieces of a text whose tables are put together at a time.
+PORTION = 1 << 16
+#: A symbol that no merge made; and no token.
+SINGLE, NOTHING = (-1, -1, -1), 1 << 19
+RUN = re.compile("L+|N|O+")
+_tables: dict[str, PrefixTables] = {}
 
 
-class PieceCounter:
+class PrefixTables:
+    """Counts of tokens at every prefix, from a vocabulary file's merges."""
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        if self.encoded(["a b", "a", "b"])[0] != sum(self.encoded(["a", "b"])) or self.encoded([" \t\n\r"])[0]:
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.mark = model.get("end_of_word_suffix") or ""
+        if model["type"] != "BPE" or not self.mark or model.get("dropout") or model.get("ignore_merges"):
+            raise ValueError(f"{path}: not a vocabulary of merges with a mark for word ends")
+        self.normalise = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        self._cut = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        if self.words("a b") != ["a", "b"] or self.words(self.normalise(BLANKS)):
             raise ValueError(f"{path}: tokens of this vocabulary may hold white space")
-        self.known: dict[str, int] = {}
+        self.vocabulary: dict[str, int] = model["vocab"]
+        self.names = {i: t for t, i in self.vocabulary.items()}
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        self.text_rank = {m: i for i, m in enumerate(merges)}
+        #: By numbers of tokens: the rank of every merge, and what each token was made by.
+        self.rank = {pair(self.vocabulary[x], self.vocabulary[y]): i for i, (x, y) in enumerate(merges)}
+        self.made = [SINGLE] * (max(self.vocabulary.values()) + 1)
+        for i, (x, y) in enumerate(merges):
+            self.made[self.vocabulary[x + y]] = (i, self.vocabulary[x], self.vocabulary[y])
+        self.trie = self._trie()
+        self.pairs: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.of_words: dict[str, list[int]] = {}
+        self.chars: dict[str, tuple[str, str]] = {}
+
+    def _trie(self) -> dict:
+        """Tokens from their last symbol to their first; under 0 the token inside a word, under 1 the one that ends it."""
+        root: dict = {}
+        for token, number in self.vocabulary.items():
+            node = root
+            for c in reversed(token.removesuffix(self.mark)):
+                node = node.setdefault(c, {})
+            node[int(token.endswith(self.mark))] = number
+        return root
+
+    def words(self, text: str) -> list[str]:
+        """The words of a normalised text, in the symbols of the vocabulary (one for a byte)."""
+        return [w for w, _ in self._cut(text)]
+
+    def symbols(self, token: str) -> list[str]:
+        plain = token.removesuffix(self.mark)
+        return [*plain[:-1], plain[-1] + token[len(plain) :]]
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        """The merges by rank, the leftmost of equals first."""
+        while len(symbols) > 1:
+            best, at = min((self.text_rank.get((a, b), len(self.text_rank)), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])))
+            if best == len(self.text_rank):
+                break
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return symbols
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """May these tokens stand side by side? With NOTHING on the left: may the right one stand by itself?"""
+        key = pair(left, right)
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > 4 * MEMORY:
+                self.pairs.clear()
+            if left == NOTHING:
+                known = len(self.merged(self.symbols(self.names[right]))) == 1
+            else:
+                known = self._apart(left, right)
+            self.pairs[key] = known
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        """The merges that made both are taken back, the last one first; none across their border may have come earlier."""
+        limit = len(self.rank)
+        while True:
+            if self.rank.get(pair(left, right), limit) < limit:
+                return False
+            (a, _, tail), (b, head, _) = self.made[left], self.made[right]
+            if a < 0 and b < 0:
+                return True
+            # Of equal merges the leftmost comes first: one across the border is to the left of one inside the right token.
+            limit, left, right = (a, tail, right) if a > b else (b + 1, left, head)
 
-    def encoded(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _only(self, found: list[tuple[int, int]], last: list[int], word: str) -> tuple[int, int]:
+        """The one token that can follow the tokens before it, the longest tried first."""
+        for begin, token in reversed(found):
+            ok = self.pairs.get(last[begin] << 20 | token)
+            if self.neighbours(last[begin], token) if ok is None else ok:
+                return begin, token
+        raise ValueError(f"no tokens for {word!r}")
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        known = self.known
+    def extend(self, word: str, last: list[int], count: list[int]) -> list[int]:
+        """Counts of word[:n] as a word, for each n that ``last`` and ``count`` (of word[:n] inside a longer word) don't have yet."""
+        out = []
+        for end in range(len(last), len(word) + 1):
+            node, inner, ending = self.trie, [], []
+            begin = end
+            while begin:
+                begin -= 1
+                node = node.get(word[begin])
+                if node is None:
+                    break
+                if 0 in node:
+                    inner.append((begin, node[0]))
+                if 1 in node:
+                    ending.append((begin, node[1]))
+            begin, _ = self._only(ending, last, word)
+            out.append(count[begin] + 1)
+            begin, token = self._only(inner, last, word)
+            count.append(count[begin] + 1)
+            last.append(token)
+        return out
+
+    def of_word(self, word: str) -> list[int]:
+        """Counts at every symbol of a word."""
+        found = self.of_words.get(word)
+        if found is None:
+            found = self.extend(word, [NOTHING], [0])
+            if len(word) <= LONG:
+                if len(self.of_words) > MEMORY:
+                    self.of_words.clear()
+                self.of_words[word] = found
+        return found
+
+    def total(self, text: str) -> int:
+        """Tokens of a normalised text."""
+        return sum(self.of_word(w)[-1] for w in self.words(text))
+
+    def char(self, c: str) -> tuple[str, str]:
+        """What runs a character continues (L letters, N none, O others, X if it must be seen with what is around it), and its symbols."""
+        found = self.chars.get(c)
+        if found is None:
+            normal = self.normalise(c)
+            kind = "X"
+            if len(normal) == 1 and not melts(c) and (own := self.words(normal)):
+                kind = "L" if len(self.words("a" + normal)) == 1 else "O" if len(self.words("!" + normal)) == 1 else "N"
+            found = self.chars[c] = kind, "".join(own) if kind != "X" else ""
+        return found
+
+    def plain(self, text: str) -> list[int]:
+        """Counts at every prefix (from one character on) of a text without special tokens."""
+        chars = self.chars
         try:
-            return [known[p] for p in pieces]
+            about = [chars[c] for c in text]
         except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        found = dict(zip(new, self.encoded(new), strict=True))
-        known.update({p: n for p, n in found.items() if len(p) <= LONG})
-        return [found[p] if p in found else known[p] for p in pieces]
+            about = [self.char(c) for c in text]
+        kinds = "".join([k for k, _ in about])
+        if "X" in kinds or "'" in text:
+            return self.one_by_one(text)
+        out: list[int] = []
+        before = 0
+        for m in RUN.finditer(kinds):
+            symbols = [s for _, s in about[m.start() : m.end()]]
+            word = "".join(symbols)
+            own = self.of_word(word)
+            if len(word) > len(symbols):
+                end, each = -1, []
+                for s in symbols:
+                    end += len(s)
+                    each.append(own[end])
+                own = each
+            out += [before + n for n in own] if before else own
+            before = out[-1]
+        return out
+
+    def one_by_one(self, text: str) -> list[int]:
+        """The same for any text: the last segment (a character and the marks on it) is normalised for each prefix.
+
+        ``tail`` is the last word so far, which later characters may continue; ``before`` counts the words before it.
+        """
+        out, before, tail, symbols, last, count = [], 0, "", "", [NOTHING], [0]
+        for segment in segments(text):
+            for n in range(1, len(segment) + 1):
+                normal = self.normalise(segment[:n])
+                about = [self.char(c) for c in normal]
+                kinds = {k for k, _ in about}
+                if len(kinds) == 1 and tail and kinds == {self.char(tail[0])[0]} <= {"L", "O"} and (len(tail) > 3 or tail[0] != "'"):
+                    size = len(last)
+                    longer = symbols + "".join([s for _, s in about])
+                    out.append(before + self.extend(longer, last, count)[-1])
+                    if n < len(segment):
+                        del last[size:], count[size:]
+                    else:
+                        tail, symbols = tail + normal, longer
+                else:
+                    whole = tail + normal
+                    out.append(before + self.total(whole))
+                    if n == len(segment):
+                        cut = self._cut(whole)
+                        begin = cut[-1][1][0] if cut and cut[-1][1][1] == len(whole) else len(whole)
+                        if len(whole) - begin == 1 and whole[:begin].endswith("'") and len(cut) > 1 and cut[-2][1][0] == begin - 1:
+                            begin -= 1  # a contraction may be about to form
+                        before += self.total(whole[:begin])
+                        tail, symbols, last, count = whole[begin:], "".join(self.words(whole[begin:])), [NOTHING], [0]
+                        self.extend(symbols, last, count)
+        return out
+
+    def of_piece(self, piece: str) -> list[int]:
+        if self.special_pattern.search(piece) is None:
+            return self.plain(piece)
+        out: list[int] = []
+        begin = before = 0
+        for m in self.special_pattern.finditer(piece):
+            out += [before + n for n in self.plain(piece[begin : m.end() - 1])]
+            before = (out[m.start() - 1] if m.start() > begin else before) + 1
+            out.append(before)
+            begin = m.end()
+        return out + [before + n for n in self.plain(piece[begin:])]
 
+    def steps(self, piece: str) -> bytes:
+        """What each character of a piece and its blanks adds to the count, as 32-bit numbers."""
+        found = self.pieces.get(piece)
+        if found is None:
+            bare = piece.rstrip(BLANKS)
+            counts = self.of_piece(bare)
+            found = array("i", [*map(sub, counts, [0, *counts]), *[0] * (len(piece) - len(bare))]).tobytes()
+            if len(piece) <= LONG:
+                if len(self.pieces) > MEMORY:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
-def counter(path: str) -> PieceCounter:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    def table(self, text: str) -> np.ndarray:
+        """tokens(text[:n]) for n = 0 .. len(text)."""
+        pieces, known = PIECE.findall(text), self.pieces
+        out = np.zeros(len(text) + 1, np.int32)
+        at = 1
+        for i in range(0, len(pieces), PORTION):
+            some = pieces[i : i + PORTION]
+            try:
+                steps = b"".join([known[p] for p in some])
+            except KeyError:
+                steps = b"".join([self.steps(p) for p in some])
+            own = np.frombuffer(steps, "<i4")
+            np.cumsum(own, out=out[at : at + len(own)])
+            out[at : at + len(own)] += out[at - 1]
+            at += len(own)
+        return out
+
+
+_seconds: set[str] = set()
+
+
+def pair(left: int, right: int) -> int:
+    return left << 20 | right
+
+
+def melts(c: str) -> bool:
+    """May a character join the one before it, or change places with it, when a text is normalised?"""
+    if not _seconds:
+        for i in range(0x110000):
+            parts = unicodedata.decomposition(chr(i)).split()
+            if len(parts) == 2 and not parts[0].startswith("<"):
+                _seconds.add(chr(int(parts[1], 16)))
+        _seconds.update(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    return unicodedata.combining(c) > 0 or c in _seconds
+
+
+def segments(text: str) -> Iterator[str]:
+    """Parts of a text whose normal forms don't touch: each from a character that joins nothing before it.
+
+    Of many marks of one class in a row, those from the fifth on join nothing either.
+    """
+    first, same, kind = 0, 0, 0
+    for i, c in enumerate(text):
+        own = unicodedata.combining(c)
+        same = same + 1 if own and own == kind else 0
+        kind = own
+        if i > first and ((not melts(c) and not (c.isspace() and text[i - 1].isspace())) or same > 4):
+            yield text[first:i]
+            first = i
+    if first < len(text):
+        yield text[first:]
+
+
+def tables(path: str) -> PrefixTables:
+    if path not in _tables:
+        _tables[path] = PrefixTables(path)
+    return _tables[path]
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -76,63 +341,44 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def prefix_table(text: str, count: PieceCounter) -> tuple[np.ndarray, np.ndarray]:
-    """Where pieces end (in characters) and the tokens up to there."""
-    spans = [m.end() for m in BLANK.finditer(text)]
-    return np.array(spans, np.int64), np.cumsum(count.counts(BLANK.findall(text)))
+def fitting(table: np.ndarray, budget: int) -> int:
+    """The longest prefix of at most ``budget`` tokens."""
+    return int(np.flatnonzero(table <= budget)[-1]) if len(table) and budget >= 0 else 0
 
 
-def prefix_tokens(text: str, length: int, path: str) -> int:
-    """Exact number of tokens of text[:length]: the table's entry, and one encoding if the prefix ends inside a piece."""
-    count = counter(path)
-    ends, tokens = prefix_table(text, count)
-    at = int(np.searchsorted(ends, length, "right"))
-    done = int(ends[at - 1]) if at else 0
-    rest = text[done:length].strip(" \t\n\r")
-    return (int(tokens[at - 1]) if at else 0) + (count.encoded([rest])[0] if rest else 0)
+def _rows(path: str, answer: Callable[[np.ndarray], tuple], kinds: list[pa.DataType], names: list[str]) -> Callable:
+    """doc_id, n_bytes and what ``answer`` reads from each text's table."""
 
-
-def _count(path: str, with_prefixes: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        counts = tables(path)
         for batch in batches:
-            sizes, lengths, ends, tokens = [], [], [], []
             for i in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(i, 64).to_pylist()]
-                pieces = [BLANK.findall(t) for t in texts]
-                each = np.array(count.counts([p for own in pieces for p in own]), np.int64)
-                lengths += (n := [len(p) for p in pieces])
-                sizes += [len(t.encode()) for t in texts]
-                bounds = np.concatenate(([0], np.cumsum(n)))
-                total = np.concatenate(([0], np.cumsum(each)))
-                tokens.append(total[1:] - np.repeat(total[bounds[:-1]], n))
-                if with_prefixes:
-                    ends += [m.end() for t in texts for m in BLANK.finditer(t)]
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            last = np.where(np.diff(offsets) > 0, flat[np.maximum(offsets[1:], 1) - 1], 0) if len(flat) else np.zeros(len(sizes), np.int64)
-            table = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            none = pa.nulls(len(sizes), pa.list_(pa.int32()))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(last, pa.int64()), table(ends) if with_prefixes else none, table(flat)],
-                ["doc_id", "n_bytes", "n_tokens", "piece_ends", "piece_tokens"],
-            )
+                ids, texts = batch.column(0).slice(i, 64), batch.column(1).slice(i, 64)
+                size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                found = zip(*(answer(counts.table(t or "")) for t in texts.to_pylist()), strict=True)
+                yield pa.record_batch([ids, size, *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
     return run
 
 
-def prefix_counts(docs: DataFrame, path: str | None = None, with_ends: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, piece_ends (characters) and piece_tokens (tokens up to each end) of every row."""
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(lean(_count(path or default_path(), with_ends)), COUNTS)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def prefix_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens and prefix_tokens (tokens of the first n characters, from n = 0 on) of every row."""
+    run = _rows(path or default_path(), lambda t: (int(t[-1]), t), [pa.int64(), pa.list_(pa.int32())], ["n_tokens", "prefix_tokens"])
+    return _texts(docs, doc_id, text).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, prefix_tokens array<int>")
 
 
-def fitting_pieces(budget: int | Column) -> Column:
-    """How many whole pieces fit into a budget of tokens, from a row's table."""
-    return F.size(F.filter("piece_tokens", lambda n: n <= budget))
+def token_budget(docs: DataFrame, budget: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, and fit_chars: how many characters fit into a budget of tokens. The tables stay in the tasks."""
+    run = _rows(path or default_path(), lambda t: (int(t[-1]), fitting(t, budget)), [pa.int64(), pa.int64()], ["n_tokens", "fit_chars"])
+    return _texts(docs, doc_id, text).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, fit_chars long")
 
 
 def fitting_characters(budget: int | Column) -> Column:
-    """Where to cut a text so that its pieces fit into a budget of tokens."""
-    return F.coalesce(F.try_element_at("piece_ends", fitting_pieces(budget)), F.lit(0)) if isinstance(budget, Column) else F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), "piece_ends"), fitting_pieces(budget) + 1), F.lit(0))
+    """The longest prefix, in characters, of at most ``budget`` tokens, from a row's ``prefix_tokens``."""
+    places = F.transform("prefix_tokens", lambda n, i: F.when(n <= budget, i))
+    return F.coalesce(F.array_max(places), F.lit(0))

@@ -128,27 +128,63 @@ def test_top_k_of_an_empty_table(spark):
 # ---------------------------------------------------------------- tokens
 
 
-def test_token_counts(spark, data):
+ODD = [
+    "", None, "  \n", "Hello, World! it's <|endoftext|>x<|startoftext|> l'\u0130stanbul \u0391\u03a3 e\u0301   a\u2003b \x85\x1c\u200b \U0001f600 \ufb01 12345 don't'll we're'rest 're 'r've ''s !'s",
+    "x" * 300 + " y", "a\u0301 \u0301 x", "<|endoftext|> <|endoftext |>", "<|ENDOFTEXT|>a<|endoftext|><|endoftext|>!'s", "e\u0301\u0302\u0301\u0301\u0301\u0301y", "\u1100\u1161\u11a8\uac00\u11a8",
+    "\u3000\u3000a\u3000b 'e\u0301 o\u0308'e", "\u0130\u0130'\u0130s", "\u01c4 \u212a \u212b stra\u00dfe", "1a2b3 c4'5's", "a\u0316\u0301\u0316b",
+]
+
+
+def library_count():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_counts.default_path())
-    count = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False))
-    odd = ["", None, "  \n", "Hello, World! it's <|endoftext|>x<|startoftext|> l'İstanbul ΑΣ é   a b \x85\x1c​ 😀 ﬁ 12345 don't'll", "x" * 3000 + " y", "á ́ x", "<|endoftext|> <|endoftext |>"]
-    rows = [(i, t) for i, t in enumerate(odd)]
-    got = token_counts.prefix_counts(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("cut", token_counts.fitting_characters(5)).collect()
-    for r in got:
-        text = odd[r.doc_id] or ""
-        assert (r.n_tokens, r.n_bytes) == (count(text), len(text.encode()))
-        assert [count(text[:e]) for e in r.piece_ends] == list(r.piece_tokens)
-        assert count(text[: r.cut]) <= 5
-        for n in range(0, len(text), 211 if len(text) > 500 else 5):
-            assert token_counts.prefix_tokens(text, n, token_counts.default_path()) == count(text[:n])
+    return lambda t: len(tokenizer.encode(t or "", add_special_tokens=False))
+
+
+def test_every_prefix_is_counted_as_the_library_does():
+    count, tables = library_count(), token_counts.tables(token_counts.default_path())
+    r = random.Random(1)
+    letters = "abce'!1 \u0316\u0301\u00e9\u0130\u03a3\u3000\x85<|>\u00df\u4e2d\uac01\u1161sretvdlm"
+    for text in [t or "" for t in ODD] + ["".join(r.choice(letters) for _ in range(25)) for _ in range(300)]:
+        assert tables.table(text).tolist() == [count(text[:n]) for n in range(len(text) + 1)], repr(text)
+
+
+def test_tokens_that_may_be_neighbours_are_those_that_merges_leave_apart():
+    tables = token_counts.tables(token_counts.default_path())
+    r = random.Random(2)
+    names = [t for t in tables.vocabulary if not t.endswith(tables.mark)]
+    for _ in range(3000):
+        left, right = r.choice(names), r.choice(list(names))
+        alone = [len(tables.merged(tables.symbols(t))) == 1 for t in (left, right)]
+        if all(alone):
+            assert tables.neighbours(tables.vocabulary[left], tables.vocabulary[right]) == (tables.merged([*left, *right]) == [left, right])
+
+
+def test_token_counts(spark, data):
+    count = library_count()
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n_tokens", "n_bytes", "prefix_tokens")})
+    for r in token_counts.prefix_counts(rows).withColumn("cut", token_counts.fitting_characters(5)).collect():
+        text = ODD[r.doc_id] or ""
+        assert (r.n_tokens, r.n_bytes, len(r.prefix_tokens)) == (count(text), len(text.encode()), len(text) + 1)
+        assert r.cut == max(n for n in range(len(text) + 1) if count(text[:n]) <= 5)
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    found = {r.doc_id: r.n_tokens for r in token_counts.prefix_counts(docs).collect()}
-    assert all(found[r.doc_id] == count(r.text) for r in docs.collect())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in token_counts.token_budget(docs, 40).collect():
+        text = texts[r.doc_id]
+        assert r.n_tokens == count(text) and count(text[: r.fit_chars]) <= 40
+        assert r.fit_chars == len(text) or count(text[: r.fit_chars + 1]) > 40
     assert token_counts.prefix_counts(docs.where("doc_id = -9")).collect() == []
 
 
+def test_tokens_of_very_long_texts(spark):
+    count = library_count()
+    texts = ["word " * 250_000, "x" * 1_000_000, "e\u0301" * 300_000]
+    got = token_counts.token_budget(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1000).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: count(t) for i, t in enumerate(texts)}
+    assert all(count(texts[r.doc_id][: r.fit_chars]) <= 1000 for r in got)
+
+
 # ---------------------------------------------------------------- archives
 
 

@@ -4,40 +4,58 @@ Size is the number of words. Each source's words, its documents one after anothe
 ``block`` words. Its target is its weight's share of all words, at most ``most`` times its own size; what it cannot
 take is shared again by weight, which is the water level L with target = min(most * size, L * weight).
 
-A source fills its target by slots of one block: slot s of an epoch (one pass over its blocks) holds the block at place
-s of that epoch's pseudorandom permutation, the last slot only as many words as are missing. Output shards draw their
-source counts from a multinomial distribution whose totals are the sources' slots. Blocks and documents meet in joins
-by block index; all steps are DataFrame operations, and a source of any size is spread over chunks of documents.
+A source needs so many slots of one block as fill its target; slot j belongs to epoch j // blocks (one pass over the
+source) and to the place j % blocks in it. How many of its slots each output shard gets is drawn from a multinomial
+distribution over the shards whose total is the source's number of slots: first over ranges of shards, then inside each
+range. A shard's slots are numbered on where the shard before it ends, and a slot's place goes through that epoch's
+pseudorandom permutation (a Feistel network that walks until it meets an existing block) to a block index. Slots and
+blocks of documents meet in a join by block index; what a document gives is summed from those slots. The last slot of a
+source holds only as many words as are missing, so that every target is met to the word.
 
 Defined results: null and wordless texts have size 0 and are never taken; null is a source of its own, the last; a source
-without words has target 0; repeated rows are mixed as rows of their own; an empty table gives an empty result; further
-columns are ignored. All draws depend only on the seed and the data's sizes and ids, so reruns agree.
+without words has target 0; an empty table gives an empty result; further columns are ignored. Rows that repeat an id
+and a size lie side by side in their source and each get the same whole number of words, so that their source may fall
+short by less than a word a row. All draws depend only on the seed and the data's sizes and ids, so reruns agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ringside.llm.arrays import U64, lean, mix64
 from ringside.llm.session import partitions, written
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 BLOCK = 64
 SEED = 20
+#: Words of an output shard, on average.
+SHARD_WORDS = 1 << 24
 #: Documents of a chunk whose sizes are summed in order.
 CHUNK_DOCS = 4096
-#: Rounds of the permutation; its domain is the next power of four above the number of blocks.
+#: Shards of a range that one task draws.
+RANGE = 16
+#: Slots that a task makes at a time.
+PORTION = 1 << 18
+#: Rounds of the permutation.
 ROUNDS = 4
+RANGES = "rank int, source_size long, range long, first long, slots long, all_slots long, last_words long, shards long"
+SLOTS = "shard long, slot long, rank int, epoch int, index long, words int"
 
 
 @dataclass(frozen=True)
 class Mix:
-    """pieces: row of each document with size, source_size and target; slots: shard, slot, source, block, words; taken: words by document row."""
+    """documents: row of each with size, source_size and target; units: where each document's words begin in its source;
+    slots: shard, slot, rank (of the source), epoch, index (of the block), words; taken: words by document row."""
 
     documents: DataFrame
+    units: DataFrame
     slots: DataFrame
     taken: DataFrame
 
@@ -68,37 +86,120 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     return levels.withColumn("target", F.least(cap.cast("double"), level * F.col("weight"))).drop("full", "capped", "open", "level")
 
 
-def scrambled(value: Column, *keys: Column) -> Column:
-    """A 31-bit pseudorandom function of a value."""
-    return F.xxhash64(value, *keys).bitwiseAND(F.lit(0x7FFFFFFF))
+class Permutation:
+    """A pseudorandom permutation of 0 .. n - 1: a balanced Feistel network on the next power of four, walked until inside."""
 
+    def __init__(self, n: int, *keys: int) -> None:
+        self.n = n
+        self.half = U64(max(1, ((n - 1).bit_length() + 1) // 2))
+        self.mask = (U64(1) << self.half) - U64(1)
+        key = np.zeros(1, U64)
+        for k in keys:
+            key = mix64(key ^ U64(k & (2**64 - 1)))
+        self.keys = [mix64(key + U64(i + 1)) for i in range(ROUNDS)]
 
-def permuted(rows: DataFrame, place: str, half: str, *keys: Column) -> DataFrame:
-    """``key``: a pseudorandom permutation of 0 .. 4**half - 1, by a balanced Feistel network on two halves of ``half`` bits.
+    def _walked(self, x: np.ndarray, once: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        x = once(x.astype(U64))
+        while len(out := np.flatnonzero(x >= U64(self.n))):
+            x[out] = once(x[out])
+        return x.astype(np.int64)
 
-    Each round is a projection of its own, so that no round is computed twice.
-    """
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(half)) - 1
-    rows = rows.withColumn("_mask", mask).withColumns({"_left": F.call_function("shiftright", F.col(place), F.col(half)), "_right": F.col(place).bitwiseAND(F.col("_mask"))})
-    for i in range(ROUNDS):
-        turned = F.col("_left").bitwiseXOR(scrambled(F.col("_right"), F.lit(i), *keys).bitwiseAND(F.col("_mask")))
-        rows = rows.withColumns({"_left": F.col("_right"), "_right": turned})
-    return rows.withColumn("key", F.call_function("shiftleft", F.col("_left"), F.col(half)) + F.col("_right")).drop("_left", "_right", "_mask")
+    def _forth(self, x: np.ndarray) -> np.ndarray:
+        left, right = x >> self.half, x & self.mask
+        for key in self.keys:
+            left, right = right, left ^ (mix64(right ^ key) & self.mask)
+        return left << self.half | right
 
+    def _back(self, x: np.ndarray) -> np.ndarray:
+        left, right = x >> self.half, x & self.mask
+        for key in reversed(self.keys):
+            left, right = right ^ (mix64(left ^ key) & self.mask), left
+        return left << self.half | right
 
-def block_orders(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """source, epoch, index, slot: for each epoch that a source needs, its blocks in permuted order.
+    def indices(self, places: np.ndarray) -> np.ndarray:
+        return self._walked(places, self._forth)
 
-    The permutation of the larger domain 4**half, restricted to existing blocks and ranked, permutes the blocks.
-    """
-    needed = sources.where("source_size > 0").select("rank", "source_size", "target", "total", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
-    half = F.greatest(F.lit(1), F.ceil(F.log2(F.col("blocks").cast("double") + 1) / 2)).cast("int")
-    rows = needed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("target") / F.col("source_size")).cast("int"))))
-    rows = rows.where("floor(target) > epoch * source_size").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / CHUNK_DOCS))))
-    rows = rows.withColumn("half", half).repartition(partitions(sources.sparkSession), "rank", "epoch", "part")
-    low = F.col("part") * CHUNK_DOCS
-    rows = rows.withColumn("index", F.explode(F.sequence(low, F.least(low + CHUNK_DOCS, F.col("blocks")) - 1)))
-    return permuted(rows, "index", "half", F.lit(seed), F.col("rank"), F.col("epoch")).drop("part")
+    def places(self, indices: np.ndarray) -> np.ndarray:
+        return self._walked(indices, self._back)
+
+
+def slots_of(size: int, target: int, block: int, seed: int, rank: int) -> tuple[int, int]:
+    """How many slots a source needs for its target, and how many words the last one holds."""
+    blocks = -(-size // block)
+    epochs, rest = divmod(target, size)
+    if not rest:
+        last = int(Permutation(blocks, seed, rank, epochs - 1).indices(np.array([blocks - 1]))[0]) if epochs else 0
+        return epochs * blocks, min(block, size - last * block)
+    # The source's last block is short by so many words; it counts if its place comes before the slots' end.
+    short = block * blocks - size
+    place = int(Permutation(blocks, seed, rank, epochs).places(np.array([blocks - 1]))[0])
+    n = -(-rest // block)
+    if place < n and n * block - short < rest:
+        n += 1
+    before = (n - 1) * block - (short if place < n - 1 else 0)
+    return epochs * blocks + n, rest - before
+
+
+def drawn(n: int, widths: np.ndarray, *keys: int) -> np.ndarray:
+    """One draw from a multinomial distribution with probabilities in proportion to widths; it depends on the keys alone."""
+    random = np.random.default_rng([k & (2**64 - 1) for k in keys])
+    if n < len(widths):
+        ends = np.cumsum(widths)
+        return np.bincount(np.searchsorted(ends, random.integers(ends[-1], size=n), "right"), minlength=len(widths))
+    return random.multinomial(n, widths / widths.sum())
+
+
+def _ranges(block: int, shard_words: int, seed: int) -> Callable:
+    """rank, source_size, target, total -> the ranges of shards that get slots of the source."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rank, size, target, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                slots, last = slots_of(size, int(target), block, seed, rank)
+                shards = max(1, -(-total // shard_words))
+                width = np.full(-(-shards // RANGE), RANGE)
+                width[-1] = shards - RANGE * (len(width) - 1)
+                count = drawn(slots, width, seed, rank)
+                first = np.cumsum(count) - count
+                at = np.flatnonzero(count)
+                same = lambda v, t, n=len(at): pa.array(np.full(n, v), t)
+                yield pa.record_batch(
+                    [same(rank, pa.int32()), same(size, pa.int64()), pa.array(at), pa.array(first[at]), pa.array(count[at]), same(slots, pa.int64()), same(last, pa.int64()), same(shards, pa.int64())],
+                    [x.split()[0] for x in RANGES.split(", ")],
+                )
+
+    return run
+
+
+def _slots(block: int, seed: int) -> Callable:
+    """A range of shards -> its slots: each shard's number of them is drawn, and each goes through the permutation."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rank, size, part, first, count, slots, last, shards in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = -(-size // block)
+                begin = part * RANGE
+                each = drawn(count, np.ones(min(RANGE, shards - begin), np.int64), seed, rank, part, 1)
+                ends = np.cumsum(each)
+                maps: dict[int, Permutation] = {}
+                for i in range(0, count, PORTION):
+                    own = np.arange(i, min(i + PORTION, count))
+                    shard = np.searchsorted(ends, own, "right")
+                    slot = own + first
+                    epoch, place = slot // blocks, slot % blocks
+                    index = np.empty_like(place)
+                    for e in np.unique(epoch).tolist():
+                        at = epoch == e
+                        if e not in maps:
+                            maps[e] = Permutation(blocks, seed, rank, e)
+                        index[at] = maps[e].indices(place[at])
+                    words = np.minimum(block, size - index * block)
+                    words[slot == slots - 1] = last
+                    kinds = [x.split() for x in SLOTS.split(", ")]
+                    values = (shard + begin, own - (ends - each)[shard], np.full(len(own), rank), epoch, index, words)
+                    yield pa.record_batch([pa.array(v, pa.int32() if k == "int" else pa.int64()) for v, (_, k) in zip(values, kinds, strict=True)], [n for n, _ in kinds])
+
+    return run
 
 
 def ranked_in_order(rows: DataFrame, group: list[str], key: str, width: Column, value: Column, out: str) -> DataFrame:
@@ -111,12 +212,18 @@ def ranked_in_order(rows: DataFrame, group: list[str], key: str, width: Column,
     before = Window.partitionBy(*group).orderBy("_range")
     sums = sums.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum")).drop("_sum")
     inside = Window.partitionBy(*group, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    # Exploded rows look as small to the optimizer as what they came from; none of these sides may be broadcast.
     joined = rows.hint("merge").join(sums.hint("merge"), [*group, "_range"])
     return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_range", "_before")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, shard_words: int = 1 << 24, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
+def on_blocks(units: DataFrame, words: Column, block: int) -> DataFrame:
+    """The units once for each block that holds words of theirs, by index."""
+    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + words - 1) / block)
+    return units.withColumn("index", F.explode(F.sequence(first, last)))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
+    spark = docs.sparkSession
     rows = written(sized(docs, doc_id, text, source), "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, most)
     sources = written(sources, "sources")
@@ -130,29 +237,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     units = units.withColumn("key", F.xxhash64("doc_id", "size", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1)))
     width = F.floor(F.lit(float(1 << 62)) / F.ceil(F.col("docs") / CHUNK_DOCS))
     words = F.col("size") * F.col("copies")
-    units = ranked_in_order(units, ["rank"], "key", width, words, "begin")
-
-    orders = block_orders(sources, block, seed)
-    length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("index") * block)
-    domain = F.pow(F.lit(4.0), F.col("half"))
-    span = F.greatest(F.lit(1.0), domain * CHUNK_DOCS / F.col("blocks"))
-    slots = ranked_in_order(orders.withColumn("length", length), ["rank", "epoch"], "key", span, F.col("length"), "filled")
-    room = F.floor("target") - F.col("epoch") * F.col("source_size") - F.col("filled")
-    slots = slots.withColumn("words", F.greatest(F.lit(0), F.least("length", room)).cast("long")).where("words > 0")
-    # Every slot falls into a shard on its own: the shards' counts of a source are multinomial, given its total.
-    shards = F.greatest(F.lit(1), F.ceil(F.col("total") / shard_words))
-    slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "rank", "epoch", "index"), shards))
-    slots = slots.select("shard", "rank", "epoch", "index", "words")
-
-    used = slots.groupBy("rank", "index").agg(F.collect_list("words").alias("takes"))
-    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + words - 1) / block)
-    pieces = units.withColumn("index", F.explode(F.sequence(first, last)))
+    units = ranked_in_order(units, ["rank"], "key", width, words, "begin").select("rank", "doc_id", "size", "copies", "begin")
+
+    asked = sources.where("target >= 1").select(F.col("rank").cast("int").alias("rank"), "source_size", "target", "total")
+    ranges = asked.repartition(partitions(spark), "rank").mapInArrow(lean(_ranges(block, shard_words, seed)), RANGES)
+    slots = ranges.repartition(partitions(spark), "rank", "range").mapInArrow(lean(_slots(block, seed)), SLOTS)
+
+    # A block is taken whole so many times, and once in part if it is the last slot's.
+    used = slots.groupBy("rank", "index").agg(F.max("words").alias("long"), F.min("words").alias("short"), F.count(F.lit(1)).alias("n"))
     at = F.col("index") * block
     overlap = lambda take: F.greatest(F.lit(0), F.least(F.col("begin") + words, at + take) - F.greatest(F.col("begin"), at))
-    taken = pieces.hint("merge").join(used.hint("merge"), ["rank", "index"]).withColumn("words", F.aggregate("takes", F.lit(0).cast("long"), lambda acc, take: acc + overlap(take)))
-    taken = taken.groupBy("rank", "doc_id", "size", "copies").agg(F.sum("words").alias("words"))
+    times = F.when(F.col("short") < F.col("long"), F.col("n") - 1).otherwise(F.col("n"))
+    part = F.when(F.col("short") < F.col("long"), F.col("short")).otherwise(0)
+    # Exploded rows look as small to the optimizer as what they came from; none of these sides may be broadcast.
+    met = on_blocks(units, words, block).hint("merge").join(used.hint("merge"), ["rank", "index"])
+    taken = met.withColumn("words", times * overlap(F.col("long")) + overlap(part)).groupBy("rank", "doc_id", "size", "copies").agg(F.sum("words").alias("words"))
     taken = taken.select(F.col("rank").alias("of_rank"), F.col("doc_id").alias("of_doc"), F.col("size").alias("of_size"), "copies", "words")
     same = (F.col("of_rank") == F.col("rank")) & F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_size") == F.col("size"))
     share = F.floor(F.coalesce("words", F.lit(0)) / F.coalesce("copies", F.lit(1)))
     result = known.join(taken.hint("merge"), same, "left").select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
-    return Mix(documents, slots, result)
+    return Mix(documents, units, slots, result)
+
+
+def mixed_text(docs: DataFrame, mixed: Mix, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """shard, slot, rank, words: the mix itself, every slot with the words of its block (one blank between).
+
+    ``docs`` and ``mixed`` (of the same rows) with ids that don't repeat. Documents are cut where blocks end, pieces meet
+    in their block, and blocks meet their slots by index; a slot's rows are bounded by its number of words.
+    """
+    words = F.expr(f"regexp_extract_all(`{text}`, '{WORD}', 0)")
+    own = docs.select(F.col(doc_id).alias("of_doc"), words.alias("own"))
+    placed = mixed.units.join(own, F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    begin, index = F.col("begin"), F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))
+
+    def cut(i: Column) -> Column:
+        low = F.greatest(i * block - begin, F.lit(0))
+        high = F.least((i + 1) * block - begin, F.col("size"))
+        return F.struct(i.alias("index"), F.struct(begin.alias("begin"), F.slice("own", (low + 1).cast("int"), (high - low).cast("int")).alias("w")).alias("piece"))
+
+    pieces = placed.select("rank", F.explode(F.transform(index, cut)).alias("p")).select("rank", "p.*")
+    blocks = pieces.groupBy("rank", "index").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["w"])).alias("w"))
+    joined = mixed.slots.hint("merge").join(blocks.hint("merge"), ["rank", "index"])
+    return joined.select("shard", "slot", "rank", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("words"))

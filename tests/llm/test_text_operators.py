@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,15 +308,70 @@ def test_mix(spark, data):
 
 def test_mix_of_tiny_and_missing_sources(spark):
     rows = [(1, "a b c", "x"), (2, None, "x"), (3, " ", "y"), (4, "w " * 500, None), (5, "q " * 100, "a"), (6, "z", "b"), (None, "t u", "b")]
-    df = messy(spark, rows, "doc_id long, text string, source string").drop("size", "rank")
+    df = messy(spark, rows, "doc_id long, text string, source string")
     check_mix(df)
     assert mixture.mix(df.where("doc_id = 99")).taken.collect() == []
     assert {r.taken for r in mixture.mix(df.where("doc_id = 3")).taken.collect()} == {0}
 
 
-def test_slots_fall_into_shards(spark, data):
+def test_slots_of_a_source_fill_its_target_to_the_word():
+    for size in (1, 5, 63, 64, 65, 640, 1000):
+        blocks = -(-size // 64)
+        for target in range(1, 3 * size + 1, 1 if size < 100 else 37):
+            n, last = mixture.slots_of(size, target, 64, 20, 3)
+            words = []
+            for slot in range(n):
+                index = int(mixture.Permutation(blocks, 20, 3, slot // blocks).indices(np.array([slot % blocks]))[0])
+                words.append(min(64, size - 64 * index))
+            assert last <= words[-1] and sum(words[:-1]) + last == target
+
+
+def test_permutations():
+    for n in (1, 2, 5, 64, 1000, 5000):
+        p = mixture.Permutation(n, 7, 1)
+        there = p.indices(np.arange(n))
+        assert sorted(there.tolist()) == list(range(n))
+        assert p.places(there).tolist() == list(range(n))
+    assert mixture.Permutation(1000, 7, 1).indices(np.arange(1000)).tolist() != mixture.Permutation(1000, 7, 2).indices(np.arange(1000)).tolist()
+
+
+def test_counts_of_shards_are_multinomial():
+    draws = np.array([mixture.drawn(400, np.array([16, 16, 8]), 1, k) for k in range(2000)])
+    assert (draws.sum(axis=1) == 400).all()
+    assert np.abs(draws.mean(axis=0) - [160, 160, 80]).max() < 2
+    assert np.abs(draws.var(axis=0) - [96, 96, 64]).max() < 12
+    few = np.array([mixture.drawn(3, np.ones(10, np.int64), 1, k) for k in range(3000)])
+    assert (few.sum(axis=1) == 3).all() and np.abs(few.mean(axis=0) - 0.3).max() < 0.05
+
+
+def test_the_mix_holds_the_words_that_documents_give(spark):
+    """Every word tells its document and place: what shards hold is what was taken, each block of an epoch once."""
+    r = random.Random(11)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(r.choice([0, 1, 7, 64, 150, 1500]))), r.choice(["a", "b", "b", "b", None])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    made = mixture.mix(docs, shard_words=700)
+    shards = mixture.mixed_text(docs, made).collect()
+    given, word_source = {}, {i: s for i, _, s in rows}
+    for row in shards:
+        for w in row.words.split(" "):
+            given[w] = given.get(w, 0) + 1
+    taken = {x.doc_id: x for x in made.taken.collect()}
+    for i, text, _ in rows:
+        assert sum(given.get(w, 0) for w in text.split()) == taken[i].taken
+        assert all(given.get(w, 0) <= 3 for w in text.split())
+    for s in ("a", "b", None):
+        own = [x for i, x in taken.items() if word_source[i] == s]
+        assert sum(x.taken for x in own) == int(own[0].target)
+    assert len({(x.shard, x.slot, x.rank) for x in shards}) == len(shards)
+    assert len({x.shard for x in shards}) > 5
+
+
+def test_shards_change_the_draws_and_not_the_targets(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    made = mixture.mix(docs, shard_words=5000)
-    counts = made.slots.groupBy("shard").agg(F.sum("words").alias("words")).collect()
-    assert len(counts) > 5
-    assert max(r.words for r in counts) < 2.5 * min(r.words for r in counts)
+    few, many = mixture.mix(docs, shard_words=50_000), mixture.mix(docs, shard_words=5000)
+    count = lambda m: {(x.shard, x.rank): x.n for x in m.slots.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n")).collect()}
+    a, b = count(few), count(many)
+    assert len({k[0] for k in b}) > 5 * len({k[0] for k in a}) > 0
+    total = lambda c: {k: sum(n for (_, x), n in c.items() if x == k) for k in {x for _, x in c}}
+    assert total(a) == total(b)
+    assert sorted(map(tuple, few.taken.collect()), key=str) == sorted(map(tuple, many.taken.collect()), key=str)

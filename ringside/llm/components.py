@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringside.llm.arrays import lean
-from ringside.llm.session import written
+from ringside.llm.session import rewritten, written
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,13 +46,13 @@ def components(edges: DataFrame) -> DataFrame:
     """a, b of undirected edges -> node, component (its smallest node), for every node with an edge.
 
     Each round is a few grouped minima and joins over at most the nodes' number of edges, written to the
-    shared folder; rounds grow with the logarithm of the nodes. Nothing is collected but two sums a round.
+    shared folder, and the one before is removed; rounds grow with the logarithm of the nodes. Nothing is collected but two sums a round.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     stars = written(edges.where("a <> b").select(a, b).mapInArrow(lean(_forest), "a long, b long").distinct(), "stars")
     seen = None
     while True:
-        stars = written(_small_star(_large_star(stars)).distinct(), "stars")
+        stars = rewritten(_small_star(_large_star(stars)).distinct(), "stars", old=stars)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

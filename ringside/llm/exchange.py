@@ -42,12 +42,12 @@ def rows_of(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
     yield from trimmed(())
 
 
-def split(bucket: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has entries, with their places in the order they came."""
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    for b in np.flatnonzero(np.diff(bounds)):
-        yield int(b), order[bounds[b] : bounds[b + 1]]
+    first = changes(bucket[order])
+    for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield int(bucket[order[begin]]), order[begin:end]
 
 
 def doc_bucket(docs: np.ndarray, bits: int) -> np.ndarray:
@@ -58,14 +58,14 @@ def pack_keys(docs: np.ndarray, keys: np.ndarray, bits: int, width: int) -> Iter
     """Rows for the first shuffle. Of a key's hash the first ``bits`` choose the bucket and ``8 * width`` more are kept."""
     bucket = keys >> U64(64 - bits)
     low = (keys >> U64(64 - bits - 8 * width)) & U64((1 << (8 * width)) - 1)
-    for b, at in split(bucket, 1 << bits):
+    for b, at in split(bucket):
         yield b, KEYS, planes(docs[at], 8), planes(low[at], width), b""
 
 
 def pack_facts(docs: np.ndarray, sigs: list[bytes], sizes: np.ndarray, bits: int) -> Iterator[tuple]:
     """What is known of each document (a 16-byte signature and a size) goes along to where its keys come back."""
     table = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(-1, 16)
-    for b, at in split(doc_bucket(docs, bits), 1 << bits):
+    for b, at in split(doc_bucket(docs, bits)):
         yield b, FACTS, planes(docs[at], 8), table[at].tobytes(), planes(sizes[at], 8)
 
 
@@ -105,7 +105,7 @@ def _shared(bits: int, width: int) -> Callable:
                 kept = np.repeat(several, length)
                 docs, keys = docs[kept], keys[kept] | (U64(bucket) << U64(8 * width))
                 count = np.repeat(np.minimum(length[several], 0xFFFFFFFF), length[several])
-                for b, at in split(doc_bucket(docs, bits), 1 << bits):
+                for b, at in split(doc_bucket(docs, bits)):
                     at = at[np.argsort(docs[at], kind="stable")]
                     yield b, KEYS, planes(docs[at], 8), planes(keys[at], 8), planes(count[at], 4)
 

@@ -143,7 +143,7 @@ def _send_runs(kind: Windows, bits: int) -> Callable:
                 bucket, docs, start, count, content, length = (np.concatenate(x) for x in zip(*held, strict=True))
                 begin = np.cumsum(length) - length
                 raw = content.tobytes()
-                for b, at in X.split(bucket, 1 << bits):
+                for b, at in X.split(bucket):
                     seen: dict[bytes, int] = {}
                     which = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(begin[at].tolist(), (begin + length)[at].tolist(), strict=True)])
                     yield b, X.KEYS, planes(docs[at], 8), b"".join(seen), planes(start[at], 4) + planes(count[at], 4) + planes(which, 4)

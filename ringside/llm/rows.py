@@ -47,6 +47,6 @@ def unpack_rows(rows: DataFrame, text: str = "text") -> DataFrame:
 def without_ids(rows: DataFrame, gone: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``rows`` whose id is not in ``gone`` (one column), one row for each id, and all rows with a null id."""
     named = pack_rows(rows.where(F.col(row_id).isNotNull()), text)
-    key = gone.toDF("_gone").distinct()
-    kept = named.join(key, F.col(row_id) == F.col("_gone"), "left_anti").dropDuplicates([row_id])
+    key = gone.toDF("id").distinct()
+    kept = named.alias("rows").join(key.alias("gone"), F.col(f"rows.`{row_id}`") == F.col("gone.id"), "left_anti").dropDuplicates([row_id])
     return unpack_rows(kept, text).union(rows.where(F.col(row_id).isNull()))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set to a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and one machine does all."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None and jsc.getCheckpointDir().isEmpty() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ringside-ckpt-"))
     return named or jsc.getCheckpointDir().get()
@@ -30,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rewritten(df: DataFrame, name: str, old: DataFrame | None = None) -> DataFrame:
+    """As ``written``; the written table ``old`` that ``df`` was made from, and nothing else needs, is removed."""
+    new = written(df, name)
+    for path in old.inputFiles()[:1] if old is not None else ():
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return new
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -40,7 +51,7 @@ def bucket_bits(docs: DataFrame, text: str = "text", bytes_per_bucket: int = 2 <
     Counted over the whole table; it changes how the work is cut, never the result.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return min(20, max(5, (int(size) // bytes_per_bucket).bit_length()))
+    return min(24, max(5, (int(size) // bytes_per_bucket).bit_length()))
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

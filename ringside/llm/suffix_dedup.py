@@ -83,7 +83,7 @@ def _judge(length: int, bits: int) -> Callable:
                         continue
                     begin = spread(start[some], count[some])[at]
                     found = holder[at]
-                    for b, i in X.split(X.doc_bucket(found, bits), 1 << bits):
+                    for b, i in X.split(X.doc_bucket(found, bits)):
                         yield b, X.KEYS, planes(found[i], 8), planes(begin[i], 4), planes(begin[i] + n[i] + length - 1, 4)
 
         yield from X.rows_of(rows())

@@ -37,6 +37,54 @@ def test_language_of_odd_texts(spark):
     assert not {9, 10} & {r.doc_id for r in language_id.known_language(df).collect()}
 
 
+def plain_bundle(text):
+    """One trigram after another, one element after another."""
+    letters = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    letters = re.sub(" +", " ", letters)
+    total = np.zeros(language_id.SIZE, int)
+    for i in range(len(letters) - 2):
+        v = np.ones(language_id.SIZE, int)
+        for j, c in enumerate(letters[i : i + 3]):
+            own = np.unpackbits(language_id.letter_vectors(np.array([ord(c)], np.uint64)), axis=1)[0].astype(int) * 2 - 1
+            # Bits bind by exclusive or; of +-1 that is the negated product.
+            v = np.roll(own, 2 - j) if j == 0 else -v * np.roll(own, 2 - j)
+        total += v
+    return total
+
+
+def test_scores_are_cosines_of_plainly_bundled_trigrams(spark):
+    rows = [(1, "The old house, the new garden", "en"), (3, "das alte haus im neuen garten", "de"), (5, "la vieille maison", "fr"), (8, "DAS haus 12", "de"), (9, "zq xj", None), (10, "", "en"), (11, "a", "fr"), (12, None, "de"), (13, "the" * 30_000 + " und" * 12_000, None)]
+    held = {r.doc_id for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").where(language_id.held_out()).collect()}
+    table = {}
+    for i, t, lang in rows:
+        if lang and i not in held:
+            table[lang] = table.get(lang, 0) + plain_bundle(t or "")
+    got = language_id.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("score", "vector")})).collect()
+    for r in got:
+        text = rows[[x[0] for x in rows].index(r.doc_id)][1] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = plain_bundle(text)
+        cosine = {k: float(v @ w / np.linalg.norm(v) / max(np.linalg.norm(w), 1e-300)) for k, w in table.items()}
+        assert cosine[r.lang_pred] == pytest.approx(max(cosine.values()), abs=1e-5)
+        assert r.score == pytest.approx(max(0, max(cosine.values())), abs=1e-5)
+
+
+def test_the_largest_cosine_wins_below_zero_too():
+    table = np.array([[1.0, 0.0], [0.8, 0.6]])
+    assert language_id.judged(["de", "en"], table, np.array([[-1.0, 0.01], [3.0, 4.0]]), np.array([True, False])) == (["en", "und"], [0.0, 0.0])
+
+
+def test_many_different_trigrams_are_bundled_in_slices(monkeypatch):
+    texts = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for k in range(127)) for i in range(40)]
+    whole, _ = language_id.bundled(texts)
+    monkeypatch.setattr(language_id, "SLICE", 50)
+    monkeypatch.setattr(language_id, "CHUNK", 60)
+    parts, _ = language_id.bundled(texts)
+    assert np.array_equal(whole, parts)
+
+
 def test_bound_trigrams_are_nearly_orthogonal():
     grams = np.array([[97, 98, 99], [99, 98, 97], [97, 98, 100], [98, 97, 99]], np.uint64)
     v = language_id.bound(grams)

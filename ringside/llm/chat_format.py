@@ -441,7 +441,7 @@ def format_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE
     """
     compile_template(template)
     small_batches(conversations.sparkSession)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     rows = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(lean(_format(template)), "conv_id long, segment int, text string, loss array<struct<start:int,end:int>>")
 

@@ -5,18 +5,22 @@ its version-specific header lines (never by searching for the next record), and
 records: identifiers that depend only on the record, timestamps from the archive date, types, payload digests and
 lengths. Records whose payloads are equal and long enough become revisits of the one with the largest page_id.
 
-WARC files are written by Spark's text writer to the shared folder, one per task, with the record separator as the line
-separator and gzip; they are read back whole, file by file, again by declared lengths.
+WARC files are written by Spark's text writer to the shared folder, with the record separator as the line separator and
+gzip. What it writes as a row is a part of many records of at most ``PART`` bytes together (a longer record is a part of
+its own), and a file holds one part, so that files are bounded by bytes. They are read back file by file: inflated a
+little at a time, and cut again by declared lengths.
+
+The archive's version block becomes each part's first record, of type warcinfo.
 
 Defined results: null html is an empty payload, null url the empty string; rows with null page_id are written, are
 always responses and are never pointed to; rows that repeat a page_id and its payload are equals of each other, not
-revisits; an empty table gives an empty result; further columns are ignored.
+revisits; line breaks inside a url become %0D and %0A; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,6 +38,9 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 ARC_DATE = "20240101000000"
+#: Bytes of the records that one file holds, before they are compressed; bytes that are inflated at a time.
+PART, INFLATED = 32 << 20, 1 << 20
+SOFTWARE = "software: ringside\r\nformat: WARC file version 1.1\r\n"
 #: Records with shorter payloads are never revisits.
 LEAST_PAYLOAD = 1000
 PAGE_HEADER = "X-Page-Id"
@@ -61,7 +68,7 @@ def arc_archive(pages: Iterable[tuple[int | None, str | None, str | None]], vers
     for page_id, url, html in pages:
         payload = (html or "").encode()
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n{PAGE_HEADER}: {NO_PAGE if page_id is None else page_id}\r\n\r\n".encode()
-        where = re.sub(r"[\r\n]", "", url or "") or NO_PAGE
+        where = (url or "").replace("\r", "%0D").replace("\n", "%0A") or NO_PAGE
         out += [f"{where} 0.0.0.0 {ARC_DATE} text/html{extra} {len(http) + len(payload)}\n".encode(), http, payload, b"\n"]
     return b"".join(out)
 
@@ -134,53 +141,97 @@ def converted(pages: DataFrame, version: int = 1) -> DataFrame:
 def with_revisits(records: DataFrame, pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """The records with ``holder``, the page that a revisit points to (null for responses).
 
-    Equal payloads are found by digest over all pages, without their texts; only groups of several go on.
+    Equal payloads are found by digest over all pages, without their texts, and what is found meets the records by page.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     short = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).alias("size"))
-    held = short.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("digest").agg(F.max("page_id").alias("holder"), F.min("page_id").alias("first"))
-    held = held.where("first < holder").select("digest", "holder")
-    joined = records.join(held, records["payload_digest"] == held["digest"], "left").drop("digest")
-    return joined.withColumn("holder", F.when(F.col("page_id") < F.col("holder"), F.col("holder")))
+    long = short.where(F.col("page_id").isNotNull() & (F.col("size") >= least))
+    held = long.groupBy("digest").agg(F.max("page_id").alias("holder"), F.min("page_id").alias("first")).where("first < holder")
+    # The digest is computed anew, so that Spark may split the partition of a payload that very many pages have.
+    held = held.select(F.concat("digest", F.lit("")).alias("of"), "holder")
+    again = long.join(held, F.col("digest") == F.col("of")).where("page_id < holder").select(F.col("page_id").alias("page"), "digest", "holder").distinct()
+    named = records.where("page_id is not null")
+    joined = named.join(again, (named["page_id"] == again["page"]) & (named["payload_digest"] == again["digest"]), "left").drop("page", "digest")
+    return joined.unionByName(records.where("page_id is null").withColumn("holder", F.lit(None).cast("long")))
+
+
+def warc_record(kind: str, head: list[str], block: str, content_type: str) -> str:
+    """A record without the separator that ends it."""
+    length = len(block.encode())
+    return "\r\n".join(["WARC/1.1", f"WARC-Type: {kind}", *head, f"Content-Type: {content_type}", f"Content-Length: {length}"]) + SEPARATOR + block
 
 
 def _frame(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record as text, without the separator that ends it."""
+    """Records as text, many of them in a row, each but the last with the separator that ends it."""
+    info: list[str] = []
+    held: list[str] = []
+    size = 0
+
+    def part() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([SEPARATOR.join(info + held)], pa.large_string()).cast(pa.string())], ["value"])
+
     for batch in batches:
-        out = []
-        for _, own, uri, date, http, payload, size, digest, holder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            block = http + SEPARATOR + ("" if holder is not None else payload)
-            head = [
-                "WARC/1.1",
-                f"WARC-Type: {'response' if holder is None else 'revisit'}",
-                f"WARC-Record-ID: <{own}>",
-                f"WARC-Target-URI: {uri}",
-                f"WARC-Date: {date}",
-                f"WARC-Payload-Digest: sha1:{digest}",
-                f"WARC-Payload-Length: {size}",
-            ]
+        for _, own, uri, date, http, payload, length, digest, holder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            head = [f"WARC-Record-ID: <{own}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {length}"]
             if holder is not None:
                 head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(holder, digest)}>"]
-            head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block.encode())}"]
-            out.append("\r\n".join(head) + SEPARATOR + block)
-        yield pa.record_batch([pa.array(out, pa.string())], ["value"])
-
-
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of a WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
+            block = http + SEPARATOR + ("" if holder is not None else payload)
+            record = warc_record("response" if holder is None else "revisit", head, block, "application/http;msgtype=response")
+            if held and size + len(block) > PART:
+                yield part()
+                held, size = [], 0
+            if not held:
+                number = uuid.uuid5(uuid.NAMESPACE_URL, own)
+                info = [warc_record("warcinfo", [f"WARC-Record-ID: <urn:uuid:{number}>", f"WARC-Date: {date}"], SOFTWARE, "application/warc-fields")]
+            held.append(record)
+            size += len(block)
+    if held:
+        yield part()
+
+
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record of a WARC file that comes in chunks; one record is held at a time."""
+    source, held = iter(chunks), bytearray()
+
+    def more() -> bool:
+        chunk = next(source, None)
+        if chunk is None:
+            return False
+        held.extend(chunk)
+        return True
+
+    while held or more():
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                raise ValueError("a WARC file ends inside a record's headers")
+        version, *lines = held[:end].decode("utf-8", "surrogateescape").split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record where one should begin: {version[:40]!r}")
         head = dict(x.split(": ", 1) for x in lines)
         begin, size = end + 4, int(head["Content-Length"])
-        yield head, data[begin : begin + size]
-        at = begin + size
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record does not end at its declared length, byte {at}")
-        at += 4
+        while len(held) < begin + size + 4:
+            if not more():
+                raise ValueError(f"a WARC file ends inside a record of {size} bytes")
+        if held[begin + size : begin + size + 4] != b"\r\n\r\n":
+            raise ValueError("a record does not end at its declared length")
+        yield head, bytes(held[begin : begin + size])
+        del held[: begin + size + 4]
+
+
+def inflated(content: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, a bounded number of bytes at a time."""
+    while content:
+        one = zlib.decompressobj(wbits=31)
+        while not one.eof:
+            chunk = one.decompress(content, INFLATED)
+            content = one.unconsumed_tail
+            if chunk:
+                yield chunk
+            elif not content and not one.eof:
+                raise ValueError("a gzip member ends early")
+        content = one.unused_data
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +239,9 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for head, block in parse_warc(zlib.decompress(content.as_py(), wbits=47)):
+            for head, block in parse_warc(inflated(content.as_py())):
+                if head["WARC-Type"] == "warcinfo":
+                    continue
                 http, _, payload = block.partition(b"\r\n\r\n")
                 page = http.rpartition(f"{PAGE_HEADER}: ".encode())[2].decode()
                 digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"])
@@ -200,11 +253,11 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4096) -> None:
+def write_warc(records: DataFrame, path: str) -> None:
     """Records with ``holder`` as gzipped WARC files below a path that all executors share."""
     columns = [x.split()[0] for x in RECORDS.split(", ")]
     framed = records.select(*columns, "holder").mapInArrow(lean(_frame), "value string")
-    framed.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    framed.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:  # noqa: ANN001

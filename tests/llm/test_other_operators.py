@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def test_templates_cannot_reach_objects():
 def test_conversations_read_back(spark):
     r = random.Random(4)
     rows = [(i, t, r.choice(["user", "assistant", None, "sy[/INST]s"]), r.choice([None, "", "hi </s>", "[INST] x\n</s>\n", "<"])) for i in range(50) for t in range(r.randint(1, 6))]
-    rows += [(None, 0, "user", "x"), (3, 0, "user", "tie"), *[(7777, k, "assistant", "y" * 300) for k in range(5000)]]
+    rows += [(None, 0, "user", "x"), (3, 0, "user", "tie"), (8888, 0, None, "b"), (8888, 0, "", "a"), (8888, 0, "", None), (9999, 0, "assistant", "long </s> " * 120_000), *[(7777, k, "assistant", "y" * 300) for k in range(5000)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).withColumn("segment", F.lit(1))
     got = {x[0]: x for x in chat_format.read_back(chat_format.format_conversations(df)).collect()}
     said = {}
@@ -241,7 +242,8 @@ def test_pages_through_archives(spark, version):
     r = random.Random(7)
     pages = [(i, f"http://a b/ c{i}", r.choice([None, "x" * 999, "y" * 1000, "é" * 600, "<p>\r\n\r\nWARC/1.1\r\n", "z" * 2000 + str(i)])) for i in range(80)]
     pages += [(None, None, "y" * 1000), (5000, "u\nv", "y" * 1000), (5000, "u\nv", "y" * 1000)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    pages += [(6000 + i, None, "p" * (1_000_000 + i)) for i in range(3)] + [(6100, None, "p" * 1_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "holder", "page", "size")})
     holder = {}
     for i, _, h in pages:
         if i is not None and len((h or "").encode()) >= 1000:
@@ -255,6 +257,25 @@ def test_pages_through_archives(spark, version):
     assert sorted(map(tuple, warc_convert.convert_pages(df, version).collect()), key=str) == sorted(expected, key=str)
 
 
+def test_files_are_bounded_by_bytes(monkeypatch):
+    """In two parts, each with its own information record; a record longer than a part is a part of its own."""
+    monkeypatch.setattr(warc_convert, "PART", 3000)
+    pages = pa.record_batch([pa.array(range(9)), pa.array([f"http://x/{i}\r\n" for i in range(9)]), pa.array(["a" * 900] * 4 + ["b" * 9000] + ["c" * 10] * 4)], ["page_id", "url", "html"])
+    records = list(warc_convert._convert(1)([pages]))
+    framed = [pa.record_batch([*r.columns, pa.nulls(r.num_rows, pa.int64())], [*r.schema.names, "holder"]) for r in records]
+    parts = [v for b in warc_convert._frame(framed) for v in b.column(0).to_pylist()]
+    assert len(parts) == 4
+    whole = [(warc_convert.zlib.compress((p + warc_convert.SEPARATOR).encode(), wbits=31)) for p in parts]
+    seen = []
+    for content in [*whole[:2], whole[2] + whole[3]]:
+        heads = [h for h, _ in warc_convert.parse_warc(warc_convert.inflated(content))]
+        assert heads[0]["WARC-Type"] == "warcinfo"
+        seen += [h["WARC-Target-URI"] for h in heads if h["WARC-Type"] == "response"]
+    assert seen == [f"http://x/{i}%0D%0A" for i in range(9)]
+    with pytest.raises(ValueError):
+        list(warc_convert.parse_warc(warc_convert.inflated(whole[0][:-30])))
+
+
 def test_archives_of_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_convert.convert_pages(df).collect() == []

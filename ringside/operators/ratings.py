@@ -2,7 +2,7 @@
 
 A rating update couples two athletes, so the fold of a group of athletes who meet each other is sequential by its
 definition. It streams through one task per ``group`` (a league, a federation, a component of the meeting graph) with one
-number per athlete as its state; groups run in parallel.
+number per athlete as its state; groups run in parallel. A group's bouts are never held: they pass by in order.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringside.functions.rating import K, START, argmax, expectation, log_loss, outcome_probabilities
 from ringside.operators.history import ORDER
 
-RATED = "fest_id long, a_id long, b_id long, elo_a_pre double, elo_b_pre double, n_a_pre long, n_b_pre long, elo_a_post double, elo_b_post double"
+RATED = "fest_id long, a_id long, b_id long, datum date, outcome string, elo_a_pre double, elo_b_pre double, n_a_pre long, n_b_pre long, elo_a_post double, elo_b_post double"
 POINTS = {"win_a": 1.0, "draw": 0.5, "win_b": 0.0}
 
 
@@ -25,58 +25,62 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, rating, count = None, None, None
     for batch in batches:
         out = []
-        for group, fest, a, b, outcome, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for group, fest, a, b, datum, outcome, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group != current or rating is None:
                 current, rating, count = group, defaultdict(lambda: START), defaultdict(int)
             ra, rb = rating[a], rating[b]
             step = k * (POINTS[outcome] - 1 / (1 + 10 ** ((rb - ra) / 400)))
-            row = (fest, a, b, ra, rb, count[a], count[b])
+            row = (fest, a, b, datum, outcome, ra, rb, count[a], count[b])
             rating[a], rating[b] = ra + step, rb - step
             count[a] += 1
             count[b] += 1
             out.append((*row, ra + step, rb - step))
         if out:
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()] * 2 + [pa.float64()] * 2
+            kinds = [pa.int64()] * 3 + [pa.date32(), pa.string()] + [pa.float64()] * 2 + [pa.int64()] * 2 + [pa.float64()] * 2
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RATED.split(", ")])
 
 
-def rated(bouts: DataFrame, weight: F.Column, group: str | None = None) -> DataFrame:
-    """Both ratings and bout counts before every bout, and the ratings after it."""
+def rated(bouts: DataFrame, weight: Column, group: str | None = None) -> DataFrame:
+    """Every bout with both ratings and numbers of bouts before it, and the ratings after it."""
     name = F.col(group) if group else F.lit(0)
     rows = bouts.select(name.alias("group"), "fest_id", "a_id", "b_id", "outcome", (K * weight).alias("k"), F.col("datum"))
     rows = rows.repartition("group").sortWithinPartitions("group", *ORDER)
-    return rows.select("group", "fest_id", "a_id", "b_id", "outcome", "k").mapInArrow(_fold, RATED)
+    return rows.select("group", "fest_id", "a_id", "b_id", "datum", "outcome", "k").mapInArrow(_fold, RATED)
 
 
-def final_ratings(bouts: DataFrame, snapshots: DataFrame, athletes: DataFrame) -> DataFrame:
+def final_ratings(snapshots: DataFrame, athletes: DataFrame) -> DataFrame:
     """Every athlete's rating and number of bouts; 1500 and 0 without one."""
-    dated = snapshots.join(bouts.select("fest_id", "a_id", "b_id", "datum"), ["fest_id", "a_id", "b_id"])
     both = F.array(*(F.struct(F.col(f"{s}_id").alias("athlete_id"), F.col(f"elo_{s}_post").alias("elo")) for s in "ab"))
-    each = dated.select(*ORDER, F.explode(both).alias("r")).select(*ORDER, "r.*")
+    each = snapshots.select(*ORDER, F.explode(both).alias("r")).select(*ORDER, "r.*")
     last = each.groupBy("athlete_id").agg(F.max_by("elo", F.struct(*ORDER)).alias("elo"), F.count(F.lit(1)).alias("n"))
     return athletes.select("athlete_id").join(last, "athlete_id", "left").select("athlete_id", F.coalesce("elo", F.lit(START)).alias("elo"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def label(outcome: str = "outcome") -> F.Column:
+def label(outcome: str = "outcome") -> Column:
     return F.when(F.col(outcome) == "win_a", 0).when(F.col(outcome) == "draw", 1).otherwise(2)
 
 
-def baseline(bouts: DataFrame, snapshots: DataFrame) -> DataFrame:
+def baseline(snapshots: DataFrame) -> DataFrame:
     """Log-loss and accuracy of the outcome that ratings alone predict."""
     p = outcome_probabilities(F.col("elo_a_pre"), F.col("elo_b_pre"))
-    rows = bouts.join(snapshots, ["fest_id", "a_id", "b_id"]).select(p.alias("p"), label().alias("y"))
+    rows = snapshots.select(p.alias("p"), label().alias("y"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("log_loss"), F.avg((argmax(F.col("p")) == F.col("y")).cast("double")).alias("accuracy"))
 
 
-def surprises(bouts: DataFrame, snapshots: DataFrame) -> DataFrame:
+def surprises(snapshots: DataFrame) -> DataFrame:
     """athlete_id, surprise (mean of points minus expected points), n, and the biggest win: opponent, fest, surprise."""
     e = expectation(F.col("elo_a_pre"), F.col("elo_b_pre"))
     points = F.when(F.col("outcome") == "win_a", 1.0).when(F.col("outcome") == "draw", 0.5).otherwise(0.0)
     one = F.struct(F.col("a_id").alias("athlete_id"), F.col("b_id").alias("opponent_id"), points.alias("s"), (points - e).alias("d"))
     two = F.struct(F.col("b_id").alias("athlete_id"), F.col("a_id").alias("opponent_id"), (1 - points).alias("s"), (e - points).alias("d"))
-    each = bouts.join(snapshots, ["fest_id", "a_id", "b_id"]).select("fest_id", F.explode(F.array(one, two)).alias("r")).select("fest_id", "r.*")
+    each = snapshots.select("fest_id", F.explode(F.array(one, two)).alias("r")).select("fest_id", "r.*")
     win = F.when(F.col("s") == 1.0, F.struct("opponent_id", "fest_id", "d"))
     rank = F.when(F.col("s") == 1.0, F.struct(F.col("d"), (-F.col("fest_id")).alias("f"), (-F.col("opponent_id")).alias("o")))
     return each.groupBy("athlete_id").agg(F.bround(F.avg("d"), 4).alias("surprise"), F.count(F.lit(1)).alias("n"), F.max_by(win, rank).alias("best")).select(
         "athlete_id", "surprise", "n", F.col("best.opponent_id").alias("best_opponent"), F.col("best.fest_id").alias("best_fest"), F.bround("best.d", 4).alias("best_surprise")
     )
+
+
+def favourite_index(tier: Column) -> Column:
+    """From elo and wreath_ordinal: 25 for each wreath level, 18 more at a federal or mountain fest."""
+    return F.col("elo") + 25 * F.col("wreath_ordinal") + F.when(tier.isin("federal", "mountain"), 18).otherwise(0)

@@ -80,22 +80,31 @@ def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", R.plausible(cm, 140, 230).alias("height_cm"), R.plausible(kg, 40, 250).alias("weight_kg"))
 
 
-WRITTEN = "case when s_suppkey % 3 = 0 then '  SUPPLIER#' || substr(s_name, 10) when s_suppkey % 3 = 1 then s_name else 'Unknown Person ' || (s_suppkey % 5) end"
+PERSON = "s_name || ' ' || n_name"
+WRITTEN = f"case s_suppkey % 4 when 0 then '  SUPPLIER#' || substr({PERSON}, 10) when 1 then n_name || '  ' || s_name when 2 then 'supplier ' || n_name else 'Unknown Person ' || (s_suppkey % 5) end"
+PEOPLE = f"with people as (select s_suppkey as id, lower({PERSON}) as norm, {WRITTEN} as written from supplier join nation on s_nationkey = n_nationkey), asked as (select distinct written as name, string_split(regexp_replace(trim(lower(written)), ' +', ' ', 'g'), ' ') as words from people)"
 
 
 def _written_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    """Names as they are written: in other letters, turned round, too short to tell, or unknown; and all persons."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     key = F.col("s_suppkey")
-    name = F.when(key % 3 == 0, F.concat(F.lit("  SUPPLIER#"), F.expr("substr(s_name, 10)"))).when(key % 3 == 1, F.col("s_name")).otherwise(F.concat(F.lit("Unknown Person "), (key % 5).cast("string")))
-    return supplier.select(name.alias("name")), supplier.select(key.alias("person_id"), F.col("s_name").alias("person"))
+    people = supplier.select(key.alias("person_id"), F.concat_ws(" ", "s_name", "n_name").alias("person"), "s_name", "n_name")
+    kind = F.col("person_id") % 4
+    other = F.concat(F.lit("Unknown Person "), (F.col("person_id") % 5).cast("string"))
+    name = F.when(kind == 0, F.concat(F.lit("  SUPPLIER#"), F.expr("substr(person, 10)"))).when(kind == 1, F.concat_ws("  ", "n_name", "s_name")).when(kind == 2, F.concat(F.lit("supplier "), "n_name")).otherwise(other)
+    return people.select(name.alias("name")), people.select("person_id", "person")
 
 
-@query(f"with a as (select distinct {WRITTEN} as name from supplier) select a.name, max(s_suppkey) as person_id from a left join supplier on lower(trim(a.name)) = lower(s_name) group by a.name")
+@query(PEOPLE + """, exact as (select name, max(id) as id from asked join people on norm = array_to_string(words, ' ') group by name), loose as (
+  select name, min(id) as id from asked join people on len(list_filter(words, lambda w: not contains(norm, w))) = 0 where len(words) >= 2 group by name having count(distinct norm) = 1
+) select asked.name, coalesce(exact.id, loose.id) as person_id from asked left join exact using (name) left join loose using (name)""")
 def fuzzy_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.resolved(*_written_names(spark, sf_dir))
 
 
-@query(f"with a as (select {WRITTEN} as name from supplier) select lower(name) as stub_id, min(name) as name from a where lower(trim(name)) not in (select lower(s_name) from supplier) group by 1")
+@query(PEOPLE + ", n as (select name, array_to_string(words, ' ') as norm from asked) select norm as stub_id, min(name) as name from n where norm not in (select norm from people) group by norm")
 def stub_athletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.stubs(*_written_names(spark, sf_dir))
 

@@ -83,7 +83,7 @@ def test_ratings(spark, data):
     rated = ratings.rated(bout, C.tier_weight())
     for r in rated.collect():
         assert (r.elo_a_pre, r.elo_b_pre, r.n_a_pre, r.n_b_pre) == pytest.approx(before[r.fest_id, r.a_id, r.b_id])
-    final = ratings.final_ratings(bout, rated, C.athletes(spark, data)).collect()
+    final = ratings.final_ratings(rated, C.athletes(spark, data)).collect()
     assert {r.athlete_id: r.elo for r in final} == pytest.approx({r.athlete_id: after[r.athlete_id] for r in final})
     assert sum(r.elo for r in final) == pytest.approx(1500 * len(final))
 

@@ -121,13 +121,13 @@ def test_landed_files(spark, tmp_path):
 def test_exports(spark, data, tmp_path):
     bout, people = C.bouts(spark, data), C.athletes(spark, data)
     rated = ratings.rated(bout, C.tier_weight())
-    exports.write_json(exports.rating_rows(people, ratings.final_ratings(bout, rated, people)), str(tmp_path / "ratings"))
+    exports.write_json(exports.rating_rows(people, ratings.final_ratings(rated, people)), str(tmp_path / "ratings"))
     assert spark.read.json(str(tmp_path / "ratings")).count() == people.count()
     sides = C.sides(bout)
-    rows = exports.profile_rows(people, history.current_form(sides), ratings.surprises(bout, rated), history.wreaths(labels.deduplicated(C.entries(bout))), sides.select("athlete_id").distinct()).collect()
+    rows = exports.profile_rows(people, history.current_form(sides), ratings.surprises(rated), history.wreaths(labels.deduplicated(C.entries(bout))), sides.select("athlete_id").distinct()).collect()
     assert [r.name for r in rows] == sorted(r.name for r in rows) and rows[0].biggest_win is not None
     assert exports.meeting_rows(bout).agg(F.sum(F.size("bouts"))).first()[0] == bout.count()
-    base = ratings.baseline(bout, rated)
+    base = ratings.baseline(rated)
     row = exports.report_row(bout, labels.warnings(C.entries(bout)), base, base).first()
     assert (row.bouts, row.better_loss, row.better_hits, row.better, len(row.warnings)) == (bout.count(), False, True, False, 50)
 

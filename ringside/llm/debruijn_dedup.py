@@ -11,6 +11,9 @@ Windows of ``length`` words (k-mers) are the edges of a graph whose nodes are th
 3. Source coordinates verify: the path's words are read from the source document, and a later document loses
    them only if their digest is that of its own words.
 
+An edge is compared by 128 bits of hash, so that a wrong source, which would leave a repeat in place, is not to be expected
+at any size; nothing is removed that the words themselves don't confirm.
+
 Defined results: a null text has no words; documents of fewer than ``length`` words are kept whole; copies of a
 longer text are removed whole except in the smallest doc_id; rows that repeat a doc_id must repeat its text, and
 each gets that document's result; a row with null doc_id is kept whole and removes nothing elsewhere; an empty
@@ -32,9 +35,12 @@ from ringside.llm import exchange as X
 from ringside.llm import repeats as R
 from ringside.llm.arrays import lean, SPACE, changes, spread, trimmed, unpacked, word_spans
 from ringside.llm.rows import pack_rows
+from ringside.llm.session import written
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
+#: Paths that one portion of a source's readers asks for.
+ASKS = 256
 FRAGMENT = "doc long, start long, n long, src long, src_start long"
 
 
@@ -50,12 +56,12 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> byte
 
 def _fragments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, packed in X.by_bucket(batches):
-        runs = R.unpack_runs(packed, lambda n: n * 8)
+        runs = R.unpack_runs(packed, lambda n: n * R.WINDOW_BYTES)
         docs, start, count, own = runs.docs, runs.start, runs.count, runs.first
-        edge = runs.data.view("<u8")
+        edge, rest = runs.data.view("<u8").reshape(-1, 2).T
         holder, place = np.repeat(docs[own], count[own]), spread(start[own], count[own])
-        order = np.lexsort((place, holder, edge))
-        first = changes(edge[order])
+        order = np.lexsort((place, holder, rest, edge))
+        first = changes(edge[order], rest[order])
         length = np.diff(np.append(first, len(edge)))
         src, src_place = np.empty_like(holder), np.empty_like(place)
         src[order] = np.repeat(holder[order][first], length)
@@ -150,9 +156,12 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), *extra)
     carried = [f"carried_{i}" for i in range(len(carry))]
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), R.Windows(length, max(1, min(ANCHOR_WORDS, length)), words=True))
-    paths = compacted(X.dealt(runs).mapInArrow(lean(_fragments), FRAGMENT))
-    salt = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
-    asks = paths.groupBy(F.col("src"), salt.alias("salt")).agg(F.collect_list(F.struct("doc", "start", "n", "src_start")).alias("asks"))
+    paths = written(compacted(written(X.dealt(runs).mapInArrow(lean(_fragments), FRAGMENT), "fragments")), "paths")
+    # A source's text goes once to every portion of those that ask for it.
+    busy = paths.groupBy(F.col("src").alias("asked")).agg(F.ceil(F.count(F.lit(1)) / ASKS).alias("portions"))
+    salt = F.pmod(F.xxhash64("doc"), F.col("portions"))
+    salted = paths.join(busy, F.col("src") == F.col("asked")).withColumn("salt", salt)
+    asks = salted.groupBy("src", "salt").agg(F.collect_list(F.struct("doc", "start", "n", "src_start")).alias("asks"))
     # A source row that repeats gives the same digests again, and they are taken once.
     read = texts.join(asks, F.col("doc") == F.col("src")).select("body", "asks").mapInArrow(lean(_read_sources(length)), "doc long, start long, n long, digest binary")
     found = read.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))

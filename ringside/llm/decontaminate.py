@@ -5,9 +5,10 @@ only if all its shingles are, so one shingle is a necessary prefix: with shingle
 documents, the rarest. Documents are joined on these prefix shingles alone; the shingle's place in the window and the
 document's ends bound where the window could lie; and what remains is verified word by word.
 
-The windows of the benchmark are broadcast only if they are at most ``broadcast_windows`` in number. Beyond that, the
-same prefix join, bounds and comparison of words run as joins in a shuffle. Either way a row is judged by its own text,
-whatever its doc_id.
+The join is one at every size: rarest shingle, bounds, comparison of words. Only its physical form is chosen: where the
+windows and their items were counted and are at most ``broadcast_windows`` (and eight times that), the benchmark's side is
+sent to every task; else both sides meet in a shuffle, where Spark splits partitions of shingles that very many documents
+hold. Either way a row is judged by its own text, whatever its doc_id, and both give the same rows.
 
 Defined results: null texts have no words and are clean; items without words, or with a null id or text, take no part;
 items that repeat count once; repeated documents get equal results; empty tables give empty or clean results; further
@@ -281,9 +282,10 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, length: int, broadcast_wind
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     windows = items.mapInArrow(lean(_windows(length)), "item_id long, window binary")
     distinct = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-    rows = distinct.limit(broadcast_windows + 1).collect()
-    if len(rows) > broadcast_windows or sum(len(r["items"]) for r in rows) > 8 * broadcast_windows:
+    n, entries = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    if n > broadcast_windows or entries > 8 * broadcast_windows:
         return None, windows
+    rows = distinct.collect()
     bench = bench_of(sorted(rows, key=lambda r: bytes(r["window"])), length)
     window, place, size, value = bench.tokens()
     sizes = np.unique(size).tolist()

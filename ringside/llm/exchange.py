@@ -45,8 +45,8 @@ def rows_of(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
 def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has entries, with their places in the order they came."""
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    first = changes(bucket[order])
-    for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+    bounds = np.append(changes(bucket[order]), len(order)).tolist()
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
         yield int(bucket[order[begin]]), order[begin:end]
 
 

@@ -45,10 +45,12 @@ from ringside.llm.arrays import (
     word_hashes,
     word_spans,
 )
-from ringside.llm.session import bucket_bits, partitions, small_batches
+from ringside.llm.session import bucket_bits, partitions, small_batches, written
 
 #: Bytes of an anchor's hash that are sent, besides the bits that choose its bucket.
 ANCHOR_BYTES = 5
+#: Bytes of the hash that stands for a window of words.
+WINDOW_BYTES = 16
 #: Bytes of text whose keys one map task holds before it packs them.
 PACK_BYTES = 12 << 20
 
@@ -168,9 +170,9 @@ def _send_runs(kind: Windows, bits: int) -> Callable:
                     if not len(new):
                         continue
                     if kind.words:
-                        unit = kind.grams(tokens, kind.length)
-                        content = unit[spread(starts[new], count)].view(np.uint8)
-                        length = count * 8
+                        unit = np.stack((kind.grams(tokens, kind.length), kind.grams(mix64(tokens), kind.length)), axis=1)
+                        content = unit[spread(starts[new], count)].reshape(-1).view(np.uint8)
+                        length = count * WINDOW_BYTES
                     else:
                         length = count + kind.length - 1
                         content = part[spread(starts[new], length)]
@@ -205,9 +207,10 @@ def window_runs(docs: DataFrame, kind: Windows) -> tuple[DataFrame, DataFrame, D
     small_batches(docs.sparkSession)
     bits = bucket_bits(docs, "body")
     table = X.shared_keys(docs.select("doc", "body").mapInArrow(lean(_send_anchors(kind, bits)), X.PACKED), bits, ANCHOR_BYTES)
+    table = written(table.select("doc", "sig", "size", F.when(F.length("keys") > 0, F.col("keys")).alias("keys")), "shared")
     facts = table.join(X.classes(table), "sig", "left").select("doc", F.coalesce("rep", "doc").alias("rep"), "size", "keys")
     texts = bodies(docs).repartition(partitions(docs.sparkSession), "doc")
-    some = facts.where("rep = doc and length(keys) > 0").select(F.col("doc").alias("key_doc"), "keys")
+    some = facts.where("rep = doc and keys is not null").select(F.col("doc").alias("key_doc"), "keys")
     runs = texts.join(some, F.col("doc") == F.col("key_doc")).select("doc", "body", "keys").mapInArrow(lean(_send_runs(kind, bits)), X.PACKED)
     return texts, facts.drop("keys"), runs, bits
 

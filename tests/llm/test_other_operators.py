@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -150,22 +151,36 @@ def brute_top(rows, k=5):
     known = {}
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            known[i] = [int(np.floor(256 * float(np.float32(x)))) for x in v]
+            known[i] = [min(max(math.floor(256 * float(np.float32(x))), -(2**63)), 2**63 - 1) for x in v]
     out = []
     for q in known:
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(known[q], known[p])), p) for p in known if p != q and len(known[p]) == len(known[q]))[:k]
+            best = sorted((-min(max(sum(a * b for a, b in zip(known[q], known[p])), -(2**63)), 2**63 - 1), p) for p in known if p != q and len(known[p]) == len(known[q]))[:k]
             out += [(q, n + 1, p, -s) for n, (s, p) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [8192, 100])
-def test_top_k(spark, monkeypatch, group):
-    monkeypatch.setattr(topk_search, "CANDIDATE_GROUP", group)
+@pytest.mark.parametrize(("group", "queries", "probes"), [(8192, 16_384, 1024), (60, 4, 40)])
+def test_top_k(spark, monkeypatch, group, queries, probes):
+    for name, value in (("CANDIDATE_GROUP", group), ("QUERY_GROUP", queries), ("PROBES", probes)):
+        monkeypatch.setattr(topk_search, name, value)
     r = np.random.default_rng(0)
     rows = [(i, None if i == 13 else [float("nan")] * 4 if i == 14 else [None, 1.0, 2.0, 3.0] if i == 15 else (r.normal(size=4) * (1 if i % 3 else 50)).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(800 + i, [2e7 * (i - 4), 3.0, -1e19, 5.0] if i % 2 else [1e30, -1e30, 2e7, -4e6]) for i in range(0, 60, 5)]
     rows += [(500 + i, [0.5] * 4) for i in range(40)] + [(501, [0.5] * 4), (None, [1.0] * 4), (600, []), (650, []), (700, [3e9, 1.0, 1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("dim", "norm", "bucket", "least", "cell")})
+    assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect())) == brute_top(rows)
+
+
+def test_clustered_vectors_prune_by_coordinates(spark):
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(8, 24)) * 4
+    rows = [(i, (centres[i % 8] + r.normal(size=24) * 0.3).astype(np.float32).tolist()) for i in range(1000)]
+    cell = topk_search.Cell(np.arange(1000), np.floor(256 * np.array([v for _, v in rows])).astype(np.int64))
+    q = cell.vectors[5]
+    best = np.sort(cell.products(q, np.arange(1000)))[-5]
+    assert len(cell.candidates(q, int(best))) < 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect())) == brute_top(rows)
 
 

@@ -7,11 +7,15 @@
    partners share their first k common shingles inside the (n - T + k)-prefixes of both. Each document takes the
    k with the least estimated cost: the frequencies of its prefix (entries to read) and, divided by k, the most
    candidates that could reach k matches.
-3. Documents that share a shingle of their 1-prefixes fall into one candidate cluster. Clusters are cut into
-   tiles of bounded size; each pair of tiles is one row group. Inside, pairs that share min(k_x, k_y) prefix
-   shingles are verified on all their shared shingles, and the tile returns link counts and a spanning forest:
-   no list of pairs leaves it.
-4. Links join to components, by ``components``.
+3. Two partners' first common shingle lies in the 1-prefixes of both. If it is rare (at most ``RARE`` entries), they meet
+   there: the few documents of every rare prefix shingle are paired, matches are counted over all of a pair's rare prefix
+   shingles, and pairs with fewer than min(k_x, k_y) matches (less what their common ones could add) go no further. The
+   others are verified on all their shared shingles. Every entry makes less than ``RARE`` pairs, however texts are chained.
+4. Pairs whose first common shingle is frequent would be too many to list. Documents connected by frequent shingles of
+   their 1-prefixes form clusters; these are cut by size (partners differ by less than a third) and into tiles of bounded
+   number and bytes, and each pair of tiles is one row group. Inside, pairs that share min(k_x, k_y) prefix shingles and
+   no rare one are verified, and the tile returns link counts and a spanning forest: no list of pairs leaves it.
+5. Links join to components, by ``components``.
 
 Shingles are compared by 45 bits of hash or more (40 and the bucket's, which grow with the table): for two documents of
 n shingles, the chance of one false match is below n * n / 2**45.
@@ -40,8 +44,10 @@ from ringside.llm.session import bucket_bits, partitions, small_batches, written
 
 #: Bytes of a shingle's hash that are sent, besides the bits that choose its bucket.
 SHINGLE_BYTES = 5
-#: Documents of one tile of a candidate cluster.
-TILE = 1024
+#: Documents and bytes of one tile of a candidate cluster.
+TILE, TILE_BYTES = 1024, 48 << 20
+#: Entries of a rare shingle, at most.
+RARE = 16
 #: What a candidate costs, measured in prefix entries.
 VERIFY_COST = 4.0
 
@@ -119,28 +125,53 @@ def matches_for(counts: np.ndarray, must: int) -> int:
     return int(np.argmin(read + VERIFY_COST * read / k)) + 1
 
 
-def _prefixes(percent: int) -> Callable:
-    """doc, size, keys, counts -> the same with keys by rarity, k, and the 1-prefix as a list."""
+def _prefixes(percent: int, rare: int) -> Callable:
+    """doc, size, keys, counts -> keys by rarity, k, and how many of the 1-prefix are rare; the rare ones of the k-prefix and the
+    frequent ones of the 1-prefix as lists, and how many frequent ones the k-prefix has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(1).to_numpy()
-            ks, heads, ordered = [], [], []
+            ks, heads, ordered, lists, tails, others = [], [], [], [], [], []
             for n, keys, counts in zip(size.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 keys, counts = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u4")
                 by = np.lexsort((keys, counts))
+                keys, counts = keys[by], counts[by]
                 must = -(-percent * n // 100)
-                ks.append(matches_for(counts[by], must))
-                ordered.append(keys[by].tobytes())
-                heads.append(keys[by][: len(keys) - must + 1].view(np.int64))
+                k = matches_for(counts, must)
+                one, more, few = len(keys) - must + 1, min(len(keys), len(keys) - must + k), int(np.searchsorted(counts, rare, "right"))
+                ks.append(k)
+                heads.append(min(one, few))
+                ordered.append(keys.tobytes())
+                lists.append(keys[: min(more, few)].view(np.int64))
+                tails.append(keys[few:one].view(np.int64))
+                others.append(max(0, more - few))
+            longs = pa.list_(pa.int64())
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(ks, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(ordered, pa.binary())],
-                ["doc", "size", "k", "head", "keys"],
+                [batch.column(0), batch.column(1), pa.array(ks, pa.int32()), pa.array(heads, pa.int32()), pa.array(others, pa.int32()), pa.array(lists, longs), pa.array(tails, longs), pa.array(ordered, pa.binary())],
+                ["doc", "size", "k", "head", "frequent", "rare", "tail", "keys"],
             )
 
     return run
 
 
+def _verified(percent: int) -> Callable:
+    """a, b, and size, weight and keys of both -> doc, other (a link), links; and its mirror without the link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, other, count = [], [], []
+            for a, b, n, m, v, w, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                if 100 * both >= percent * (n + m - both):
+                    doc += [a, a, b]
+                    other += [b, None, None]
+                    count += [0, w, v]
+            yield pa.record_batch([pa.array(z, pa.int64()) for z in (doc, other, count)], ["doc", "other", "links"])
+
+    return run
+
+
 def overlaps(tokens: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many tokens documents share: rows are documents in ``left``, columns those in ``right``; owner[i] has tokens[i]."""
     order = np.argsort(tokens, kind="stable")
@@ -167,14 +198,19 @@ def overlaps(tokens: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.
     return total
 
 
-def tile_links(size: np.ndarray, k: np.ndarray, keys: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which documents of ``left`` link with which of ``right`` (a document doesn't link with itself)."""
+def tile_links(size: np.ndarray, k: np.ndarray, keys: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, rare: np.ndarray) -> np.ndarray:
+    """Which documents of ``left`` link with which of ``right`` (a document doesn't link with itself).
+
+    ``rare``: so many keys of a document's 1-prefix are rare. Pairs that share one of those are not judged here.
+    """
     must = -(-percent * size // 100)
     length = np.array([len(x) for x in keys])
     prefix = np.minimum(length, length - must + k)
     head = overlaps(np.concatenate([x[:p] for x, p in zip(keys, prefix.tolist(), strict=True)]), np.repeat(np.arange(len(keys)), prefix), left, right)
     candidate = (head >= np.minimum(k[left][:, None], k[right][None])) & (left[:, None] != right[None])
     candidate &= (100 * size[left][:, None] >= percent * size[right][None]) & (100 * size[right][None] >= percent * size[left][:, None])
+    if rare.any():
+        candidate &= overlaps(np.concatenate([x[:p] for x, p in zip(keys, rare.tolist(), strict=True)]), np.repeat(np.arange(len(keys)), rare), left, right) == 0
     links = np.zeros_like(candidate)
     i, j = np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))
     if len(i):
@@ -225,11 +261,11 @@ def _tiles(percent: int) -> Callable:
 
         doc, other, count = [], [], []
         for rows in groups():
-            _, one, two, tile, ids, size, k, weight, keys = zip(*rows, strict=True)
-            ids, size, k, weight, tile = (np.array(x) for x in (ids, size, k, weight, tile))
+            _, one, two, tile, ids, size, k, head, weight, keys = zip(*rows, strict=True)
+            ids, size, k, head, weight, tile = (np.array(x) for x in (ids, size, k, head, weight, tile))
             sets = [np.frombuffer(x, "<u8") for x in keys]
             left, right = (np.flatnonzero(tile == t[0]) for t in (one, two))
-            links = tile_links(size, k, sets, left, right, percent)
+            links = tile_links(size, k, sets, left, right, percent, head)
             if not links.any():
                 continue
             degree = np.zeros(len(ids), np.int64)
@@ -250,6 +286,44 @@ def _tiles(percent: int) -> Callable:
     return run
 
 
+def _by_rare(prefixed: DataFrame, percent: int) -> DataFrame:
+    """Links of pairs that share a rare prefix shingle: the entries of each are at most RARE, so lists of them are short."""
+    entry = prefixed.select(F.explode("rare").alias("token"), F.struct("doc", "size", "k", "frequent").alias("d"))
+    groups = entry.groupBy("token").agg(F.array_sort(F.collect_list("d")).alias("d")).where(F.size("d") > 1)
+    fits = lambda x, y: (100 * x["size"] >= percent * y["size"]) & (100 * y["size"] >= percent * x["size"])
+    later = lambda x: F.transform(F.filter("d", lambda y: (y["doc"] > x["doc"]) & fits(x, y)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b"), (F.least(x["k"], y["k"]) - F.least(x["frequent"], y["frequent"])).alias("least")))
+    pairs = groups.select(F.explode(F.flatten(F.transform("d", later))).alias("p")).select("p.*")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
+    for s in "ab":
+        pairs = pairs.join(prefixed.select(F.col("doc").alias(s), F.col("size").alias(f"size_{s}"), F.col("weight").alias(f"weight_{s}"), F.col("keys").alias(f"keys_{s}")), s)
+    both = pairs.select("a", "b", "size_a", "size_b", "weight_a", "weight_b", "keys_a", "keys_b")
+    return both.mapInArrow(lean(_verified(percent)), "doc long, other long, links long")
+
+
+def _by_frequent(prefixed: DataFrame, percent: int) -> DataFrame:
+    """Links of the other pairs, from tiles of clusters that frequent prefix shingles connect."""
+    entry = prefixed.select("doc", F.explode("tail").alias("token"))
+    pivot = entry.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("token", "pivot")
+    cluster = components(entry.join(pivot, "token").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+    # Sizes of partners differ by less than one band of this width, which leaves room for rounding.
+    band = F.floor(F.ln("size") / float(-np.log(percent / 100) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("size").cast("int")
+    cluster = cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    member = prefixed.select("doc", "size", "k", "head", "weight", "keys").join(cluster, "doc").withColumn("band", band)
+    bands = member.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.length("keys")) / TILE_BYTES)).cast("int").alias("tiles"))
+    bands = written(bands, "bands")
+    mine = bands.select(F.col("cluster").alias("of"), F.col("band").alias("mine"), F.col("tiles").alias("own_tiles"))
+    placed = member.join(mine, (F.col("cluster") == F.col("of")) & (F.col("band") == F.col("mine"))).drop("of", "mine")
+    place = lambda b, t: b.cast("long") * (1 << 32) + t
+    placed = placed.withColumn("tile", place(F.col("band"), F.pmod(F.xxhash64("doc"), F.col("own_tiles"))))
+    met = placed.withColumn("near", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    theirs = bands.select(F.col("cluster").alias("of"), F.col("band").alias("theirs"), F.col("tiles").alias("their_tiles"))
+    met = met.join(theirs, (F.col("cluster") == F.col("of")) & (F.col("near") == F.col("theirs")))
+    met = met.withColumn("with", F.explode(F.transform(F.sequence(F.lit(0), F.col("their_tiles") - 1), lambda t: place(F.col("near"), t))))
+    keys = ["cluster", "one", "two"]
+    tiled = met.select("cluster", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "doc", "size", "k", "head", "weight", "keys")
+    return tiled.repartition(partitions(prefixed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(lean(_tiles(percent)), "doc long, other long, links long")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest document with the same set) and n_links of every row.
 
@@ -265,22 +339,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     table = written(table.select("doc", F.when(F.col("size") > 0, F.col("sig")).alias("sig"), "size", F.when(likely, F.col("keys")).alias("keys"), F.when(likely, F.col("counts")).alias("counts")), "sets")
     facts = table.join(X.classes(table), "sig", "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"), F.coalesce("n", F.lit(1)).alias("weight"), "keys", "counts")
 
-    prefixed = facts.where("rep = doc and keys is not null").select("doc", "size", "keys", "counts").mapInArrow(lean(_prefixes(percent)), "doc long, size long, k int, head array<long>, keys binary")
-    entry = prefixed.select("doc", F.explode("head").alias("token"))
-    pivot = entry.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("token", "pivot")
-    cluster = components(entry.join(pivot, "token").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-    cluster = cluster.join(cluster.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    cluster = cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
-    tiled = (
-        prefixed.drop("head").join(cluster, "doc").join(facts.select("doc", "weight"), "doc")
-        .withColumn("tile", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("cluster", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), "tile", "doc", "size", "k", "weight", "keys")
-    )
-    keys = ["cluster", "one", "two"]
-    found = tiled.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(lean(_tiles(percent)), "doc long, other long, links long")
-    found = written(found, "links")
+    own = facts.where("rep = doc and keys is not null").select("doc", "size", "weight", "keys", "counts")
+    prefixed = own.drop("weight").mapInArrow(lean(_prefixes(percent, RARE)), "doc long, size long, k int, head int, frequent int, rare array<long>, tail array<long>, keys binary")
+    prefixed = written(prefixed.join(own.select("doc", "weight"), "doc"), "prefixes")
+    found = written(_by_rare(prefixed, percent).union(_by_frequent(prefixed, percent)), "links")
     joined = components(found.where("other is not null").select(F.col("doc").alias("a"), F.col("other").alias("b")))
     degree = found.where("other is null").groupBy("doc").agg(F.sum("links").alias("links"))
 

@@ -170,9 +170,10 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("tile", [1024, 16])
-def test_near_duplicates(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "rare"), [(1024, 16), (16, 3), (16, 0), (1024, 1000)])
+def test_near_duplicates(spark, monkeypatch, tile, rare):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
     rows = near_rows()
     rows.append(rows[5])
     got = jaccard_join.jaccard_components(messy(spark, rows)).select("doc_id", "n_shingles", "component_id", "n_links")
@@ -186,6 +187,24 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert jaccard_join.jaccard_components(df.where("doc_id = 99")).collect() == []
 
 
+def test_chains_of_shared_passages_stay_pairs(spark):
+    """Each text is two passages, and shares each with one neighbour: connected all through, but nowhere near alike."""
+    passage = lambda i: " ".join(f"p{i}w{j}" for j in range(30))
+    rows = [(i, f"{passage(i)} {passage(i + 1)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    made = []
+    keep = jaccard_join.written
+    try:
+        jaccard_join.written = lambda t, name: made.append((name, w := keep(t, name))) or w
+        got = jaccard_join.jaccard_components(df)
+        assert got.where("component_id <> doc_id or n_links > 0").count() == 0
+    finally:
+        jaccard_join.written = keep
+    tables = dict(made)
+    assert tables["prefixes"].count() > 2900
+    assert tables["bands"].count() == 0
+
+
 def test_longer_prefixes_need_more_matches():
     import numpy as np
 

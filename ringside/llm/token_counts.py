@@ -84,15 +84,24 @@ class PrefixTables:
         self.of_words: dict[str, list[int]] = {}
         self.chars: dict[str, tuple[str, str]] = {}
 
-    def _trie(self) -> dict:
-        """Tokens from their last symbol to their first; under 0 the token inside a word, under 1 the one that ends it."""
-        root: dict = {}
+    def _trie(self) -> tuple:
+        """Tokens from their last symbol to their first, as nodes of (children, tokens inside a word, tokens that end it).
+
+        A node lists all tokens on the way to it, as (length, number), the longest first.
+        """
+        marks: dict = {}
         for token, number in self.vocabulary.items():
-            node = root
+            node = marks
             for c in reversed(token.removesuffix(self.mark)):
                 node = node.setdefault(c, {})
             node[int(token.endswith(self.mark))] = number
-        return root
+
+        def built(node: dict, depth: int, inner: tuple, ending: tuple) -> tuple:
+            inner = ((depth, node[0]), *inner) if 0 in node else inner
+            ending = ((depth, node[1]), *ending) if 1 in node else ending
+            return {c: built(v, depth + 1, inner, ending) for c, v in node.items() if isinstance(c, str)}, inner, ending
+
+        return built(marks, 0, (), ())
 
     def words(self, text: str) -> list[str]:
         """The words of a normalised text, in the symbols of the vocabulary (one for a byte)."""
@@ -137,34 +146,36 @@ class PrefixTables:
             # Of equal merges the leftmost comes first: one across the border is to the left of one inside the right token.
             limit, left, right = (a, tail, right) if a > b else (b + 1, left, head)
 
-    def _only(self, found: list[tuple[int, int]], last: list[int], word: str) -> tuple[int, int]:
-        """The one token that can follow the tokens before it, the longest tried first."""
-        for begin, token in reversed(found):
-            ok = self.pairs.get(last[begin] << 20 | token)
-            if self.neighbours(last[begin], token) if ok is None else ok:
-                return begin, token
-        raise ValueError(f"no tokens for {word!r}")
-
     def extend(self, word: str, last: list[int], count: list[int]) -> list[int]:
         """Counts of word[:n] as a word, for each n that ``last`` and ``count`` (of word[:n] inside a longer word) don't have yet."""
         out = []
+        root, pairs, neighbours = self.trie, self.pairs, self.neighbours
         for end in range(len(last), len(word) + 1):
-            node, inner, ending = self.trie, [], []
-            begin = end
+            node, begin = root, end
             while begin:
                 begin -= 1
-                node = node.get(word[begin])
-                if node is None:
+                longer = node[0].get(word[begin])
+                if longer is None:
                     break
-                if 0 in node:
-                    inner.append((begin, node[0]))
-                if 1 in node:
-                    ending.append((begin, node[1]))
-            begin, _ = self._only(ending, last, word)
-            out.append(count[begin] + 1)
-            begin, token = self._only(inner, last, word)
-            count.append(count[begin] + 1)
-            last.append(token)
+                node = longer
+            # One token only can follow the tokens before it; the longest are tried first.
+            for size, token in node[2]:
+                before = last[end - size]
+                ok = pairs.get(before << 20 | token)
+                if neighbours(before, token) if ok is None else ok:
+                    out.append(count[end - size] + 1)
+                    break
+            else:
+                raise ValueError(f"no tokens for {word[:end]!r}")
+            for size, token in node[1]:
+                before = last[end - size]
+                ok = pairs.get(before << 20 | token)
+                if neighbours(before, token) if ok is None else ok:
+                    count.append(count[end - size] + 1)
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no tokens for {word[:end]!r}")
         return out
 
     def of_word(self, word: str) -> list[int]:

@@ -35,7 +35,7 @@ from ringside.llm import exchange as X
 from ringside.llm import repeats as R
 from ringside.llm.arrays import lean, SPACE, changes, spread, trimmed, unpacked, word_spans
 from ringside.llm.rows import pack_rows
-from ringside.llm.session import written
+from ringside.llm.session import partitions, written
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
@@ -160,7 +160,9 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     # A source's text goes once to every portion of those that ask for it.
     busy = paths.groupBy(F.col("src").alias("asked")).agg(F.ceil(F.count(F.lit(1)) / ASKS).alias("portions"))
     salt = F.pmod(F.xxhash64("doc"), F.col("portions"))
-    salted = paths.join(busy, F.col("src") == F.col("asked")).withColumn("salt", salt)
+    # Dealt anew by portion, so that Spark may split the join's partition of a source that very many documents repeat.
+    salted = paths.join(busy, F.col("src") == F.col("asked")).select("doc", "start", "n", "src", "src_start", salt.alias("salt"))
+    salted = salted.repartition(partitions(docs.sparkSession), "src", "salt")
     asks = salted.groupBy("src", "salt").agg(F.collect_list(F.struct("doc", "start", "n", "src_start")).alias("asks"))
     # A source row that repeats gives the same digests again, and they are taken once.
     read = texts.join(asks, F.col("doc") == F.col("src")).select("body", "asks").mapInArrow(lean(_read_sources(length)), "doc long, start long, n long, digest binary")

@@ -52,7 +52,7 @@ ANCHOR_BYTES = 5
 #: Bytes of the hash that stands for a window of words.
 WINDOW_BYTES = 16
 #: Bytes of text whose keys one map task holds before it packs them.
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)

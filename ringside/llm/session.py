@@ -26,9 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: short lineage that survives lost executors."""
+    """``df`` written to the shared folder and read back: short lineage that survives lost executors.
+
+    Zstandard works in the heap; Spark's default codec keeps buffers outside it, as long as the longest values, until a collection.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -159,6 +159,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     paths = written(compacted(written(X.dealt(runs).mapInArrow(lean(_fragments), FRAGMENT), "fragments")), "paths")
     # A source's text goes once to every portion of those that ask for it.
     busy = paths.groupBy(F.col("src").alias("asked")).agg(F.ceil(F.count(F.lit(1)) / ASKS).alias("portions"))
+    busy = busy.select(F.greatest("asked", "asked").alias("asked"), "portions")  # as in ``exchange.classes``
     salt = F.pmod(F.xxhash64("doc"), F.col("portions"))
     # Dealt anew by portion, so that Spark may split the join's partition of a source that very many documents repeat.
     salted = paths.join(busy, F.col("src") == F.col("asked")).select("doc", "start", "n", "src", "src_start", salt.alias("salt"))

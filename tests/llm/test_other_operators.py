@@ -6,13 +6,43 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ringside.llm import chat_format, language_id, token_counts, topk_search, warc_convert
+from ringside.llm import chat_format, language_id, queries, token_counts, topk_search, warc_convert
+
+# ---------------------------------------------------------------- the queries as they are registered
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_registered_query_equals_its_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings", "documents", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, data)
+    rel = con.sql(queries.ORACLES[name])
+    assert sorted(rel.columns) == sorted(df.columns)
+    got = sorted(repr(tuple(r[c] for c in rel.columns)) for r in df.collect())
+    assert got == sorted(map(repr, rel.fetchall()))
+
+
+def test_registered_queries_without_sql(spark, data):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    count = library_count()
+    for r in queries.QUERIES["op6_token_counts"](spark, data).collect():
+        n = count(docs[r.doc_id].text)
+        assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 2048, len((docs[r.doc_id].text or "").encode()))
+    found = queries.QUERIES["op1_language_id"](spark, data).collect()
+    assert {r.doc_id for r in found} == set(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+    taken = queries.QUERIES["op10_mixture"](spark, data).collect()
+    assert sum(r.taken for r in taken) == sum(int(t) for t in {docs[r.doc_id].source: r.target for r in taken}.values())
+
 
 # ---------------------------------------------------------------- language
 

@@ -286,3 +286,14 @@ def test_merging(spark):
     with pytest.raises(merging.VolumeError):
         merging.guarded(old, 5)
     assert merging.guarded(old, 4).count() == 2
+
+
+def test_groups_are_rated_apart(spark):
+    """Two leagues whose athletes share ids: each fold starts anew, and equals that of the league alone."""
+    rows = [(league, f, a, b, f"2024-01-{f:02d}", o) for league in ("x", "y") for f, a, b, o in ((1, 1, 2, "win_a"), (2, 1, 3, "draw"), (3, 2, 3, "win_b" if league == "x" else "win_a"), (4, 1, 2, "win_b"))]
+    df = spark.createDataFrame(rows, "league string, fest_id long, a_id long, b_id long, datum string, outcome string").withColumn("datum", F.to_date("datum"))
+    weight = F.lit(1.0)
+    both = sorted(map(tuple, ratings.rated(df, weight, group="league").collect()))
+    alone = sorted(tuple(r) for g in ("x", "y") for r in ratings.rated(df.where(F.col("league") == g), weight).collect())
+    assert both == alone
+    assert len({r[5] for r in both if r[0] == 1}) == 1 and both != sorted(map(tuple, ratings.rated(df, weight).collect()))

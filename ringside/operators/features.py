@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringside.functions.rating import diff_or_zero, jaccard
+from ringside.functions.rating import START, diff_or_zero, jaccard
 
 # Fixed order: the model's features.
 FEATURES = (
@@ -14,6 +14,8 @@ FEATURES = (
 )
 #: These keep their sign when the sides are swapped.
 SYMMETRIC = frozenset({"rating_distance", "same_association", "move_overlap"})
+#: With fewer bouts than this a prognosis is unsure.
+SURE_BOUTS = 5
 WITHOUT_HISTORY = ("wreath_diff", "age_diff", "weight_diff", "height_diff", "same_association", "move_overlap", "move_count_diff")
 PROFILE = ("wreath_ordinal", "birth_year", "weight_kg", "height_cm", "association", "moves")
 
@@ -48,6 +50,25 @@ def with_profiles(pairs: DataFrame, athletes: DataFrame) -> DataFrame:
     return pairs
 
 
+def live(pairs: DataFrame, ratings: DataFrame, form: DataFrame, athletes: DataFrame, year: Column, records: DataFrame | None = None) -> DataFrame:
+    """Pairs (a_id, b_id) with n_a, n_b, unsure and the twelve features as they stand now; the same expressions as in training.
+
+    Without a bout a rating is 1500 and form one half. Without ``records`` (athlete_id, opponent_id, record) no pair has met.
+    Pairs with an athlete whom nobody knows go.
+    """
+    rest = pairs.columns
+    for s in "ab":
+        rated = ratings.select(F.col("athlete_id").alias(f"{s}_id"), F.col("elo").alias(f"elo_{s}"), F.col("n").alias(f"n_{s}"))
+        formed = form.select(F.col("athlete_id").alias(f"{s}_id"), F.col("form").alias(f"form_{s}"))
+        pairs = pairs.join(rated, f"{s}_id", "left").join(formed, f"{s}_id", "left")
+    if records is None:
+        pairs = pairs.withColumn("h2h_a", F.lit(0.0))
+    else:
+        pairs = pairs.join(records.select(F.col("athlete_id").alias("a_id"), F.col("opponent_id").alias("b_id"), F.col("record").alias("h2h_a")), ["a_id", "b_id"], "left")
+    rows = with_profiles(pairs, athletes).na.fill({c: v for s in "ab" for c, v in ((f"elo_{s}", START), (f"n_{s}", 0), (f"form_{s}", 0.5))} | {"h2h_a": 0.0})
+    return rows.select(*rest, "n_a", "n_b", (F.least("n_a", "n_b") < SURE_BOUTS).alias("unsure"), *feature_columns(year))
+
+
 def mirrored(rows: DataFrame) -> DataFrame:
     """Every row and its mirror image (sides swapped, label reversed): one pass, no second scan."""
     own = F.struct(*(F.col(f) for f in FEATURES), F.col("y"), F.lit(False).alias("augmented"))

@@ -42,6 +42,12 @@ def head_to_head(bouts: DataFrame) -> DataFrame:
     return bouts.groupBy("a_id", "b_id").agg(*(F.count_if(F.col("outcome") == o).alias(n) for o, n in (("win_a", "wins_a"), ("draw", "draws"), ("win_b", "wins_b"))))
 
 
+def records(sides: DataFrame) -> DataFrame:
+    """athlete_id, opponent_id, record: each athlete's shrunk record against each opponent after all bouts."""
+    met = sides.groupBy("athlete_id", "opponent_id").agg(F.sum("s").alias("p"), F.count(F.lit(1)).alias("n"))
+    return met.select("athlete_id", "opponent_id", shrunk_record(F.col("p"), F.col("n")).alias("record"))
+
+
 def meetings(bouts: DataFrame, one: int, two: int) -> DataFrame:
     """The bouts of two athletes, the latest first, from the view of ``one``; none if they never met."""
     a, b = min(one, two), max(one, two)

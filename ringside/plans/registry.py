@@ -21,6 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
-
-
-from ringside.plans import contest_queries, model_queries, text_queries, view_queries  # noqa: E402, F401  (they register themselves)

@@ -16,10 +16,12 @@ def _mapped(table: dict[str, str], key: Column) -> Column:
 def merged(entries: DataFrame, order: Column | None = None) -> DataFrame:
     """One row per fest and pair, with each side's last record: symbol, note and wreath of a (smaller id) and b.
 
-    ``order`` says which record of a side is the last (default: the larger note and symbol). A self-bout has one side.
+    ``order`` says which record of a side is the last: by default the column ``seq`` (a record's place in its source) where
+    there is one, else the larger note and symbol. A self-bout has one side.
     """
     a, b = F.least("athlete_id", "opponent_id"), F.greatest("athlete_id", "opponent_id")
-    order = F.struct("note", "symbol", "wreath") if order is None else order
+    if order is None:
+        order = F.struct(*(("seq",) if "seq" in entries.columns else ()), "note", "symbol", "wreath")
     record = F.struct("symbol", "note", "wreath")
     low = F.col("athlete_id") <= F.col("opponent_id")
     high = F.col("athlete_id") >= F.col("opponent_id")
@@ -40,14 +42,14 @@ def merged(entries: DataFrame, order: Column | None = None) -> DataFrame:
     )
 
 
-def deduplicated(entries: DataFrame) -> DataFrame:
+def deduplicated(entries: DataFrame, order: Column | None = None) -> DataFrame:
     """Bouts whose records agree, or that one side recorded alone."""
-    return merged(entries).where("problem is null or problem in ('high only', 'low only')").drop("problem")
+    return merged(entries, order).where("problem is null or problem in ('high only', 'low only')").drop("problem")
 
 
-def warnings(entries: DataFrame) -> DataFrame:
+def warnings(entries: DataFrame, order: Column | None = None) -> DataFrame:
     """Bouts that were dropped (contradiction, unknown symbol) or rest on one record."""
-    return merged(entries).where("problem is not null").select("fest_id", "a_id", "b_id", "problem")
+    return merged(entries, order).where("problem is not null").select("fest_id", "a_id", "b_id", "problem")
 
 
 def points_mismatches(notes: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from datetime import date
 
 import duckdb
 import pytest
@@ -77,6 +78,17 @@ def fold(bouts):
     return out, elo
 
 
+def test_a_later_record_replaces_an_earlier_one(spark):
+    schema = "fest_id long, datum date, tier int, athlete_id long, opponent_id long, symbol string, note double, wreath boolean, seq long"
+    day = date(2024, 6, 2)
+    df = spark.createDataFrame([(1, day, 1, 7, 9, "+", 10.0, True, 0), (1, day, 1, 7, 9, "-", 8.75, False, 1), (1, day, 1, 9, 7, "-", 8.5, False, 2)], schema)
+    row = labels.deduplicated(df).first()
+    assert (row.outcome, row.note_a, row.note_b, row.wreath_a) == ("draw", 8.75, 8.5, False)
+    assert labels.warnings(df).count() == 0
+    # Without a place in the source the larger note counts, and the two sides contradict each other.
+    assert labels.warnings(df.drop("seq")).first().problem == "contradiction"
+
+
 def test_ratings(spark, data):
     bout = C.bouts(spark, data)
     before, after = fold(bout.collect())

@@ -30,17 +30,21 @@ def seasonal_counts(results: DataFrame, window: str = "30 days", late: str = "30
 def _form(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, n = state.get if state.exists else ([], 0)
     last = list(last)
-    for batch in batches:
-        out = []
-        for datum, s in zip(*(batch.sort_values(["datum", "fest_id"])[c] for c in ("datum", "s")), strict=True):
-            out.append((key[0], datum, sum(last) / len(last) if last else 0.5, n))
-            last, n = [*last, float(s)][-RECENT:], n + 1
-        yield pd.DataFrame(out, columns=["athlete_id", "datum", "form_pre", "n_pre"])
+    out = []
+    # A micro-batch may bring a key in several frames; only all of them together can be put in order.
+    for datum, s in pd.concat(batches).sort_values(["datum", "fest_id"])[["datum", "s"]].itertuples(index=False):
+        out.append((key[0], datum, sum(last) / len(last) if last else 0.5, n))
+        last, n = [*last, float(s)][-RECENT:], n + 1
+    yield pd.DataFrame(out, columns=["athlete_id", "datum", "form_pre", "n_pre"])
     state.update((last, n))
 
 
 def running_form(sides: DataFrame) -> DataFrame:
-    """Form and experience before each bout of a stream that arrives in order: five numbers of state per athlete."""
+    """Form and experience before each bout of a stream: five numbers of state per athlete.
+
+    Inside a micro-batch bouts are put in order of date and fest. A bout that arrives in a later micro-batch than bouts
+    after it counts when it arrives: its own form includes theirs, and rows already given stay as they are.
+    """
     return sides.groupBy("athlete_id").applyInPandasWithState(_form, FORM, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,23 @@ def test_streams(spark, data, tmp_path):
     assert spark.table("seasons").agg(F.sum("n")).first()[0] >= bout.count()
 
 
+def test_form_of_a_key_in_several_frames():
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    def frame(*rows):
+        return pd.DataFrame([(pd.Timestamp(2024, m, 1), m, s) for m, s in rows], columns=["datum", "fest_id", "s"])
+
+    state = State()
+    (out,) = results._form((5,), iter([frame((3, 0.0), (1, 1.0)), frame((2, 1.0))]), state)
+    assert out.form_pre.tolist() == [0.5, 1.0, 1.0] and out.n_pre.tolist() == [0, 1, 2] and state.get == ([1.0, 1.0, 0.0], 3)
+    (late,) = results._form((5,), iter([frame((1, 1.0))]), state)
+    assert late.n_pre.tolist() == [3] and abs(late.form_pre[0] - 2 / 3) < 1e-12
+
+
 def test_a_long_printed_line_keeps_its_end(spark):
     lines = [(10.0, ["1", "Hans", "Muster", "57.25"]), (20.0, ["+", *(f"w{i}" for i in range(1100)), "9.75"])]
     words = [("d", 1, t, 1.0 + 0.1 * i, top) for top, line in lines for i, t in enumerate(line)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringside.llm import chat_format, debruijn_dedup, decontaminate, jaccard_join, language_id, mixture, suffix_dedup, token_counts, topk_search, warc_convert
+from ringside.llm import chat_format, debruijn_dedup, decontaminate, fingerprint, jaccard_join, language_id, manifest, mixture, prefix_trie, suffix_dedup, token_counts, topk_search, warc_convert
 
 #: Texts of more tokens are over the limit.
 TOKEN_LIMIT = 2048
@@ -71,6 +71,20 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).taken
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    shown = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(shown)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), tamper=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_decontaminate,
         op10_mixture,
+        op11_fingerprint,
+        op12_merkle_manifest,
+        op13_prefix_trie,
     )
 }
 
@@ -92,7 +109,12 @@ WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 CODES = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 NO_NULL = "coalesce(text, '')"
 
-#: What no SQL says: learned prototypes (op1), a tokenizer (op6), pseudorandom draws (op10).
+#: The fields of a document, each framed by its number of bytes, and their digest; {0}: the text.
+FRAMED = "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: CRC-32 of a number's decimal digits, byte by byte, each by eight shifts: a recursive query of {0} in {1}. In the end, c is to be inverted.
+CRC = "select {0}, 0, 4294967295::bigint from {1} union all select {0}, i + 1, list_reduce(list_prepend(xor(c, ascii(substr({0}::varchar, i::int + 1, 1))::bigint), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) from crc where i < strlen({0}::varchar)"
+
+#: What no SQL says: learned prototypes (op1), a tokenizer (op6), pseudorandom draws (op10), sums of hashed vectors (op11).
 ORACLES: dict[str, str] = {
     "op2_chat_format": r"""with turns as (
   select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
@@ -143,4 +165,35 @@ select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_
 ), hit as (select doc_id, i, k.n, item_id from k join bw on bw.k = k.k and bw.n = k.n), c as (select distinct doc_id, unnest(range(i, i + n)) as i from hit), h as (select doc_id, count(*) as n_hit from c group by doc_id
 ), x as (select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct doc_id, cast(item_id as varchar) as name from hit) group by doc_id)
 select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from t left join h using (doc_id) left join x using (doc_id)""",
+    "op12_merkle_manifest": f"""with recursive crc(doc_id, i, c) as ({CRC.format('doc_id', 'documents')}), d as (
+  select doc_id, lang, {FRAMED.format('text')} as leaf, case when doc_id in (select doc_id from crc where i = strlen(doc_id::varchar) and xor(c, 4294967295) % 3 = 0) then {FRAMED.format('lower_text')} end as tampered
+  from (select *, {LOWER.replace("coalesce(text, '')", 'text')} as lower_text from documents)
+), leaves as (select *, row_number() over (partition by lang order by doc_id, leaf) - 1 as pos, count(*) over (partition by lang) as n from d
+), node(lang, level, pos, hash, n) as (select lang, 0, pos, leaf, n from leaves
+  union all select lang, level + 1, pos // 8, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 7) // 8 from node where n > 1 group by lang, level, pos // 8
+), subroots as (select lang, hash, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from node where n = 1
+), over(level, pos, hash, n) as (select 0, pos, hash, n from subroots union all select level + 1, pos // 8, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 7) // 8 from over where n > 1 group by level, pos // 8
+), top as (select 'o' as tree, null::varchar as lang, level, pos, hash, n from over union all select 'l', lang, level, pos, hash, n from node
+), near as (select *, coalesce(string_agg(hash, '') over (partition by tree, lang, level, pos // 8 order by pos rows between unbounded preceding and 1 preceding), '') as before,
+  coalesce(string_agg(hash, '') over (partition by tree, lang, level, pos // 8 order by pos rows between 1 following and unbounded following), '') as after from top
+), fold(doc_id, leaf, pos, lang, tree, level, acc, proof) as (select doc_id, leaf, pos, lang, 'l', 0, coalesce(tampered, leaf), '' from leaves
+  union all select f.doc_id, f.leaf, case when t.n > 1 then f.pos // 8 else s.pos end, f.lang, case when t.n > 1 then f.tree else 'o' end, case when t.n > 1 then f.level + 1 else 0 end,
+    case when t.n > 1 then sha256(t.before || f.acc || t.after) else f.acc end, case when t.n > 1 then f.proof || t.before || t.after else f.proof end
+  from fold f join near t on t.tree = f.tree and t.level = f.level and t.pos = f.pos and (t.tree = 'o' or t.lang is not distinct from f.lang) join subroots s on s.lang is not distinct from f.lang where t.n > 1 or t.tree = 'l')
+select f.doc_id, f.leaf, s.hash as subroot, r.hash as root, sha256(f.proof) as proof_sha256, f.acc as folded_root, f.acc = r.hash as verified
+from fold f join subroots s on s.lang is not distinct from f.lang join (select hash, level from over where n = 1) r on f.tree = 'o' and f.level = r.level""",
+    "op13_prefix_trie": f"""with recursive ids as (select distinct conv_id from conversations where conv_id is not null), crc(conv_id, i, c) as ({CRC.format('conv_id', 'ids')}), h as (
+  select conv_id, conv_id - conv_id % 20 as base, xor(c, 4294967295) % 4 as h from crc where i = strlen(conv_id::varchar)
+), t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), e as (select conv_id, sha256(strlen(role) || ':' || role || text) as x, len({WORDS.format('text')}) as words, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as i from t
+), a as (select h.conv_id, e.i, e.x, e.words from h join e on e.conv_id = h.base and e.i <= h.h union all select h.conv_id, e.i, e.x, e.words from h join e on e.conv_id = h.conv_id and e.i > h.h
+), o as (select conv_id, x, words, row_number() over (partition by conv_id order by i) as d from a
+), p as (select conv_id, d, words, string_agg(x, '') over (partition by conv_id order by d) as k from o union all select conv_id, 0, 0, '' from ids
+), m as (select k, d as depth, any_value(words) as words, min(conv_id) as conv_id, count(*) as n_convs from p group by k, d
+), c as (select k[:-65] as k, count(*) as n_children from m where depth > 0 group by 1
+), ends as (select k, string_agg(conv_id::varchar, ',' order by conv_id) as ids from (select conv_id, arg_max(k, d) as k from p group by conv_id) group by k
+), under as (select k as of_k, words, n_convs, depth, c.k is null as leaf, unnest(range(0, depth + 1)) as up from m left join c using (k)
+), sums as (select of_k[:64 * up] as k, sum(leaf::int) as n_leaves, sum((n_convs - 1) * words) as saved from under group by 1)
+select m.conv_id, m.depth, q.conv_id as parent_conv_id, m.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from m left join m q on m.depth > 0 and q.k = m.k[:-65] left join c on c.k = m.k left join ends on ends.k = m.k join sums on sums.k = m.k""",
 }

@@ -110,10 +110,10 @@ def test_the_largest_cosine_wins_below_zero_too():
 
 def test_many_different_trigrams_are_bundled_in_slices(monkeypatch):
     texts = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for k in range(127)) for i in range(40)]
-    whole, _ = language_id.bundled(texts)
+    whole, *_ = language_id.bundled(texts)
     monkeypatch.setattr(language_id, "SLICE", 50)
     monkeypatch.setattr(language_id, "CHUNK", 60)
-    parts, _ = language_id.bundled(texts)
+    parts, *_ = language_id.bundled(texts)
     assert np.array_equal(whole, parts)
 
 

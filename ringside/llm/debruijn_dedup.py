@@ -150,7 +150,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     """doc_id, n_words, n_removed, spans (removed, in words) and kept (remaining words, one space between) of every row.
 
     With ``as_is``, texts that lose nothing are kept as they are. Columns to ``carry`` along follow (of a doc_id's rows,
-    the smallest values).
+    the values of one, chosen by a hash of them).
     """
     extra = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), *extra)
@@ -170,7 +170,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     found = read.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "digest")).alias("paths"))
     notes = facts.join(found, "doc", "left")
     if carried:
-        notes = notes.join(docs.where("doc is not null").groupBy("doc").agg(F.min(F.struct(*carried)).alias("carried")), "doc")
+        notes = notes.join(docs.where("doc is not null").groupBy("doc").agg(F.min_by(F.struct(*carried), F.xxhash64(F.to_json(F.struct(*carried)))).alias("carried")), "doc")
     notes = notes.select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "paths", *(f"carried.{c}" for c in carried))
     noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "paths", *carried)
     nobody = docs.where("doc is null")

@@ -8,7 +8,7 @@ document's ends bound where the window could lie; and what remains is verified w
 The join is one at every size: rarest shingle, bounds, comparison of words. Only its physical form is chosen: where the
 windows and their items were counted and are at most ``broadcast_windows`` (and eight times that), the benchmark's side is
 sent to every task; else both sides meet in a shuffle, where Spark splits partitions of shingles that very many documents
-hold. Either way a row is judged by its own text, whatever its doc_id, and both give the same rows.
+hold; a Bloom filter of fixed size keeps back the shingles of documents that no window holds. Either way a row is judged by its own text, whatever its doc_id, and both give the same rows.
 
 Defined results: null texts have no words and are clean; items without words, or with a null id or text, take no part;
 items that repeat count once; repeated documents get equal results; empty tables give empty or clean results; further
@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringside.llm.arrays import lean, LOWER, NOT_ALNUM, U64, changes, gram_hashes, inside_texts, slices, spread, text_buffers, word_hashes, word_spans
-from ringside.llm.session import small_batches
+from ringside.llm.rows import by_place
+from ringside.llm.session import small_batches, written
 
 #: Words of a shingle.
 SHINGLE = 3
 #: Windows that may be broadcast: about 100 bytes each.
 BROADCAST_WINDOWS = 1 << 18
+#: Bits of the filter of windows' shingles where they are not broadcast: 8 MB.
+SIEVE_BITS = 1 << 26
 FOUND = "n_words long, n_hit long, items array<long>"
 
 
@@ -189,8 +192,8 @@ def _match(bench: Bench, prefix: list[tuple]) -> Callable:
     return run
 
 
-def _doc_shingles(sizes: list[int]) -> Callable:
-    """row, text -> every shingle with its place and the number of words: for the join without a broadcast."""
+def _doc_shingles(sizes: list[int], sieve: np.ndarray) -> Callable:
+    """row, text -> the shingles that pass the sieve, with their place and the number of words: for the join without a broadcast."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +203,12 @@ def _doc_shingles(sizes: list[int]) -> Callable:
                 *_, first, tokens = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for n in sizes:
                     at, doc = inside_texts(first, n, len(tokens))
+                    value = shingles(tokens, n)[at]
+                    ok = _passes(sieve, value)
+                    at, doc, value = at[ok], doc[ok], value[ok]
                     if len(at):
                         yield pa.record_batch(
-                            [ids.take(pa.array(doc + i)), pa.array(at - first[doc]), pa.array(np.diff(first)[doc]), pa.array(np.full(len(at), n)), pa.array(shingles(tokens, n)[at].view(np.int64))],
+                            [ids.take(pa.array(doc + i)), pa.array(at - first[doc]), pa.array(np.diff(first)[doc]), pa.array(np.full(len(at), n)), pa.array(value.view(np.int64))],
                             ["row", "at", "n_words", "n", "shingle"],
                         )
 
@@ -324,27 +330,48 @@ def _clean(match: Callable, at: int) -> Callable:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The rows of ``docs``, whole, whose text holds no window of an item."""
     match, windows = _prepared(docs, benchmark, length, broadcast_windows)
+    rows, at = by_place(docs), docs.columns.index("text")
     if match is not None:
-        return docs.mapInArrow(lean(_clean(match, docs.columns.index("text"))), docs.schema)
-    placed = _placed(docs, windows.select(F.lit(0).cast("long").alias("item_id"), "window"), length)
-    return placed.mapInArrow(lean(_without_hits(docs.columns.index("text"), len(docs.columns))), docs.schema)
+        return rows.mapInArrow(lean(_clean(match, at)), rows.schema).toDF(*docs.columns)
+    placed = _placed(rows, f"c{docs.columns.index('doc_id')}", f"c{at}", windows.select(F.lit(0).cast("long").alias("item_id"), "window"), length)
+    return placed.mapInArrow(lean(_without_hits(at, len(docs.columns))), rows.schema).toDF(*docs.columns)
 
 
 def _shuffled(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    return _placed(docs, windows, length).mapInArrow(lean(_count_hits), f"doc_id long, {FOUND}")
+    return _placed(by_place(docs), "c0", "c1", windows, length).mapInArrow(lean(_count_hits), f"doc_id long, {FOUND}")
 
 
-def _placed(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """``docs``, whole, and last the places at which windows could lie: of equal hashes, so words are still to be compared.
+def _sieve(shingles: DataFrame) -> np.ndarray:
+    """A Bloom filter of some shingles, of a fixed size: made in a grouped aggregation, sent to every task."""
+    low, high = F.col("shingle").bitwiseAND(F.lit(SIEVE_BITS - 1)), F.shiftrightunsigned("shingle", 32).bitwiseAND(F.lit(SIEVE_BITS - 1))
+    bits = shingles.select(F.explode(F.array(low, high)).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
+    sieve = np.zeros(SIEVE_BITS // 64, U64)
+    sieve[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(U64)
+    return sieve
+
+
+def _passes(sieve: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def held(bit: np.ndarray) -> np.ndarray:
+        return (sieve[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63))) & U64(1) == U64(1)
+
+    ok = held(value & U64(SIEVE_BITS - 1))
+    ok[ok] = held((value[ok] >> U64(32)) & U64(SIEVE_BITS - 1))
+    return ok
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, windows: DataFrame, length: int) -> DataFrame:
+    """``docs`` (columns c0, c1, ...), whole, and last the places at which windows could lie: of equal hashes, so words are still to be compared.
 
     Rows are told apart by a hash of id and text; rows of equal hash share their places, and each is compared itself.
     """
-    distinct = windows.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    own = distinct.select("window").mapInArrow(lean(_window_shingles(length)), "window binary, size long, place long, n long, shingle long")
+    distinct = written(windows.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
+    own = written(distinct.select("window").mapInArrow(lean(_window_shingles(length)), "window binary, size long, place long, n long, shingle long"), "shingles")
     sizes = [r["n"] for r in own.select("n").distinct().orderBy("n").collect()]
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    texts = keyed.select("_row", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    at = texts.mapInArrow(lean(_doc_shingles(sizes)), "row long, at long, n_words long, n long, shingle long")
+    keyed = docs.withColumn("row", F.xxhash64(doc_id, text))
+    texts = keyed.where(F.col(text).isNotNull()).select("row", F.col(text).cast("string").alias("text"))
+    # Only shingles that a window may hold leave their task; of those that do, all are counted.
+    at = written(texts.mapInArrow(lean(_doc_shingles(sizes, _sieve(own))), "row long, at long, n_words long, n long, shingle long"), "candidates")
     counts = at.groupBy("n", "shingle").agg(F.count(F.lit(1)).alias("count"))
     # The rarest shingle is one that no document holds, if there is one: then the window is in none.
     held = own.join(counts, ["n", "shingle"], "left").groupBy("window", "size", "n")
@@ -352,5 +379,5 @@ def _placed(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     prefix = rarest.select("window", "size", "n", "p.shingle", "p.place").join(distinct, "window")
     begin = F.col("at") - F.col("place")
     inside = at.join(prefix, ["n", "shingle"]).where((begin >= 0) & (begin + F.col("size") <= F.col("n_words")))
-    found = inside.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct(begin.alias("begin"), "window", "items")).alias("_places"))
-    return keyed.join(found, "_row", "left").select(*(F.col(c) for c in docs.columns), "_places")
+    found = inside.groupBy("row").agg(F.collect_set(F.struct(begin.alias("begin"), "window", "items")).alias("places"))
+    return keyed.join(found, "row", "left").select(*docs.columns, "places")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringside.llm.arrays import lean
-from ringside.llm.session import partitions, small_batches, written
+from ringside.llm.session import numbered, partitions, small_batches, written
 
 FANOUT = 8
 #: Digits of a rank that one round of the reduction takes away.
@@ -194,15 +194,6 @@ def pathed(rounds: list[DataFrame], tops: DataFrame, final: bool = False) -> Dat
     return tops
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """``rows`` with their place from 0 on, in an order without ties: dealt by ranges, written, and the ranges' sizes summed."""
-    dealt = rows.repartitionByRange(partitions(rows.sparkSession), order).sortWithinPartitions(order)
-    dealt = written(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return dealt.join(starts, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def ranked(rows: DataFrame, trees: DataFrame, least: int, greatest: int) -> DataFrame:
     """tag, key, ... -> tree, leaves, rank (from 0 in each tag by key and hash), ...
 

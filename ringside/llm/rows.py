@@ -33,15 +33,24 @@ def _unpack(at: int) -> Callable:
     return run
 
 
+def by_place(rows: DataFrame) -> DataFrame:
+    """The same columns under plain names (c0, c1, ...), for steps that can't read names with dots, or names of their own."""
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+
+
+def _with(rows: DataFrame, text: str, kind: T.DataType, run: Callable) -> DataFrame:
+    at = rows.columns.index(text)
+    schema = T.StructType([T.StructField(f"c{i}", kind if i == at else f.dataType, True) for i, f in enumerate(rows.schema)])
+    return by_place(rows).mapInArrow(lean(run(at)), schema).toDF(*rows.columns)
+
+
 def pack_rows(rows: DataFrame, text: str = "text") -> DataFrame:
     """The same rows with that column packed to binary."""
-    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType, True) for f in rows.schema])
-    return rows.mapInArrow(lean(_pack(rows.columns.index(text))), schema)
+    return _with(rows, text, T.BinaryType(), _pack)
 
 
 def unpack_rows(rows: DataFrame, text: str = "text") -> DataFrame:
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in rows.schema])
-    return rows.mapInArrow(lean(_unpack(rows.columns.index(text))), schema)
+    return _with(rows, text, T.StringType(), _unpack)
 
 
 def without_ids(rows: DataFrame, gone: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:

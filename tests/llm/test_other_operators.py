@@ -108,6 +108,16 @@ def test_the_largest_cosine_wins_below_zero_too():
     assert language_id.judged(["de", "en"], table, np.array([[-1.0, 0.01], [3.0, 4.0]]), np.array([True, False])) == (["en", "und"], [0.0, 0.0])
 
 
+def test_languages_in_blocks(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr"), ("la casa y el jardin", "es"), ("x y z", None), (None, "it"), ("12", "pt")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(map(tuple, language_id.predict_language(df).collect()))
+    kept = sorted(r.doc_id for r in language_id.known_language(df, variety=0, clear=0).collect())
+    monkeypatch.setattr(language_id, "MOST", 2)
+    assert sorted(map(tuple, language_id.predict_language(df).collect())) == whole
+    assert sorted(r.doc_id for r in language_id.known_language(df, variety=0, clear=0).collect()) == kept
+
+
 def test_many_different_trigrams_are_bundled_in_slices(monkeypatch):
     texts = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for k in range(127)) for i in range(40)]
     whole, *_ = language_id.bundled(texts)

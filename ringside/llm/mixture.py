@@ -4,11 +4,12 @@ Size is the number of words. Each source's words, its documents one after anothe
 ``block`` words. Its target is its weight's share of all words, at most ``most`` times its own size; what it cannot
 take is shared again by weight, which is the water level L with target = min(most * size, L * weight).
 
-A source needs so many slots of one block as fill its target; slot j belongs to epoch j // blocks (one pass over the
-source) and to the place j % blocks in it. How many of its slots each output shard gets is drawn from a multinomial
-distribution over the shards whose total is the source's number of slots: first over ranges of shards, then inside each
-range. A shard's slots are numbered on where the shard before it ends, and a slot's place goes through that epoch's
-pseudorandom permutation (a Feistel network that walks until it meets an existing block) to a block index. Slots and
+A source needs so many slots of one block as fill its target: whole epochs (each a pass over all its blocks) and a last one
+in part. For every output shard, in turn, it is drawn from a multinomial distribution how many of its slots come from each
+source, and how many of those from whole epochs; the weights are what the sources still have to give, so that the totals
+hold: first over ranges of shards, then inside each range. In the last epoch a shard also skips a drawn number of places, so
+that the draws decide which places of the epoch are taken at all. A slot's place goes through its epoch's pseudorandom
+permutation of the source's blocks (a Feistel network that walks until it meets an existing one) to a block index. Slots and
 blocks of documents meet in a join by block index; what a document gives is summed from those slots. The last slot of a
 source holds only as many words as are missing, so that every target is met to the word.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +37,16 @@ from ringside.llm.session import partitions, written
 WORD = r"[^\\x20\\x09-\\x0D]+"
 BLOCK = 64
 SEED = 20
-#: Words of an output shard, on average.
-SHARD_WORDS = 1 << 24
+#: Words of an output shard at most, and shards of a table at least (where it has so many slots).
+SHARD_WORDS, SHARDS = 1 << 24, 64
 #: Documents of a chunk whose sizes are summed in order.
 CHUNK_DOCS = 4096
-#: Shards of a range that one task draws.
-RANGE = 16
 #: Slots that a task makes at a time.
 PORTION = 1 << 18
 #: Rounds of the permutation.
 ROUNDS = 4
-RANGES = "rank int, source_size long, range long, first long, slots long, all_slots long, last_words long, shards long"
+RANGES = "range long, shards long, all_shards long, all_slots long, rank int, source_size long, target double, whole long, part long, skip long, whole_before long, part_before long, skip_before long"
+SHARDED = "shard long, rank int, source_size long, target double, whole long, part long, whole_before long, part_before long, place long"
 SLOTS = "shard long, slot long, rank int, epoch int, index long, words int"
 
 
@@ -123,80 +124,138 @@ class Permutation:
         return self._walked(indices, self._back)
 
 
-def slots_of(size: int, target: int, block: int, seed: int, rank: int) -> tuple[int, int]:
-    """How many slots a source needs for its target, and how many words the last one holds."""
+@dataclass(frozen=True)
+class Need:
+    """What a source needs: blocks, whole epochs, and of the last epoch so many slots of so many places, the last of them cut."""
+
+    blocks: int
+    epochs: int
+    part: int
+    places: int
+    last: int
+
+
+def needed(size: int, target: int, block: int) -> Need:
+    """The last epoch is over the full blocks, unless it needs the last, shorter one too."""
     blocks = -(-size // block)
     epochs, rest = divmod(target, size)
-    if not rest:
-        last = int(Permutation(blocks, seed, rank, epochs - 1).indices(np.array([blocks - 1]))[0]) if epochs else 0
-        return epochs * blocks, min(block, size - last * block)
-    # The source's last block is short by so many words; it counts if its place comes before the slots' end.
-    short = block * blocks - size
-    place = int(Permutation(blocks, seed, rank, epochs).places(np.array([blocks - 1]))[0])
-    n = -(-rest // block)
-    if place < n and n * block - short < rest:
-        n += 1
-    before = (n - 1) * block - (short if place < n - 1 else 0)
-    return epochs * blocks + n, rest - before
-
-
-def drawn(n: int, widths: np.ndarray, *keys: int) -> np.ndarray:
-    """One draw from a multinomial distribution with probabilities in proportion to widths; it depends on the keys alone."""
-    random = np.random.default_rng([k & (2**64 - 1) for k in keys])
-    if n < len(widths):
-        ends = np.cumsum(widths)
-        return np.bincount(np.searchsorted(ends, random.integers(ends[-1], size=n), "right"), minlength=len(widths))
-    return random.multinomial(n, widths / widths.sum())
+    if rest <= (blocks - 1) * block:
+        part = -(-rest // block)
+        return Need(blocks, epochs, part, blocks - 1 if rest else 0, rest - (part - 1) * block)
+    return Need(blocks, epochs, blocks, blocks, rest - (blocks - 1) * block)
+
+
+def generator(*keys: int) -> np.random.Generator:
+    return np.random.default_rng([k & (2**64 - 1) for k in keys])
+
+
+def drawn(n: int, left: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """n slots over sources by what they have left: multinomial draws, and again for what a source can't give."""
+    out = np.zeros(len(left), np.int64)
+    while n > 0:
+        weight = (left - out).astype(np.float64)
+        more = np.minimum(random.multinomial(n, weight / weight.sum()), left - out)
+        out += more
+        n -= int(more.sum())
+    return out
+
+
+def skipped(left: np.ndarray, own: int, remaining: int, random: np.random.Generator) -> np.ndarray:
+    """Places that shards skip in each source's last epoch, so many shards of those that remain."""
+    return left if own == remaining else random.binomial(left, own / remaining)
+
+
+def bounds(shards: int, slots: int, first: int, n: int) -> tuple[int, int]:
+    """The slots of n shards from the first on, all shards being of one size."""
+    return first * slots // shards, (first + n) * slots // shards
+
+
+def _table(batches: Iterable[pa.RecordBatch]) -> list[tuple]:
+    return [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+
+def _batch(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    for i in range(0, len(rows), 1 << 14):
+        columns = zip(*rows[i : i + (1 << 14)], strict=True)
+        yield pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def _ranges(block: int, shard_words: int, seed: int) -> Callable:
-    """rank, source_size, target, total -> the ranges of shards that get slots of the source."""
+    """All sources -> what each range of shards takes of each, and how much the ranges before it took."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rank, size, target, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slots, last = slots_of(size, int(target), block, seed, rank)
-                shards = max(1, -(-total // shard_words))
-                width = np.full(-(-shards // RANGE), RANGE)
-                width[-1] = shards - RANGE * (len(width) - 1)
-                count = drawn(slots, width, seed, rank)
-                first = np.cumsum(count) - count
-                at = np.flatnonzero(count)
-                same = lambda v, t, n=len(at): pa.array(np.full(n, v), t)
-                yield pa.record_batch(
-                    [same(rank, pa.int32()), same(size, pa.int64()), pa.array(at), pa.array(first[at]), pa.array(count[at]), same(slots, pa.int64()), same(last, pa.int64()), same(shards, pa.int64())],
-                    [x.split()[0] for x in RANGES.split(", ")],
-                )
+        sources = sorted(_table(batches))
+        if not sources:
+            return
+        needs = [needed(size, int(target), block) for _, size, target, _ in sources]
+        left = np.array([n.epochs * n.blocks for n in needs] + [n.part for n in needs])
+        skip = np.array([n.places - n.part for n in needs])
+        slots, k = int(left.sum()), len(needs)
+        shards = max(1, min(slots, max(SHARDS, -(-sources[0][3] // shard_words))))
+        width = max(1, round(shards**0.5))
+        before, gone = np.zeros_like(left), np.zeros_like(skip)
+        for part, first in enumerate(range(0, shards, width)):
+            n, random = min(width, shards - first), generator(seed, part, 1)
+            low, high = bounds(shards, slots, first, n)
+            own, over = drawn(high - low, left, random), skipped(skip, n, shards - first, random)
+            rows = [(part, n, shards, slots, r, size, target, *map(int, (own[i], own[k + i], over[i], before[i], before[k + i], gone[i]))) for i, (r, size, target, _) in enumerate(sources) if own[i] or own[k + i] or over[i]]
+            yield from _batch(rows, RANGES)
+            left, skip, before, gone = left - own, skip - over, before + own, gone + over
+
+    return run
+
+
+def _shards(seed: int) -> Callable:
+    """range, ... in order -> what each shard of a range takes of each source, and at which place of the last epoch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby((row for b in batches for row in _table([b])), lambda r: r[0]):
+            rows = list(rows)
+            _, n, shards, slots = rows[0][:4]
+            width = max(1, round(shards**0.5))
+            table = np.array([r[7:] for r in rows], np.int64)
+            left, skip = np.concatenate((table[:, 0], table[:, 1])), table[:, 2]
+            before, gone, k = np.concatenate((table[:, 3], table[:, 4])), table[:, 5], len(rows)
+            for shard in range(part * width, part * width + n):
+                random = generator(seed, shard, 2)
+                low, high = bounds(shards, slots, shard, 1)
+                own, over = drawn(high - low, left, random), skipped(skip, 1, part * width + n - shard, random)
+                yield from _batch([(shard, *r[4:7], *map(int, (own[i], own[k + i], before[i], before[k + i], before[k + i] + gone[i]))) for i, r in enumerate(rows) if own[i] or own[k + i]], SHARDED)
+                left, skip, before, gone = left - own, skip - over, before + own, gone + over
 
     return run
 
 
 def _slots(block: int, seed: int) -> Callable:
-    """A range of shards -> its slots: each shard's number of them is drawn, and each goes through the permutation."""
+    """What a shard takes of a source -> its slots, each place through the permutation of its epoch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rank, size, part, first, count, slots, last, shards in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks = -(-size // block)
-                begin = part * RANGE
-                each = drawn(count, np.ones(min(RANGE, shards - begin), np.int64), seed, rank, part, 1)
-                ends = np.cumsum(each)
-                maps: dict[int, Permutation] = {}
-                for i in range(0, count, PORTION):
-                    own = np.arange(i, min(i + PORTION, count))
-                    shard = np.searchsorted(ends, own, "right")
-                    slot = own + first
-                    epoch, place = slot // blocks, slot % blocks
-                    index = np.empty_like(place)
+            for shard, rank, size, target, whole, part, whole_before, part_before, place in _table([batch]):
+                need = needed(size, int(target), block)
+                maps: dict[tuple[int, int], Permutation] = {}
+                for i in range(0, whole + part, PORTION):
+                    own = np.arange(i, min(i + PORTION, whole + part))
+                    late = own >= whole
+                    slot = whole_before + own
+                    epoch = np.where(late, need.epochs, slot // need.blocks)
+                    at = np.where(late, place + own - whole, slot % need.blocks)
+                    index = np.empty_like(at)
                     for e in np.unique(epoch).tolist():
-                        at = epoch == e
-                        if e not in maps:
-                            maps[e] = Permutation(blocks, seed, rank, e)
-                        index[at] = maps[e].indices(place[at])
+                        here = epoch == e
+                        key = (need.places if e == need.epochs else need.blocks, e)
+                        if key not in maps:
+                            maps[key] = Permutation(key[0], seed, rank, e)
+                        index[here] = maps[key].indices(at[here])
                     words = np.minimum(block, size - index * block)
-                    words[slot == slots - 1] = last
+                    if need.part == need.blocks:
+                        words[late & (index == need.blocks - 1)] = need.last
+                    else:
+                        words[late & (part_before + own - whole == need.part - 1)] = need.last
                     kinds = [x.split() for x in SLOTS.split(", ")]
-                    values = (shard + begin, own - (ends - each)[shard], np.full(len(own), rank), epoch, index, words)
+                    values = (np.full(len(own), shard), own, np.full(len(own), rank), epoch, index, words)
                     yield pa.record_batch([pa.array(v, pa.int32() if k == "int" else pa.int64()) for v, (_, k) in zip(values, kinds, strict=True)], [n for n, _ in kinds])
 
     return run
@@ -240,8 +299,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     units = ranked_in_order(units, ["rank"], "key", width, words, "begin").select("rank", "doc_id", "size", "copies", "begin")
 
     asked = sources.where("target >= 1").select(F.col("rank").cast("int").alias("rank"), "source_size", "target", "total")
-    ranges = asked.repartition(partitions(spark), "rank").mapInArrow(lean(_ranges(block, shard_words, seed)), RANGES)
-    slots = ranges.repartition(partitions(spark), "rank", "range").mapInArrow(lean(_slots(block, seed)), SLOTS)
+    # One row a source meets in one task, which draws for ranges of shards; the square root of their number.
+    ranges = asked.coalesce(1).mapInArrow(lean(_ranges(block, shard_words, seed)), RANGES)
+    shards = ranges.repartition(partitions(spark), "range").sortWithinPartitions("range", "rank").mapInArrow(lean(_shards(seed)), SHARDED)
+    slots = shards.repartition(partitions(spark), "shard", "rank").mapInArrow(lean(_slots(block, seed)), SLOTS)
 
     # A block is taken whole so many times, and once in part if it is the last slot's.
     used = slots.groupBy("rank", "index").agg(F.max("words").alias("long"), F.min("words").alias("short"), F.count(F.lit(1)).alias("n"))

@@ -335,14 +335,12 @@ def test_mix_of_tiny_and_missing_sources(spark):
 
 def test_slots_of_a_source_fill_its_target_to_the_word():
     for size in (1, 5, 63, 64, 65, 640, 1000):
-        blocks = -(-size // 64)
         for target in range(1, 3 * size + 1, 1 if size < 100 else 37):
-            n, last = mixture.slots_of(size, target, 64, 20, 3)
-            words = []
-            for slot in range(n):
-                index = int(mixture.Permutation(blocks, 20, 3, slot // blocks).indices(np.array([slot % blocks]))[0])
-                words.append(min(64, size - 64 * index))
-            assert last <= words[-1] and sum(words[:-1]) + last == target
+            need = mixture.needed(size, target, 64)
+            assert 0 <= need.part <= need.places <= need.blocks
+            full = 64 * (need.part - 1) if need.part else 0
+            assert need.epochs * size + full + (need.last if need.part else 0) == target
+            assert need.part == 0 or 0 < need.last <= 64
 
 
 def test_permutations():
@@ -354,13 +352,13 @@ def test_permutations():
     assert mixture.Permutation(1000, 7, 1).indices(np.arange(1000)).tolist() != mixture.Permutation(1000, 7, 2).indices(np.arange(1000)).tolist()
 
 
-def test_counts_of_shards_are_multinomial():
-    draws = np.array([mixture.drawn(400, np.array([16, 16, 8]), 1, k) for k in range(2000)])
+def test_counts_of_a_shard_are_multinomial():
+    left = np.array([160_000, 160_000, 80_000])
+    draws = np.array([mixture.drawn(400, left, mixture.generator(1, k)) for k in range(2000)])
     assert (draws.sum(axis=1) == 400).all()
     assert np.abs(draws.mean(axis=0) - [160, 160, 80]).max() < 2
     assert np.abs(draws.var(axis=0) - [96, 96, 64]).max() < 12
-    few = np.array([mixture.drawn(3, np.ones(10, np.int64), 1, k) for k in range(3000)])
-    assert (few.sum(axis=1) == 3).all() and np.abs(few.mean(axis=0) - 0.3).max() < 0.05
+    assert mixture.drawn(7, np.array([1, 4, 0, 2]), mixture.generator(3)).tolist() == [1, 4, 0, 2]
 
 
 def test_the_mix_holds_the_words_that_documents_give(spark):
@@ -385,12 +383,40 @@ def test_the_mix_holds_the_words_that_documents_give(spark):
     assert len({x.shard for x in shards}) > 5
 
 
-def test_shards_change_the_draws_and_not_the_targets(spark, data):
+def test_draws_decide_what_is_taken_and_targets_hold(spark, data):
+    """Another seed or another size of shards takes other words of the same targets; the same draw the same ones."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    few, many = mixture.mix(docs, shard_words=50_000), mixture.mix(docs, shard_words=5000)
-    count = lambda m: {(x.shard, x.rank): x.n for x in m.slots.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n")).collect()}
-    a, b = count(few), count(many)
-    assert len({k[0] for k in b}) > 5 * len({k[0] for k in a}) > 0
-    total = lambda c: {k: sum(n for (_, x), n in c.items() if x == k) for k in {x for _, x in c}}
-    assert total(a) == total(b)
-    assert sorted(map(tuple, few.taken.collect()), key=str) == sorted(map(tuple, many.taken.collect()), key=str)
+    taken = lambda **how: {x.doc_id: (x.target, x.taken) for x in mixture.mix(docs, **how).taken.collect()}
+    one, again, smaller, other = taken(), taken(), taken(shard_words=500), taken(seed=21)
+    assert one == again
+    source = {x.doc_id: x.source for x in docs.collect()}
+    for x in (smaller, other):
+        assert x != one and {d: t for d, (t, _) in x.items()} == {d: t for d, (t, _) in one.items()}
+        for s in set(source.values()):
+            own = [v for d, v in x.items() if source[d] == s]
+            assert sum(n for _, n in own) == int(own[0][0])
+
+
+def test_slots_by_hand(spark):
+    """The ranges, shards and slots against a plain walk: every whole epoch has each block once, the last one none twice."""
+    rows = [(i, "w " * (37 * i % 900), "abc"[i % 3]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    made = mixture.mix(docs, shard_words=300)
+    slots = made.slots.collect()
+    per_shard = {}
+    for x in slots:
+        per_shard[x.shard] = per_shard.get(x.shard, 0) + 1
+    assert max(per_shard.values()) - min(per_shard.values()) <= 1 and len(per_shard) > 64
+    by_epoch = {}
+    for x in slots:
+        by_epoch.setdefault((x.rank, x.epoch), []).append(x["index"])
+    sizes = {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for (rank, epoch), index in by_epoch.items():
+        blocks = -(-sizes["abc"[rank]] // 64)
+        assert len(set(index)) == len(index)
+        last = epoch == max(e for r, e in by_epoch if r == rank)
+        assert last or sorted(index) == list(range(blocks))
+    assert len({x.rank for x in slots}) == 3
+

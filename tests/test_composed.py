@@ -1,0 +1,165 @@
+"""Composed loads, pages put aside, isolated sources, publications, downloads and prefixes, on small inputs."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from ringside.functions import text as X
+from ringside.operators import features, names, training
+from ringside.plans import exports
+from ringside.sources import composed, ingest, landed, markup, publish
+
+ROW = '<tr class="rang-row" data-uid="{uid}"><td class="col-name"><a href="/schwingerportraets/{slug}/">{name}</a><span class="kranzkennung">{stars}</span></td><td class="col-verband">{union}</td><td class="col-kranz">{won}</td><td></td></tr>'
+BOUT = '<tr class="rang-detail-row" data-detail-uid="{uid}"><td><span class="gang-sym">{sym}</span><span class="gang-pt">{pt}</span></td><td class="gang-gegner"><a href="/schwingerportraets/{slug}/">x</a></td></tr>'
+
+
+def page(*rows):
+    return '<div class="rangliste-gang-panel" data-rl-gang="1"><table>' + "".join(rows) + "</table></div>"
+
+
+def row(uid, slug, name="N", stars="", union="BKSV Emmental", won=""):
+    return ROW.format(uid=uid, slug=slug, name=name, stars=stars, union=union, won=won)
+
+
+def bout(uid, slug, sym="+", pt="10"):
+    return BOUT.format(uid=uid, slug=slug, sym=sym, pt=pt)
+
+
+@pytest.fixture(scope="module")
+def load(spark):
+    pages = [
+        ("1", "<title>Erstes Fest vom 05.05.2024</title>" + page(row(7, "a", "Anna", "*", "isv x", "<i></i>"), bout(7, "b"), bout(7, "nobody"), bout(7, "a", "-"), row(8, "b", "Beat"), bout(8, "a", "o", "8.5"))),
+        ("2", page(row(7, "a2", "Anna Neu", "***", "NOS"), bout(7, "b"), row(9, "b", "Carl"), bout(9, "c", "?"))),
+        ("3", None), ("4", "  "), ("5", "<![torn[ x"), ("6", "<p>moved</p>"), ("7", page()), ("99", page(row(1, "z"))),
+    ]
+    refs = [(1, "one", "2024-05-05", "regional", "A"), (2, "two", "2023-01-01", "mountain", None), *((i, f"f{i}", "2024-01-01", "union", None) for i in range(3, 8)), (99, "undated", None, "union", None)]
+    return composed.composed(spark.createDataFrame(refs, "fest_id long, name string, datum string, tier string, place string"), spark.createDataFrame(pages, "page string, html string"))
+
+
+def test_one_page_does_not_touch_another(load):
+    status = {r.page: (r.status.split(":")[0], r.n_athletes) for r in load.pages.collect()}
+    assert status == {"1": ("loaded", 2), "2": ("loaded", 2), "3": ("empty page", 0), "4": ("empty page", 0), "5": ("unreadable", 0), "6": ("no ranking", 0), "7": ("no athletes", 0)}
+    assert {r.page: r.html for r in load.aside.collect()}["5"] == "<![torn[ x"
+    assert [(r.fest_id, r.name, r.datum, r.tier, r.place) for r in load.fests.orderBy("fest_id").collect()] == [(1, "Erstes Fest", "2024-05-05", "regional", "A"), (2, "two", "2023-01-01", "mountain", None)]
+
+
+def test_first_names_highest_status_and_last_slugs(load):
+    got = {r.uid: (r.name, r.association, r.union, r.status) for r in load.athletes.collect()}
+    assert got == {"7": ("Anna Neu", "NOS", "Nordostschweiz", "federal"), "8": ("Beat", "BKSV Emmental", "Bern", "none"), "9": ("Carl", "BKSV Emmental", "Bern", "none")}
+    assert {r.slug: r.uid for r in load.slugs.collect()} == {"a": "7", "a2": "7", "b": "8"}
+
+
+def test_records_without_an_opponent_are_counted(load):
+    assert load.dropped == {"seen": 5, "unresolved": 1, "self": 1}
+    assert sorted(map(tuple, load.entries.collect())) == [(1, "2024-05-05", "regional", "7", "8", "+", 10.0, True), (1, "2024-05-05", "regional", "8", "7", "o", 8.5, False), (2, "2023-01-01", "mountain", "7", "8", "+", 10.0, False)]
+
+
+def test_portraits_replace_five_fields_and_add_a_club(spark, load):
+    people = load.athletes.withColumns({"birth_year": F.lit(1990), "height_cm": F.lit(180.0), "weight_kg": F.lit(90.0), "style": F.lit("senne"), "moves": F.array(F.lit("kurz")), "club": F.lit("old")})
+    schema = "page string, birth_year int, height_cm double, weight_kg double, style string, moves array<string>, club string"
+    told = spark.createDataFrame([("a", 1995, None, 100.0, None, ["hip"], None), ("b", None, None, None, None, [], "new"), ("a2", 1, None, None, None, [], "never: the older slug")], schema)
+    got = {r.uid: tuple(r)[-7:] for r in composed.enriched(people, load.slugs, told).collect()}
+    assert got["7"] == (1995, None, 100.0, None, ["hip"], "old", True)
+    assert got["8"] == (None, None, None, None, [], "new", True)
+    assert got["9"] == (1990, 180.0, 90.0, "senne", ["kurz"], "old", False)
+
+
+def test_only_the_first_fests(spark, load):
+    refs = spark.createDataFrame([(1, "one", "2024-05-05", "x", None), (2, "two", "2023-01-01", "x", None)], "fest_id long, name string, datum string, tier string, place string")
+    pages = spark.createDataFrame([("1", page(row(1, "a"))), ("2", page(row(2, "b")))], "page string, html string")
+    few = composed.composed(refs, pages, most=1)
+    assert [r.fest_id for r in few.fests.collect()] == [2] and few.dropped == {"seen": 0, "unresolved": 0, "self": 0}
+
+
+def test_pages_that_are_not_of_the_schema_are_put_aside(spark):
+    fests = json.dumps({"data": [{"attributes": {"drupal_internal__nid": 5, "field_event_date": "2024-01-02", "title": "F"}}]})
+    pages = spark.createDataFrame([("p1", fests), ("p2", fests[:-4]), ("p3", None), ("p4", '{"data": "text"}'), ("p5", "{}")], "page string, json string")
+    good, bad = ingest.parsed(pages, landed.FESTS)
+    assert {r.page for r in good.collect()} == {"p1", "p5"}
+    assert {r.page: r.reason for r in bad.collect()} == {"p2": "not of the schema", "p3": "empty page", "p4": "not of the schema"}
+    assert good.where("page = 'p1'").first()["value"]["data"][0]["attributes"]["title"] == "F"
+
+
+def torn(spark):
+    """Fails while it is written."""
+    return spark.range(2).selectExpr("if(id > 5, id, cast(raise_error('bad row') as bigint)) as x")
+
+
+def test_a_broken_source_leaves_the_others_whole(spark, tmp_path):
+    home = str(tmp_path)
+    one = {"t": spark.range(3).toDF("x")}
+    calls = {"good": lambda: one, "bad": lambda: {"t": torn(spark)}, "last": lambda: {"t": spark.range(5).toDF("x"), "none": None}}
+    status = {r.source: r for r in ingest.ingest(spark, calls, home).collect()}
+    assert [(s, r.state, r.rows, r.publication) for s, r in sorted(status.items())] == [("bad", "failed", None, 0), ("good", "committed", 3, 1), ("last", "committed", 5, 1)]
+    assert "bad row" in status["bad"].error
+    again = ingest.ingest(spark, calls | {"good": lambda: 1 / 0}, home, only=["good"]).collect()
+    assert [(r.state, r.publication) for r in again] == [("failed", 1)]
+    assert publish.load(spark, f"{home}/good", "t").count() == 3
+    with pytest.raises(publish.NotPublished):
+        publish.load(spark, f"{home}/bad", "t")
+    with pytest.raises(ingest.UnknownSource):
+        ingest.ingest(spark, calls, home, only=["nobody"])
+
+
+def test_a_crash_between_tables_leaves_the_old_publication(spark, tmp_path):
+    home = str(tmp_path)
+    first = {"a": spark.range(1).toDF("x"), "b": spark.range(2).toDF("x")}
+    assert publish.publish(spark, home, first) == 1
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        publish.publish(spark, home, {"a": spark.range(9).toDF("x"), "b": torn(spark)})
+    assert [publish.load(spark, home, n).count() for n in "ab"] == [1, 2]
+    assert publish.publish(spark, home, {"a": spark.range(4).toDF("x"), "b": None}) == 2
+    assert [publish.load(spark, home, n).count() for n in "ab"] == [4, 2]
+    assert publish.load(spark, home, "a", version=1).count() == 1
+    assert {r.table: r.rows for r in publish.catalogue(spark, home).collect()} == {"a": 4, "b": 2}
+    assert publish.vacuum(spark, home, keep=1) > 0
+    assert [publish.load(spark, home, n).count() for n in "ab"] == [4, 2] and publish.versions(spark, home) == [2]
+
+
+def test_a_manifest_is_never_replaced(spark, tmp_path):
+    publish.publish(spark, str(tmp_path), {"a": spark.range(1)})
+    with pytest.raises(FileExistsError):
+        publish._renamed_into_place(spark, str(tmp_path), {"number": 1, "tables": {}})
+
+
+def test_no_clusters_keep_the_last_ones(spark, tmp_path):
+    home, some = str(tmp_path), spark.range(3).toDF("cluster")
+    publish.publish(spark, home, exports.artifacts(clusters=some, ratings=some))
+    publish.publish(spark, home, exports.artifacts(clusters=some.limit(0), ratings=some.limit(0), benchmark=None))
+    assert publish.load(spark, home, "clusters").count() == 3 and publish.load(spark, home, "ratings").count() == 0
+
+
+def test_downloads_of_a_statistics_page(spark):
+    html = """<form action="/kranzzahlen/"><div><button type="submit" name="alle" value="1 2">Alle <b>Kränze</b></button><button type="submit" name="x">no value</button><button name="y" value="1">no submit</button></div></form>
+    <form action="/suche"><button type="submit" name="q" value="1">other</button></form><form><button type="submit" name="q" value="1">no action</button></form><a href="/a/Liste.PDF"> Liste <i>A</i></a><a href="/b.html">b</a><a>c</a>"""
+    got = markup.downloads(markup.elements(spark.createDataFrame([("p", html), ("q", None)], "page string, html string")), 2025).collect()
+    assert sorted(map(tuple, got)) == [("p", "form", "Alle Kränze", "https://esv.ch/kranzzahlen/?jahr=2025&alle=1+2"), ("p", "link", "Liste A", "/a/Liste.PDF")]
+
+
+def test_longest_prefix_and_unions(spark):
+    table = spark.createDataFrame([("a", "short"), ("abc", "long"), ("x", "other")], "prefix string, found string")
+    got = names.longest_prefix(spark.createDataFrame([("abcd",), ("ab",), ("b",), (None,), ("abc",), ("",)], "v string"), "v", table)
+    assert {r.v: r.found for r in got.collect()} == {"abcd": "long", "ab": "short", "b": None, None: None, "abc": "long", "": None}
+    said = spark.createDataFrame([("bksv Emmental",), ("NOSX",), (None,), ("",), ("SWS",)], "v string").select("v", X.union_of(F.col("v")).alias("u")).collect()
+    assert {r.v: r.u for r in said} == {"bksv Emmental": "Bern", "NOSX": None, None: None, "": None, "SWS": "Suedwestschweiz"}
+
+
+def test_announced_pairs(spark):
+    told = "Spitzenpaarungen: Hans Meier-Frei gegen Peter Muster; Urs Ott vs. Beat Roth, Jan Zaugg - Reto Moor. HANS MEIER-FREI vs PETER MUSTER und 3 weitere gegen 4; gegen; Ueli gegen"
+    got = spark.range(1).select(X.pairings(F.lit(told))).first()[0]
+    assert [tuple(p) for p in got][:3] == [("Hans Meier-Frei", "Peter Muster"), ("Urs Ott", "Beat Roth"), ("Jan Zaugg", "Reto Moor")]
+    assert spark.range(1).select(X.pairings(F.lit(None).cast("string")), X.pairings(F.lit("no pair"))).first()[1] == []
+
+
+def test_served_and_fitted_models_agree_and_drift_is_seen(spark):
+    r = [(i, float(i % 7 - 3), float(i % 5 - 2), i % 3) for i in range(200)]
+    rows = spark.createDataFrame(r, "id long, rating_diff double, form_diff double, y int")
+    served, model = training.fitted_with_model(rows, ("rating_diff", "form_diff"))
+    assert training.drift(rows, served, model).first()["largest"] < 1e-9
+    other = training.OutcomeModel(served.names, served.mean, [d * 1.01 for d in served.deviation], served.coefficients, served.intercepts)
+    moved = training.drift(rows, training.OutcomeModel(other.names, other.mean, served.deviation, [[c + 0.01 for c in served.coefficients[0]], *served.coefficients[1:]], served.intercepts), model).first()
+    assert moved["n"] == 200 and moved["largest"] > 1e-6
+    assert len(exports.model_rows(served)) == 3 and features.FEATURES

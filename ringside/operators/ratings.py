@@ -18,6 +18,8 @@ from ringside.functions.rating import K, START, argmax, expectation, log_loss, o
 from ringside.operators.history import ORDER
 
 RATED = "fest_id long, a_id long, b_id long, datum date, outcome string, elo_a_pre double, elo_b_pre double, n_a_pre long, n_b_pre long, elo_a_post double, elo_b_post double"
+#: Columns that the fold reads.
+OWN = 7
 POINTS = {"win_a": 1.0, "draw": 0.5, "win_b": 0.0}
 
 
@@ -25,7 +27,7 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, rating, count = None, None, None
     for batch in batches:
         out = []
-        for group, fest, a, b, datum, outcome, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for group, fest, a, b, datum, outcome, k in zip(*(c.to_pylist() for c in batch.columns[:OWN]), strict=True):
             if group != current or rating is None:
                 current, rating, count = group, defaultdict(lambda: START), defaultdict(int)
             ra, rb = rating[a], rating[b]
@@ -37,15 +39,17 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((*row, ra + step, rb - step))
         if out:
             kinds = [pa.int64()] * 3 + [pa.date32(), pa.string()] + [pa.float64()] * 2 + [pa.int64()] * 2 + [pa.float64()] * 2
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RATED.split(", ")])
+            names = [x.split()[0] for x in RATED.split(", ")] + batch.schema.names[OWN:]
+            yield pa.record_batch([*(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)), *batch.columns[OWN:]], names)
 
 
-def rated(bouts: DataFrame, weight: Column, group: str | None = None) -> DataFrame:
-    """Every bout with both ratings and numbers of bouts before it, and the ratings after it."""
+def rated(bouts: DataFrame, weight: Column, group: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every bout with both ratings and numbers of bouts before it, the ratings after it, and further columns to keep."""
     name = F.col(group) if group else F.lit(0)
-    rows = bouts.select(name.alias("group"), "fest_id", "a_id", "b_id", "outcome", (K * weight).alias("k"), F.col("datum"))
+    rows = bouts.select(name.alias("group"), "fest_id", "a_id", "b_id", "outcome", (K * weight).alias("k"), F.col("datum"), *keep)
     rows = rows.repartition("group").sortWithinPartitions("group", *ORDER)
-    return rows.select("group", "fest_id", "a_id", "b_id", "datum", "outcome", "k").mapInArrow(_fold, RATED)
+    schema = ", ".join([RATED, *(f"{c} {bouts.schema[c].dataType.simpleString()}" for c in keep)])
+    return rows.select("group", "fest_id", "a_id", "b_id", "datum", "outcome", "k", *keep).mapInArrow(_fold, schema)
 
 
 def final_ratings(snapshots: DataFrame, athletes: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ringside.operators.ranking import placed
 
 COUNTS = ("athletes", "metric_sum", "n_top", "wins", "draws", "losses")
 
@@ -57,11 +58,12 @@ def map_metrics(stats: DataFrame) -> DataFrame:
 def quantile_bounds(values: DataFrame, value: str, classes: int) -> DataFrame:
     """Distinct upper class bounds: the values at floor(i / classes * (n - 1)) of the sorted values, i = 1 .. classes - 1.
 
-    Exact by rank; only the chosen ranks are gathered.
+    Exact by rank, which ranges of the values are counted for; only the chosen ranks are gathered.
     """
-    ranked = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    places = F.array(*(F.floor(F.lit(i) / classes * (F.col("n") - 1)) for i in range(1, classes)))
-    return ranked.where(F.array_contains(places, F.col("k").cast("long"))).agg(F.array_sort(F.collect_set("v")).alias("bounds"))
+    ranked = placed(values.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), [F.col("v")], "k")
+    total = ranked.agg(F.count(F.lit(1)).alias("n"))
+    wanted = total.select(F.explode(F.array(*(F.floor(F.lit(i) / classes * (F.col("n") - 1)) + 1 for i in range(1, classes)))).alias("k"))
+    return ranked.join(F.broadcast(wanted.distinct()), "k").agg(F.array_sort(F.collect_set("v")).alias("bounds"))  # as many rows as classes
 
 
 def class_of(value: Column, bounds: Column) -> Column:

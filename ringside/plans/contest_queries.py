@@ -12,6 +12,7 @@ from ringside.operators import features, history, labels, merging, neighbours, r
 from ringside.plans.registry import query
 from ringside.sources import contests as C
 from ringside.sources.contests import SQL
+from ringside.sources.scratch import written
 
 BEFORE = "(partition by athlete_id order by datum, fest_id, a_id, b_id rows between {} preceding and 1 preceding)"
 HISTORY = SQL + f""", history as (
@@ -73,8 +74,13 @@ MERGED = SQL + """, merged as (
 )"""
 
 
-def rated_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.rated(C.bouts(spark, sf_dir), C.tier_weight())
+def bouts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bouts, derived and written, for queries that use them several times."""
+    return written(C.bouts(spark, sf_dir), "bouts")
+
+
+def rated_bouts(spark: SparkSession, sf_dir: str, bout: DataFrame | None = None) -> DataFrame:
+    return ratings.rated(C.bouts(spark, sf_dir) if bout is None else bout, C.tier_weight())
 
 
 @query(SQL + " select outcome, count(*) as n from bout group by outcome")
@@ -147,7 +153,7 @@ def active_athletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sides(C.bouts(spark, sf_dir)).where(F.year("datum") == 2000).select("athlete_id").distinct()
 
 
-@query(RATINGS + " select r.fest_id, r.a_id, r.b_id, round(elo_a_pre, 6) as elo_a_pre, round(elo_b_pre, 6) as elo_b_pre, x.n_pre as n_a_pre, y.n_pre as n_b_pre from rated r join rated_side x on x.k = r.k and x.athlete_id = r.a_id join rated_side y on y.k = r.k and y.athlete_id = r.b_id")
+@query(RATINGS + " select any_value(fest_id) as fest_id, min(athlete_id) as a_id, max(athlete_id) as b_id, round(arg_min(elo, athlete_id), 6) as elo_a_pre, round(arg_max(elo, athlete_id), 6) as elo_b_pre, arg_min(n_pre, athlete_id) as n_a_pre, arg_max(n_pre, athlete_id) as n_b_pre from rated_side group by k")
 def elo_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated_bouts(spark, sf_dir).select("fest_id", "a_id", "b_id", F.round("elo_a_pre", 6).alias("elo_a_pre"), F.round("elo_b_pre", 6).alias("elo_b_pre"), "n_a_pre", "n_b_pre")
 
@@ -209,7 +215,7 @@ METRIC = SQL + """, metric as (select athlete_id, association, region, nation, c
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Athletes with the points of all their bouts, and the bouts' sides."""
-    side = C.sides(C.bouts(spark, sf_dir))
+    side = C.sides(bouts_once(spark, sf_dir))
     points = side.groupBy("athlete_id").agg(F.sum("note").alias("points"))
     people = C.athletes(spark, sf_dir).join(points, "athlete_id", "left").withColumn("points", F.coalesce("points", F.lit(0).cast("long")))
     return people, side
@@ -233,7 +239,8 @@ def association_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _elo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Athletes with their final rating (1500 without a bout) and number of bouts, and the bouts' sides."""
     people = C.athletes(spark, sf_dir)
-    return people.join(ratings.final_ratings(rated_bouts(spark, sf_dir), people), "athlete_id"), C.sides(C.bouts(spark, sf_dir))
+    bout = bouts_once(spark, sf_dir)
+    return people.join(ratings.final_ratings(rated_bouts(spark, sf_dir, bout), people), "athlete_id"), C.sides(bout)
 
 
 ELO_METRIC = RATINGS + """, metric as (select athlete_id, association, region, nation, elo from athlete join final using (athlete_id)
@@ -316,13 +323,16 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bout's twelve features as they were before it, its label y, season and counts."""
-    bout, rated = C.bouts(spark, sf_dir), rated_bouts(spark, sf_dir).drop("datum", "outcome")
+    """Every bout's twelve features as they were before it, its label y, season and counts.
+
+    Bouts are derived once and written; records of pairs go through the fold with their bouts, so that only form is joined.
+    """
+    bout = bouts_once(spark, sf_dir)
+    rated = ratings.rated(history.with_head_to_head(bout), C.tier_weight(), keep=("h2h_a",))
     before = history.with_history(C.sides(bout)).select("fest_id", "a_id", "b_id", "athlete_id", "form_pre")
     form = before.groupBy("fest_id", "a_id", "b_id").agg(*(F.max(F.when(F.col("athlete_id") == F.col(f"{s}_id"), F.col("form_pre"))).alias(f"form_{s}") for s in "ab"))
     key = ["fest_id", "a_id", "b_id"]
-    joined = history.with_head_to_head(bout).join(rated, key).join(form, key)
-    joined = features.with_profiles(joined, C.athletes(spark, sf_dir)).withColumnsRenamed({"elo_a_pre": "elo_a", "elo_b_pre": "elo_b", "n_a_pre": "n_a", "n_b_pre": "n_b"})
+    joined = features.with_profiles(rated.join(form, key), C.athletes(spark, sf_dir)).withColumnsRenamed({"elo_a_pre": "elo_a", "elo_b_pre": "elo_b", "n_a_pre": "n_a", "n_b_pre": "n_b"})
     return joined.select(*key, F.year("datum").alias("season"), "elo_a", "elo_b", *features.feature_columns(F.year("datum")), ratings.label().alias("y"))
 
 

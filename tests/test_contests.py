@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from ringside.functions import rating as R
 from ringside.functions import text as X
-from ringside.operators import features, history, labels, merging, names, neighbours, profiles, ratings, regions, training
+from ringside.operators import clusters, features, history, labels, merging, names, neighbours, profiles, ratings, regions, training
 from ringside.plans import model_queries, registry
 from ringside.plans.contest_queries import model_rows
 from ringside.sources import contests as C
@@ -193,6 +193,46 @@ def test_nearest_and_silhouette_in_many_tiles(spark, monkeypatch):
         assert x.silhouette == pytest.approx((b - a) / max(a, b))
 
 
+@pytest.mark.parametrize("shape", ["clusters", "grid", "copies"])
+def test_neighbours_by_pivots(spark, monkeypatch, shape):
+    """Equal to brute force, ties by id; on clustered rows with far fewer distances than all pairs have."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    v = {"clusters": lambda: r.normal(size=(20, 4))[r.integers(0, 20, 600)] * 40 + r.normal(size=(600, 4)), "grid": lambda: r.integers(0, 4, (300, 3)).astype(float), "copies": lambda: np.vstack((np.zeros((200, 2)), np.ones((3, 2)), r.normal(size=(60, 2))))}[shape]()
+    for name, value in (("CELL", 20), ("GROUP", 30), ("ASKERS", 50)):
+        monkeypatch.setattr(neighbours, name, value)
+    ids = r.permutation(len(v)) * 3 - 50
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, v array<double>")
+    for digits in (None, 1):
+        d = neighbours.distances(v, v)
+        near = d if digits is None else d.round(digits)
+        expected = {}
+        for a in range(len(v)):
+            order = sorted((near[a, b], ids[b]) for b in range(len(v)) if b != a)[:5]
+            expected.update({(int(ids[a]), k + 1): int(x) for k, (_, x) in enumerate(order)})
+        assert {(x.id, x["rank"]): x.neighbour for x in neighbours.nearest(df, 5, digits).collect()} == expected
+    if shape == "clusters":
+        assert neighbours.measured(df) < len(v) ** 2 / 4
+    assert neighbours.nearest(df.limit(0)).collect() == [] and neighbours.nearest(df.limit(1)).collect() == []
+
+
+def test_all_starts_in_one_pass_cost_no_more_than_separate_ones(spark):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+
+    r = np.random.default_rng(3)
+    v = np.vstack([c + r.normal(size=(40, 3)) for c in r.normal(size=(6, 3)) * 6])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").withColumn("features", array_to_vector("v")).persist()
+    found = clusters.fitted(rows, (3, 6), 10)
+    for k in (3, 6):
+        other = min(KMeans(k=k, seed=s, maxIter=300).fit(rows).summary.trainingCost for s in range(10))
+        own = ((v[:, None] - found[k].centres[None]) ** 2).sum(-1)
+        assert found[k].cost == pytest.approx(own.min(1).sum()) and found[k].cost <= other * 1.0001
+        assert [x.label for x in rows.select("id", clusters.label(F.col("v"), found[k].centres).alias("label")).orderBy("id").collect()] == own.argmin(1).tolist()
+    assert np.array_equal(clusters.fitted(rows.repartition(5), (3, 6), 10)[6].centres.round(9), found[6].centres.round(9))
+
+
 def test_statistics_of_elo(spark, data, monkeypatch):
     """With athletes without a bout, who count as 1500 for associations and not for moves."""
     import numpy as np
@@ -242,17 +282,17 @@ def test_profiles_and_their_clusters(spark):
     assert got.keys() == expected.keys()
     assert all(got[i] == pytest.approx(expected[i]) for i in got)
     v = neighbours.standardised(found, profiles.columns(names), "athlete_id")
-    score, model, labelled = model_queries._clusters(v.withColumn("features", array_to_vector("v")).persist(), (2, 3, 4), 2)
+    score, run, labelled = model_queries._clusters(v.withColumn("features", array_to_vector("v")).persist(), (2, 3, 4), 2)
     group = {r.id: r.label for r in labelled.collect()}
-    assert len(model.clusterCenters()) == len(set(group.values())) == 3 and score > 0.3
+    assert len(run.centres) == len(set(group.values())) == 3 and score > 0.3
     assert all(len({group[i] for i in group if i % 3 == k}) == 1 for k in range(3))
     members = found.join(labelled.select(labelled.id.alias("athlete_id"), "label", "v"), "athlete_id")
     assert {r.label: r.top_moves for r in profiles.top_moves(members).collect()} == {group[0]: ["inner hook", "kurz"], group[1]: ["inner hook"], group[2]: ["bur"]}
     assert {r.label: r.association for r in profiles.focus(members).collect()}[group[2]] == "no"
     at = {r.id: np.array(r.v) for r in labelled.collect()}
-    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "label int, centre array<double>")
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(run.centres)], "label int, centre array<double>")
     for r in profiles.representatives(members, centres).collect():
-        far = {i: np.linalg.norm(at[i] - model.clusterCenters()[r.label]) for i in at if group[i] == r.label}
+        far = {i: np.linalg.norm(at[i] - run.centres[r.label]) for i in at if group[i] == r.label}
         assert [far[i] for i in r.representatives] == pytest.approx(sorted(far.values())[:3])
 
 

@@ -15,8 +15,8 @@ An edge is compared by 128 bits of hash, so that a wrong source, which would lea
 at any size; nothing is removed that the words themselves don't confirm.
 
 Defined results: a null text has no words; documents of fewer than ``length`` words are kept whole; copies of a
-longer text are removed whole except in the smallest doc_id; rows that repeat a doc_id must repeat its text, and
-each gets that document's result; a row with null doc_id is kept whole and removes nothing elsewhere; an empty
+longer text are removed whole except in the smallest doc_id; rows that repeat a doc_id and its text each get that
+document's result, rows that repeat it with another text are documents of their own, in the order of their digests; a row with null doc_id is kept whole and removes nothing elsewhere; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
 from ringside.llm.arrays import lean, SPACE, changes, spread, trimmed, unpacked, word_spans
-from ringside.llm.rows import pack_rows
+from ringside.llm.rows import named_again, pack_rows, told_apart
 from ringside.llm.session import partitions, written
 
 #: Words of an anchor.
@@ -153,7 +153,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     the values of one, chosen by a hash of them).
     """
     extra = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), *extra)
+    docs, ids = told_apart(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"), *extra), "doc", "body")
     carried = [f"carried_{i}" for i in range(len(carry))]
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), R.Windows(length, max(1, min(ANCHOR_WORDS, length)), words=True))
     paths = written(compacted(written(X.dealt(runs).mapInArrow(lean(_fragments), FRAGMENT), "fragments")), "paths")
@@ -177,4 +177,4 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, as_is: bool = False
     nameless = pack_rows(nobody, "body").select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast(found.schema["paths"].dataType).alias("paths"), *carried)
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     out = noted.union(nameless).mapInArrow(lean(_cut(length, as_is, carried)), f"doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string{kinds}")
-    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
+    return named_again(out, ids, "doc_id").withColumnsRenamed(dict(zip(carried, carry, strict=True)))

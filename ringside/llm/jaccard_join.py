@@ -21,8 +21,8 @@ Shingles are compared by 45 bits of hash or more (40 and the bucket's, which gro
 n shingles, the chance of one false match is below n * n / 2**45.
 
 Defined results: null and wordless texts have an empty set, component = their own id and no link; a text of fewer
-words than a shingle has its whole sequence as the one shingle; rows that repeat a doc_id must repeat its text, count
-as one document and each get its row; a row with null doc_id has a null component and links with nothing; an empty
+words than a shingle has its whole sequence as the one shingle; rows that repeat a doc_id and its text count as one
+document and each get its row, rows that repeat it with another text are documents of their own; a row with null doc_id has a null component and links with nothing; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -40,6 +40,7 @@ from ringside.llm import exchange as X
 from ringside.llm.arrays import lean, LOWER, SPACE, U64, changes, cut_binary, gram_hashes, inside_texts, mix64, slices, text_buffers, word_hashes, word_spans
 from ringside.llm.components import components
 from ringside.llm.repeats import PACK_BYTES, smallest_of_copies
+from ringside.llm.rows import named_again, told_apart
 from ringside.llm.session import bucket_bits, partitions, small_batches, written
 
 #: Bytes of a shingle's hash that are sent, besides the bits that choose its bucket.
@@ -331,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs, ids = told_apart(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), "doc")
     known = docs.where("doc is not null")
     bits = bucket_bits(docs, "text")
     table = X.shared_keys(known.mapInArrow(lean(_send_shingles(words, bits)), X.PACKED), bits, SHINGLE_BYTES)
@@ -355,4 +356,5 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, doc_i
     result = known.select(F.col("doc").alias("doc_id")).join(result, "doc_id")
     nameless = docs.where("doc is null").select("text").mapInArrow(lean(_count_only(words)), "n_shingles long")
     null = F.lit(None).cast("long")
-    return result.union(nameless.select(null, "n_shingles", null, null, F.lit(0).cast("long")))
+    result = result.union(nameless.select(null, "n_shingles", null, null, F.lit(0).cast("long")))
+    return named_again(result, ids, "doc_id", "component_id", "class_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringside.llm.arrays import lean, packed, unpacked
+from ringside.llm.session import numbered, written
 
 
 def _pack(at: int) -> Callable:
@@ -59,3 +60,33 @@ def without_ids(rows: DataFrame, gone: DataFrame, row_id: str = "doc_id", text:
     key = gone.toDF("id").distinct()
     kept = named.alias("rows").join(key.alias("gone"), F.col(f"rows.`{row_id}`") == F.col("gone.id"), "left_anti").dropDuplicates([row_id])
     return unpack_rows(kept, text).union(rows.where(F.col(row_id).isNull()))
+
+
+def _replaced(rows: DataFrame, at: int, by: str) -> DataFrame:
+    """Columns c0, c1, ... of ``rows`` with one of them replaced."""
+    return rows.select(*(F.col(by) if i == at else F.col(f"c{i}") for i in range(len([c for c in rows.columns if c[0] == "c"]))))
+
+
+def told_apart(rows: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` such that no two of one id differ in text, and what their ids were (own, id), or None if they stay.
+
+    Usually no id repeats with another text, which is looked up in a grouping of ids and hashes. Where one does, each id and
+    text gets a number in the order of ids and, inside an id, of digests: such rows are documents of their own.
+    """
+    at, body = rows.columns.index(row_id), rows.columns.index(text)
+    named = by_place(rows)
+    content = F.coalesce(F.col(f"c{body}").cast("string"), F.lit(""))
+    seen = named.where(F.col(f"c{at}").isNotNull()).select(F.col(f"c{at}").cast("long").alias("id"), content.alias("content"))
+    if seen.groupBy("id").agg(F.min(F.xxhash64("content")).alias("a"), F.max(F.xxhash64("content")).alias("b")).where("a <> b").isEmpty():
+        return rows, None
+    keys = written(numbered(seen.select("id", F.sha2("content", 256).alias("digest")).distinct(), ["id", "digest"], "own"), "ids")
+    met = named.join(keys, (F.col(f"c{at}").cast("long") == F.col("id")) & (F.sha2(content, 256) == F.col("digest")), "left")
+    return _replaced(met, at, "own").toDF(*rows.columns), keys.select("own", "id")
+
+
+def named_again(rows: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:
+    """``rows`` with the numbers of ``told_apart`` in some columns turned back to ids."""
+    for c in columns if ids is not None else ():
+        at = rows.columns.index(c)
+        rows = _replaced(by_place(rows).join(ids, F.col(f"c{at}") == F.col("own"), "left"), at, "id").toDF(*rows.columns)
+    return rows

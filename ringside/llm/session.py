@@ -49,9 +49,10 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: str | list[str], name: str) -> DataFrame:
     """``rows`` with their place from 0 on, in an order without ties: dealt by ranges, written, and the ranges' sizes summed."""
-    dealt = rows.repartitionByRange(partitions(rows.sparkSession), order).sortWithinPartitions(order)
+    order = [order] if isinstance(order, str) else order
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
     dealt = written(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

@@ -6,8 +6,9 @@ The first pass is Spark's: suffixes are dealt by the anchor of their window (see
 equal windows meet in one bucket. Later passes run in the bucket, on the groups that are not settled.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` bytes are kept whole; copies of
-a text of at least ``length`` bytes are removed whole except in the smallest doc_id; rows that repeat a doc_id
-must repeat its text, and each gets that document's result; a row with null doc_id is returned unchanged and
+a text of at least ``length`` bytes are removed whole except in the smallest doc_id; rows that repeat a doc_id and
+its text each get that document's result, rows that repeat it with another text are documents of their own, in the
+order of their digests; a row with null doc_id is returned unchanged and
 removes nothing elsewhere; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ringside.llm import exchange as X
 from ringside.llm import repeats as R
 from ringside.llm.arrays import lean, U64, changes, planes, spread, unpacked
+from ringside.llm.rows import named_again, told_apart
 
 #: Grams of this share of a window are anchors.
 ANCHOR_SHARE = 0.52
@@ -122,11 +124,12 @@ def _cut(length: int) -> Callable:
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (removed, in bytes) and kept (the remaining bytes) of every row of ``docs``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
+    docs, ids = told_apart(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body")), "doc", "body")
     kind = R.Windows(length, max(1, round(length * ANCHOR_SHARE)), words=False)
     texts, facts, runs, bits = R.window_runs(docs.where("doc is not null"), kind)
     intervals = X.dealt(X.dealt(runs).mapInArrow(lean(_judge(length, bits)), X.PACKED)).mapInArrow(lean(R.gather_intervals), "doc long, intervals binary")
     notes = facts.join(intervals, "doc", "left").select(F.col("doc").alias("note_doc"), (F.col("rep") < F.col("doc")).alias("copy"), "intervals")
     noted = texts.join(notes, F.col("doc") == F.col("note_doc")).select("doc", "body", "copy", "intervals")
     nameless = R.bodies(docs.where("doc is null")).select("doc", "body", F.lit(False).alias("copy"), F.lit(None).cast("binary").alias("intervals"))
-    return noted.union(nameless).mapInArrow(lean(_cut(length)), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    out = noted.union(nameless).mapInArrow(lean(_cut(length)), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return named_again(out, ids, "doc_id")

@@ -420,3 +420,42 @@ def test_slots_by_hand(spark):
         assert last or sorted(index) == list(range(blocks))
     assert len({x.rank for x in slots}) == 3
 
+
+# ---------------------------------------------------------------- ids that repeat with other texts, and very long texts
+
+
+def test_ids_that_repeat_with_another_text(spark):
+    """Each row is judged by its own text; none is lost or measured by another's."""
+    span = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, f"{span} tail one"), (2, f"x {span} y"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g"), (3, None), (4, "q r s"), (None, span)]
+    df = messy(spark, rows)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in debruijn_dedup.remove_repeated_words(df, 5).collect()), key=str)
+    assert got == sorted([(1, 32, 0, f"{span} tail one"), (2, 32, 30, "x y"), (2, 7, 0, "a b c d e f g"), (2, 7, 0, "a b c d e f g"), (3, 7, 7, ""), (3, 0, 0, ""), (4, 3, 0, "q r s"), (None, 30, 0, span)], key=str)
+    bytes_kept = sorted(((r.doc_id, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeated_bytes(df, 12).collect()), key=str)
+    assert (2, "a b c d e f g") in bytes_kept and (3, "") in bytes_kept and (1, f"{span} tail one") in bytes_kept
+    assert len(bytes_kept) == len(rows) and all(t in ("x y", "x  y") or "word" not in t for d, t in bytes_kept if d == 2)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect() if r.doc_id is not None)
+    assert found == [(1, 28, 1), (2, 3, 2), (2, 3, 2), (2, 28, 2) if (2, 28, 2) in found else (2, 28, 1), (3, 0, 3), (3, 3, 2), (4, 1, 4)]
+
+
+@pytest.mark.parametrize("unit", ["long words of one text ", "x", "é "])
+def test_very_long_texts(spark, unit):
+    """A single text of more than a megabyte, its copy, and a short one."""
+    text = "".join(f"{unit}{i % 997}" for i in range(1_200_000 // len(unit.encode())))
+    rows = [(1, text), (2, text), (3, "a short one"), (4, text[:400])]
+    df = messy(spark, rows)
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in debruijn_dedup.remove_repeated_words(df).collect()}
+    n = len(WORD.findall(text))
+    assert words[1] == (n, 0) and words[2][0] == n
+    assert words[2][1] == (n if n >= 13 else 0)
+    kept = {r.doc_id: len(r.kept) for r in suffix_dedup.remove_repeated_bytes(df).collect()}
+    assert kept[2] == 0 and kept[1] == len(text.encode()) and kept[3] == 11 and kept[4] == 0
+    joined = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    assert joined[2] == 1 and joined[3] == 3
+    item = " ".join(CODE.findall(text)[-10:]).translate(ASCII_LOWER)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for most in (1 << 18, 0):
+        hit = {r.doc_id: list(r.items) for r in decontaminate.contamination(df, bench, broadcast_windows=most).collect()}
+        assert hit[1] == hit[2] == [7] and hit[3] == []
+    mixed = {r.doc_id: r.taken for r in mixture.mix(df.withColumn("source", F.lit("s"))).taken.collect()}
+    assert sum(mixed.values()) == 2 * n + 3 + len(WORD.findall(text[:400]))

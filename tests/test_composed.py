@@ -135,8 +135,8 @@ def test_no_clusters_keep_the_last_ones(spark, tmp_path):
 def test_downloads_of_a_statistics_page(spark):
     html = """<form action="/kranzzahlen/"><div><button type="submit" name="alle" value="1 2">Alle <b>Kränze</b></button><button type="submit" name="x">no value</button><button name="y" value="1">no submit</button></div></form>
     <form action="/suche"><button type="submit" name="q" value="1">other</button></form><form><button type="submit" name="q" value="1">no action</button></form><a href="/a/Liste.PDF"> Liste <i>A</i></a><a href="/b.html">b</a><a>c</a>"""
-    got = markup.downloads(markup.elements(spark.createDataFrame([("p", html), ("q", None)], "page string, html string")), 2025).collect()
-    assert sorted(map(tuple, got)) == [("p", "form", "Alle Kränze", "https://esv.ch/kranzzahlen/?jahr=2025&alle=1+2"), ("p", "link", "Liste A", "/a/Liste.PDF")]
+    got = markup.downloads(markup.elements(spark.createDataFrame([("p", html), ("q", None)], "page string, html string")), 2025, "https://example.org/kranzzahlen/").collect()
+    assert sorted(map(tuple, got)) == [("p", "form", "Alle Kränze", "https://example.org/kranzzahlen/?jahr=2025&alle=1+2"), ("p", "link", "Liste A", "/a/Liste.PDF")]
 
 
 def test_longest_prefix_and_unions(spark):

@@ -56,6 +56,16 @@ def meetings(bouts: DataFrame, one: int, two: int) -> DataFrame:
     return bouts.where((F.col("a_id") == a) & (F.col("b_id") == b)).select("datum", "fest_id", result.alias("outcome")).orderBy(F.desc("datum"), F.desc("fest_id"))
 
 
+def listed_meetings(bouts: DataFrame, fests: DataFrame) -> DataFrame:
+    """Every bout with its fest (fest_id, fest, datum) and its place k in the pair's list, the latest first.
+
+    A fest that nobody knows leaves its name and date null; such bouts come last. Bouts of one day go by fest_id.
+    """
+    told = bouts.select("a_id", "b_id", "fest_id", "outcome").join(fests.select("fest_id", "fest", "datum"), "fest_id", "left")
+    newest = Window.partitionBy("a_id", "b_id").orderBy(F.desc_nulls_last("datum"), F.desc("fest_id"))
+    return told.withColumn("k", F.row_number().over(newest))
+
+
 def wreaths(bouts: DataFrame) -> DataFrame:
     """Fests at which an athlete won a wreath, from deduplicated bouts."""
     both = F.array(F.struct(F.col("a_id").alias("athlete_id"), F.col("wreath_a").alias("wreath")), F.struct(F.col("b_id").alias("athlete_id"), F.col("wreath_b").alias("wreath")))

@@ -35,11 +35,8 @@ def lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return grouped.select("doc", "col", "page", "line", F.transform("t", lambda t: t["text"]).alias("tokens"))
 
 
-def printed_bouts(words: DataFrame) -> DataFrame:
-    """doc, block, name, total, wreath, symbol, opponent, note: the bouts of every athlete's block, columns left to right.
-
-    A block begins with a line of rank and name; bouts before the first one, or after one without a name, are dropped.
-    """
+def _blocks(words: DataFrame) -> DataFrame:
+    """Lines with what they say: header, name, note, stars, and the number of their block in the column."""
     first, rest = F.col("tokens")[0], F.expr("slice(tokens, 2, greatest(size(tokens) - 1, 0))")
     last = lambda t: F.element_at(t, -1)
     without = lambda t: F.slice(t, F.lit(1), F.size(t) - 1)
@@ -50,7 +47,20 @@ def printed_bouts(words: DataFrame) -> DataFrame:
     starred = (F.size("rest") > 0) & last(F.col("rest")).rlike(stars)
     rows = rows.withColumn("stars", starred).withColumn("rest", F.when(starred, without(F.col("rest"))).otherwise(F.col("rest"))).withColumn("name", F.array_join("rest", " "))
     down = Window.partitionBy("doc", "col").orderBy("page", "line")
-    rows = rows.withColumn("block", F.sum(F.col("header").cast("int")).over(down))
+    return rows.withColumn("block", F.sum(F.col("header").cast("int")).over(down))
+
+
+def printed_names(words: DataFrame) -> DataFrame:
+    """doc, name: the athletes whose blocks a document holds, each once; blocks without a name have none."""
+    return _blocks(words).where("header and name <> ''").select("doc", "name").distinct()
+
+
+def printed_bouts(words: DataFrame) -> DataFrame:
+    """doc, block, name, total, wreath, symbol, opponent, note: the bouts of every athlete's block, columns left to right.
+
+    A block begins with a line of rank and name; bouts before the first one, or after one without a name, are dropped.
+    """
+    rows = _blocks(words)
     heads = rows.where("header and name <> ''").select("doc", "col", "block", F.col("name").alias("athlete"), F.col("note").alias("total"), F.col("stars").alias("wreath"))
     bouts = rows.where("not header and name <> ''").where(F.col("first").rlike(r"^[+\-o]$")).select("doc", "col", "block", "page", "line", F.col("first").alias("symbol"), F.col("name").alias("opponent"), "note")
     return bouts.join(heads, ["doc", "col", "block"])

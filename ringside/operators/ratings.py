@@ -71,6 +71,12 @@ def baseline(snapshots: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("log_loss"), F.avg((argmax(F.col("p")) == F.col("y")).cast("double")).alias("accuracy"))
 
 
+def confusion(snapshots: DataFrame) -> DataFrame:
+    """y and p0, p1, p2: how often each outcome came and ratings told each of the three."""
+    guess = argmax(outcome_probabilities(F.col("elo_a_pre"), F.col("elo_b_pre")))
+    return snapshots.select(label().alias("y"), guess.alias("guess")).groupBy("y").agg(*(F.count_if(F.col("guess") == k).alias(f"p{k}") for k in range(3)))
+
+
 def surprises(snapshots: DataFrame) -> DataFrame:
     """athlete_id, surprise (mean of points minus expected points), n, and the biggest win: opponent, fest, surprise."""
     e = expectation(F.col("elo_a_pre"), F.col("elo_b_pre"))

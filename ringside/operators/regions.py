@@ -35,9 +35,10 @@ def association_stats(athletes: DataFrame, sides: DataFrame, metric: str) -> Dat
 
     ``athletes`` has athlete_id, association and the metric. Athletes without association count for the threshold only.
     """
-    threshold = top_threshold(athletes, metric).first()["threshold"]
+    threshold = top_threshold(athletes, metric).withColumnRenamed("threshold", "_threshold")
     own = athletes.where("association is not null and association <> ''")
-    people = own.groupBy("association").agg(F.count(F.lit(1)).alias("athletes"), F.sum(metric).alias("metric_sum"), F.count_if(F.col(metric) >= threshold).alias("n_top"))
+    judged = own.select("association", metric).join(F.broadcast(threshold))  # one row
+    people = judged.groupBy("association").agg(F.count(F.lit(1)).alias("athletes"), F.sum(metric).alias("metric_sum"), F.count_if(F.col(metric) >= F.col("_threshold")).alias("n_top"))
     results = sides.groupBy("athlete_id").agg(*(F.count_if(F.col("s") == v).alias(n) for n, v in (("wins", 1.0), ("draws", 0.5), ("losses", 0.0))))
     bouts = own.join(results, "athlete_id").groupBy("association").agg(*(F.sum(c).alias(c) for c in ("wins", "draws", "losses")))
     joined = people.join(bouts, "association", "left")

@@ -170,6 +170,19 @@ def elo_baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.baseline(rated_bouts(spark, sf_dir)).select("n", F.round("log_loss", 6).alias("log_loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
+TOLD_BY_RATINGS = RATINGS + """, p as (select s, greatest(0.0, least(0.6, 0.3 * (1 - abs(2 * e - 1)))) as draw, e from rated_side where athlete_id = a_id
+), t as (select case s when 1.0 then 0 when 0.5 then 1 else 2 end as y, [(1 - draw) * e, draw, (1 - draw) * (1 - e)] as p from p
+), guess as (select y, list_position(p, list_max(p)) - 1 as guess from t)"""
+
+
+@query(TOLD_BY_RATINGS + " select cast(y as int) as y, count(*) filter (guess = 0) as p0, count(*) filter (guess = 1) as p1, count(*) filter (guess = 2) as p2, round(avg((y = guess)::int), 6) as recall from guess group by y")
+def elo_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often ratings alone tell each outcome, by what came of it, and the share of each that they tell rightly."""
+    counts = ratings.confusion(rated_bouts(spark, sf_dir))
+    right = F.element_at(F.array("p0", "p1", "p2"), F.col("y") + 1)
+    return counts.withColumn("recall", F.round(right / (F.col("p0") + F.col("p1") + F.col("p2")), 6))
+
+
 @query(RATINGS + " select * from surprise")
 def surprise_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.surprises(rated_bouts(spark, sf_dir))
@@ -240,7 +253,9 @@ def _elo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Athletes with their final rating (1500 without a bout) and number of bouts, and the bouts' sides."""
     people = C.athletes(spark, sf_dir)
     bout = bouts_once(spark, sf_dir)
-    return people.join(ratings.final_ratings(rated_bouts(spark, sf_dir, bout), people), "athlete_id"), C.sides(bout)
+    # Written, so that the fold runs once for all uses.
+    final = written(ratings.final_ratings(rated_bouts(spark, sf_dir, bout), people), "ratings")
+    return people.join(final, "athlete_id"), C.sides(bout)
 
 
 ELO_METRIC = RATINGS + """, metric as (select athlete_id, association, region, nation, elo from athlete join final using (athlete_id)
@@ -284,9 +299,7 @@ ROLLED = "cast(round_even(sum({0}::double / parts), 0) as bigint) as {0}"
 @query(METRIC + NATIONS + " select region, " + ", ".join(ROLLED.format(c) for c in regions.COUNTS) + " from shared group by region")
 def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth nation counts half for its region and half for a shared one."""
-    where = C.athletes(spark, sf_dir).select("association", "region", "nation").distinct()
-    targets = F.when(F.col("nation") % 5 == 0, F.array("region", F.lit("SHARED"))).otherwise(F.array("region"))
-    return regions.rolled_up(_stats(spark, sf_dir).join(where, "association").withColumn("targets", targets).drop("region", "nation"), F.col("targets"))
+    return _rolled(spark, sf_dir, _stats(spark, sf_dir))
 
 
 @query(METRIC + " select association, round(wins / nullif(wins + draws + losses, 0), 6) as win_share, round(n_top / nullif(athletes, 0), 6) as top_share from full_stats")
@@ -294,12 +307,35 @@ def map_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.map_metrics(_stats(spark, sf_dir)).select("association", F.round("win_share", 6).alias("win_share"), F.round("top_share", 6).alias("top_share"))
 
 
+def _rolled(spark: SparkSession, sf_dir: str, stats: DataFrame) -> DataFrame:
+    where = C.athletes(spark, sf_dir).select("association", "region", "nation").distinct()
+    targets = F.when(F.col("nation") % 5 == 0, F.array("region", F.lit("SHARED"))).otherwise(F.array("region"))
+    return regions.rolled_up(stats.join(where, "association").withColumn("targets", targets).drop("region", "nation"), F.col("targets"))
+
+
+@query(ELO_METRIC + NATIONS + " select region, " + ", ".join(ROLLED.format(c) for c in regions.COUNTS) + " from shared group by region")
+def elo_region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over ratings: the sum of ratings, and those at the threshold of ratings or above."""
+    return _rolled(spark, sf_dir, regions.association_stats(*_elo(spark, sf_dir), "elo"))
+
+
+@query(ELO_METRIC + NATIONS + ", rolled as (select region, " + ", ".join(ROLLED.format(c) for c in regions.COUNTS) + """ from shared group by region), shown as (
+    select region, round(wins / nullif(wins + draws + losses, 0), 6) as win_share, round(n_top / nullif(athletes, 0), 6) as top_share, round(metric_sum / nullif(athletes, 0), 1) as mean_elo from rolled
+  ), sorted as (select list_sort(list(win_share) filter (win_share is not null)) as v from shown), bounds as (select list_sort(list_distinct([v[cast(floor(i / 3 * (len(v) - 1)) as int) + 1] for i in [1, 2]])) as b from sorted)
+  select region, win_share, top_share, mean_elo, cast(len(list_filter(b, lambda x: win_share > x)) as int) as class from shown, bounds""")
+def elo_map_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a map of regions shows: share of wins, of top-rated athletes, mean rating, and the region's class by share of wins."""
+    shares = regions.map_metrics(elo_region_rollup(spark, sf_dir))
+    shown = written(shares.select("region", F.round("win_share", 6).alias("win_share"), F.round("top_share", 6).alias("top_share"), F.round(F.try_divide("metric_sum", "athletes"), 1).alias("mean_elo")), "map")
+    return shown.join(F.broadcast(regions.quantile_bounds(shown, "win_share", 3))).select("*", regions.class_of(F.col("win_share"), F.col("bounds")).alias("class")).drop("bounds")
+
+
 @query(METRIC + """, sorted as (select list_sort(list(wins)) as v from full_stats), bounds as (select list_sort(list_distinct([v[cast(floor(i / 5 * (len(v) - 1)) as int) + 1] for i in [1, 2, 3, 4]])) as b from sorted)
   select association, cast(len(list_filter(b, lambda x: wins > x)) as int) as class from full_stats, bounds""")
 def quantile_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _stats(spark, sf_dir)
-    bounds = regions.quantile_bounds(stats, "wins", 5).first()["bounds"]
-    return stats.select("association", regions.class_of(F.col("wins"), F.array(*map(F.lit, bounds))).alias("class"))
+    bounds = regions.quantile_bounds(stats, "wins", 5)
+    return stats.join(F.broadcast(bounds)).select("association", regions.class_of(F.col("wins"), F.col("bounds")).alias("class"))
 
 
 @query(METRIC + " select region as name, sum(wins)::bigint as wins from full_stats where region <> 'EUROPE' group by region union all select association, wins from full_stats where region = 'EUROPE'")
@@ -380,9 +416,9 @@ def move_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def move_mean_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = history.current_form(C.sides(C.bouts(spark, sf_dir))).drop("n")
     own = form.join(C.athletes(spark, sf_dir).select("athlete_id", "moves"), "athlete_id").where(F.size("moves") > 0)
-    overall = own.agg(F.avg("form")).first()[0]
+    total = own.agg(F.avg("form").alias("overall"))
     each = own.select(F.explode("moves").alias("move"), "form").groupBy("move").agg(F.count(F.lit(1)).alias("n"), F.avg("form").alias("form")).where("n >= 15")
-    return each.select("move", "n", F.round("form", 6).alias("form"), F.round(F.lit(overall), 6).alias("overall"))
+    return each.join(F.broadcast(total)).select("move", "n", *(F.round(c, 6).alias(c) for c in ("form", "overall")))
 
 
 @query("select round(regr_slope(p_retailprice, p_size), 6) as slope, round(regr_intercept(p_retailprice, p_size), 6) as intercept, round(corr(p_retailprice, p_size), 6) as r, case when abs(corr(p_retailprice, p_size)) < 0.1 then 'none' when abs(corr(p_retailprice, p_size)) < 0.3 then 'weak' when abs(corr(p_retailprice, p_size)) < 0.5 then 'medium' else 'strong' end as strength from part")
@@ -414,9 +450,9 @@ def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GUESSED + " select count(*) as n, round(avg((y = guess)::int), 6) as accuracy, round(avg(case when y = guess then 0.0 else 2.0 end), 6) as brier from guess where season = (select max(season) from guess)")
 def heuristic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _guesses(spark, sf_dir)
-    last = rows.agg(F.max("season")).first()[0]
+    last = rows.agg(F.max("season").alias("season"))
     p = F.array(*((F.col("guess") == k).cast("double") for k in range(3)))
-    scored = rows.where(F.col("season") == last).select((F.col("y") == F.col("guess")).cast("double").alias("hit"), R.brier(p, F.col("y")).alias("brier"))
+    scored = rows.join(F.broadcast(last), "season", "left_semi").select((F.col("y") == F.col("guess")).cast("double").alias("hit"), R.brier(p, F.col("y")).alias("brier"))
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), F.round(F.avg("brier"), 6).alias("brier"))
 
 

@@ -43,6 +43,8 @@ LEAST_VARIETY, LEAST_SCORE = 50, 0.12
 #: random texts of 12 to 26 Latin letters almost all score below it and within the margin, of clean documents none. Texts of
 #: less than twice the variety, or that repeat their trigrams so many times on average, aren't asked: they aren't random.
 CLEAR_SCORE, SHUFFLES, MARGIN, REPEATS = 0.3, 3, 0.12, 10
+#: Cosines that a matrix product can't tell apart, and pairs of texts and languages that are then multiplied at a time.
+NEAR, PAIRS = 1e-9, 1 << 12
 #: Languages that a task holds at a time.
 MOST = 8192
 _letters: list[np.ndarray] = []
@@ -204,8 +206,20 @@ class Prototypes:
 
 
 def nearest(table: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of the largest cosine, which may be below 0, and that cosine."""
-    cosine = vectors @ table.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+    """The place of the largest cosine, the first of equals, which may be below 0, and that cosine.
+
+    A matrix product rounds by its shape, so those that it finds within ``NEAR`` of the largest are summed by themselves: a
+    cosine doesn't depend on which other languages and texts are in the block.
+    """
+    norm = np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)
+    rough = vectors @ table.T / norm[:, None]
+    near = rough >= rough.max(axis=1, keepdims=True) - NEAR
+    near[~vectors.any(axis=1), 1:] = False
+    row, place = np.nonzero(near)
+    cosine = np.full(rough.shape, -np.inf)
+    for i in range(0, len(row), PAIRS):
+        r, k = row[i : i + PAIRS], place[i : i + PAIRS]
+        cosine[r, k] = (vectors[r] * table[k]).sum(axis=1) / norm[r]
     best = cosine.argmax(axis=1)
     return best, cosine[np.arange(len(best)), best]
 
@@ -271,6 +285,16 @@ def doubtful(langs: list[str], table: np.ndarray, texts: list[str], score: np.nd
     return score - again.mean(axis=0) < MARGIN
 
 
+def _shuffles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, text -> place, number and text of its random orders, each of the one before as ``doubtful`` has them."""
+    for batch in batches:
+        for place, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            texts = []
+            for _ in range(SHUFFLES):
+                texts.append(t := shuffled(t))
+            yield pa.record_batch([pa.array([place] * SHUFFLES, pa.int64()), pa.array(range(SHUFFLES), pa.int32()), pa.array(texts, pa.string())], ["place", "number", "text"])
+
+
 def _likeness(langs: list[str], table: np.ndarray, at: int, least: float, clear: float, variety: int) -> Callable:
     """Whole rows whose text (column ``at``) is like a known language."""
 
@@ -302,8 +326,14 @@ def known_language(docs: DataFrame, least: float = LEAST_SCORE, clear: float = C
     rows = by_place(docs)
     blocks = Prototypes(learn)
     if blocks.count > 1:
-        # More languages than one task should hold: the best of all blocks decides, and no text is doubted.
-        best = blocks.best(rows.select("*", F.col(f"c{docs.columns.index(text)}").alias("text")))
-        has = (F.col("lang_pred") != UNKNOWN) & ((F.col("variety") < variety) | (F.col("score") >= least))
-        return best.where(has).select(*rows.columns).toDF(*docs.columns)
+        # More languages than one task should hold: texts, and their letters in random order, meet one block after another.
+        own = F.col(f"c{docs.columns.index(text)}")
+        best = written(blocks.best(rows.select("*", own.alias("text"), F.monotonically_increasing_id().alias("place"))), "judged")
+        known = best.where((F.col("lang_pred") != UNKNOWN) & ((F.col("variety") < variety) | (F.col("score") >= least)))
+        asked = known.where((F.col("score") < clear) & (F.col("variety") >= 2 * variety) & (REPEATS * F.col("variety") >= F.length("text")))
+        again = blocks.best(asked.select("place", "text").mapInArrow(lean(_shuffles), "place long, number int, text string"))
+        # Summed in their order, as in one task.
+        mean = F.aggregate(F.array_sort(F.collect_list(F.struct("number", "score"))), F.lit(0.0), lambda total, x: total + x["score"]) / SHUFFLES
+        doubted = again.groupBy("place").agg(mean.alias("mean")).join(asked.select("place", "score"), "place").where(F.col("score") - F.col("mean") < MARGIN)
+        return known.join(doubted.select("place"), "place", "left_anti").select(*rows.columns).toDF(*docs.columns)
     return rows.mapInArrow(lean(_likeness(*blocks.block(0), docs.columns.index(text), least, clear, variety)), rows.schema).toDF(*docs.columns)

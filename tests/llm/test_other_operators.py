@@ -118,6 +118,29 @@ def test_languages_in_blocks(spark, monkeypatch):
     assert sorted(r.doc_id for r in language_id.known_language(df, variety=0, clear=0).collect()) == kept
 
 
+def test_random_letters_are_doubted_in_blocks_too(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    said = {"en": "the house and the garden were old when she came home", "de": "das haus und der garten waren alt als sie nach hause kam", "fr": "la maison et le jardin avaient vieilli quand elle revint", "es": "la casa y el jardin eran viejos cuando ella volvio"}
+    rows = [(i, " ".join(draw.permutation(said[lang].split())), lang) for i, lang in enumerate(list(said) * 6)]
+    rows += [(100 + i, "".join(draw.choice(list("etaoinshr "), size=400, p=[0.16, 0.12, 0.11, 0.1, 0.09, 0.09, 0.08, 0.07, 0.06, 0.12])), None) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted(map(tuple, language_id.known_language(df).collect()))
+    undoubted = language_id.known_language(df, clear=0).count()
+    assert 24 <= len(kept) < undoubted
+    monkeypatch.setattr(language_id, "MOST", 2)
+    assert sorted(map(tuple, language_id.known_language(df).collect())) == kept
+
+
+def test_cosines_do_not_depend_on_their_block():
+    draw = np.random.default_rng(1)
+    table = draw.normal(size=(37, 1024))
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    vectors = np.vstack((table[5:25] * 7 + draw.integers(-2, 3, (20, 1024)), np.zeros((1, 1024))))
+    best, cosine = language_id.nearest(table, vectors)
+    for i in range(len(vectors)):
+        assert language_id.nearest(table[best[i] : best[i] + 1], vectors[i : i + 1])[1][0] == cosine[i]
+
+
 def test_many_different_trigrams_are_bundled_in_slices(monkeypatch):
     texts = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for k in range(127)) for i in range(40)]
     whole, *_ = language_id.bundled(texts)

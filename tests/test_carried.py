@@ -6,12 +6,14 @@ import glob
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ringside.functions.rating import K
 from ringside.operators import ratings
 from ringside.operators.history import with_head_to_head
+from ringside.plans import stream_queries
 from ringside.sources import contests as C
 from ringside.streaming import fests as S
 from ringside.streaming import ratings as T
@@ -121,3 +123,24 @@ def test_fests_are_replaced_in_place(spark, data, tmp_path):
     assert got() == sorted(map(tuple, want.collect()))
     write(again.limit(0), 2)
     assert got() == sorted(map(tuple, want.collect()))
+
+
+def test_a_new_bout_replaces_an_old_one_and_the_last_of_several_counts():
+    old = T.in_order(np.array([(1, 1, 1, 2, 1.0, 24.0), (1, 2, 1, 2, 0.5, 24.0), (3, 1, 1, 2, 0.0, 24.0)], T.BOUT))
+    new = np.array([(3, 1, 1, 2, 1.0, 24.0), (1, 2, 1, 2, 0.5, 24.0), (2, 9, 4, 5, 0.5, 24.0), (3, 1, 1, 2, 0.5, 24.0)], T.BOUT)
+    both, first = T.merged(old, new)
+    assert [b[4] for b in both.tolist()] == [1.0, 0.5, 0.5, 0.5] and first == (2, 9, 4, 5)
+    assert T.merged(both, new[1:2])[1] is None
+    # What comes again, and then again as it was, changes nothing.
+    assert T.merged(old, np.array([(3, 1, 1, 2, 1.0, 24.0), (3, 1, 1, 2, 0.0, 24.0)], T.BOUT))[1] is None
+
+
+def test_athletes_who_never_meet_are_leagues_of_their_own(spark, tmp_path, data):
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("supplier", "orders", "lineitem"):
+        one = spark.read.parquet(f"{data}/{name}.parquet")
+        moved = one.withColumns({c: F.col(c) + 1_000_000 for c in ("s_suppkey", "o_orderkey", "l_orderkey", "l_suppkey") if c in one.columns})
+        one.union(moved).write.parquet(f"{tmp_path}/{name}.parquet")
+    leagues = {r.league: r.n for r in stream_queries.league_bouts(spark, str(tmp_path)).groupBy("league").agg(F.count("*").alias("n")).collect()}
+    assert len(leagues) == 2 and len(set(leagues.values())) == 1

@@ -5,7 +5,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from ringside.operators import meetings, ratings
+from ringside.operators import history, meetings, ratings
+from ringside.plans import model_queries
 
 SCHEMA = "fest_id long, datum date, a_id long, b_id long, outcome string"
 
@@ -61,3 +62,22 @@ def test_the_last_rating_needs_no_sort(spark):
     for r in sorted(rows.collect(), key=lambda r: (r.datum, r.fest_id, r.a_id, r.b_id)):
         last |= {r.a_id: r.elo_a_post, r.b_id: r.elo_b_post}
     assert {r.athlete_id: r.elo for r in final.collect()} == {x: last.get(x, 1500.0) for x in range(12)}
+
+
+def test_forms_of_the_fold_are_those_of_windows(spark):
+    bouts = spark.createDataFrame(random_bouts(3, 80), SCHEMA)
+    points = lambda won: F.when(F.col("outcome") == won, 1.0).when(F.col("outcome") == "draw", 0.5).otherwise(0.0)
+    key = ["fest_id", "a_id", "b_id"]
+    side = bouts.select("datum", *key, F.col("a_id").alias("athlete_id"), points("win_a").alias("s")).union(bouts.select("datum", *key, "b_id", points("win_b")))
+    told = {(r.fest_id, r.a_id, r.b_id, r.athlete_id): r.form_pre for r in history.with_history(side).collect()}
+    for r in ratings.rated_apart(bouts, F.lit(1.0), form=True).collect():
+        assert (r.form_a, r.form_b) == (told[r.fest_id, r.a_id, r.b_id, r.a_id], told[r.fest_id, r.a_id, r.b_id, r.b_id])
+
+
+def test_models_train_and_test_on_written_rows(spark, data, monkeypatch):
+    """A fit reads its rows many times: none of them may rate the bouts again."""
+    plans = []
+    monkeypatch.setattr(model_queries.training, "fitted_with_model", lambda train: plans.append(train._jdf.queryExecution().toString()) or (None, None))
+    monkeypatch.setattr(model_queries.training, "drift", lambda test, *_: plans.append(test._jdf.queryExecution().toString()) or spark.sql("select 0.0 as largest"))
+    model_queries.served_model_drift(spark, data)
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)

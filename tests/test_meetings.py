@@ -54,6 +54,15 @@ def test_groups_that_never_meet_are_folded_in_several_tasks_with_the_same_rows(s
     assert sorted(map(tuple, ratings.final_ratings(apart, people).collect())) == sorted(map(tuple, ratings.final_ratings(whole, people).collect()))
 
 
+def test_large_groups_go_to_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ratings, "TASK", 60)
+    bouts = spark.createDataFrame(random_bouts(12, 60), SCHEMA)
+    apart = ratings.rated_apart(bouts, F.lit(0.5))
+    held = apart.select(F.spark_partition_id().alias("p"), F.floor(F.col("a_id") / 100).alias("league")).distinct().groupBy("p").count()
+    assert {r["count"] for r in held.collect()} == {1} and held.count() == 12
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, ratings.rated(bouts, F.lit(0.5)).collect()))
+
+
 def test_the_last_rating_needs_no_sort(spark):
     rows = ratings.rated(spark.createDataFrame(random_bouts(1, 40), SCHEMA), F.lit(1.0))
     final = ratings.final_ratings(rows, spark.range(12).withColumnRenamed("id", "athlete_id"))

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from ringside.operators import history, meetings, ratings
-from ringside.plans import model_queries
+from ringside.plans import model_queries, registry
 
 SCHEMA = "fest_id long, datum date, a_id long, b_id long, outcome string"
 
@@ -90,3 +90,34 @@ def test_models_train_and_test_on_written_rows(spark, data, monkeypatch):
     monkeypatch.setattr(model_queries.training, "drift", lambda test, *_: plans.append(test._jdf.queryExecution().toString()) or spark.sql("select 0.0 as largest"))
     model_queries.served_model_drift(spark, data)
     assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
+
+
+def test_last_ratings_come_out_of_the_fold_without_bouts(spark, monkeypatch):
+    """Same rows as from all rated bouts, of which none leaves the fold; several groups may share a task."""
+    monkeypatch.setattr(ratings, "TASK", 200)
+    bouts = spark.createDataFrame(random_bouts(12, 60), SCHEMA)
+    people = spark.range(1300).withColumnRenamed("id", "athlete_id")
+    whole = ratings.final_ratings(ratings.rated(bouts, F.lit(0.5)), people)
+    last = ratings.final_apart(bouts, F.lit(0.5), people)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, whole.collect()))
+    assert "elo_a_post" not in last._jdf.queryExecution().toString()
+    none = ratings.final_apart(bouts.limit(0), F.lit(0.5), spark.range(2).withColumnRenamed("id", "athlete_id"))
+    assert sorted(map(tuple, none.collect())) == [(0, 1500.0, 0), (1, 1500.0, 0)]
+
+
+def test_favourites_read_last_ratings_only(spark, data):
+    assert "elo_a_post" not in registry.QUERIES["favourites"](spark, data)._jdf.queryExecution().toString()
+
+
+def test_fests_of_any_number_keep_their_order(spark):
+    """Day and fest are one number to the sort, as far as they fit."""
+    fests = [-5, -1, 0, 3, (1 << 40) - 1, 1 << 40, (1 << 40) + 7, 1 << 62]
+    rows = [(f, date(1960 + 5 * (i % 13), 1, 1 + i % 3), 1 + i % 2, 3 + i % 2, ["win_a", "draw", "win_b"][i % 3]) for i, f in enumerate(fests * 5)]
+    rating, told = {}, {}
+    for f, day, a, b, outcome in sorted(set(rows), key=lambda r: (r[1], r[0], r[2], r[3])):
+        ra, rb = rating.get(a, 1500.0), rating.get(b, 1500.0)
+        step = 24.0 * (ratings.POINTS[outcome] - 1 / (1 + 10 ** ((rb - ra) / 400)))
+        rating[a], rating[b] = ra + step, rb - step
+        told[f, day, a, b] = ra, rb
+    got = ratings.rated(spark.createDataFrame(sorted(set(rows), key=str), "fest_id long, datum date, a_id long, b_id long, outcome string").repartition(3), F.lit(1.0)).collect()
+    assert {(r.fest_id, r.datum, r.a_id, r.b_id): (r.elo_a_pre, r.elo_b_pre) for r in got} == told

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from ringside.operators import history, meetings, ratings
-from ringside.plans import model_queries, registry
+from ringside.plans import contest_queries, model_queries, registry
 
 SCHEMA = "fest_id long, datum date, a_id long, b_id long, outcome string"
 
@@ -109,6 +109,13 @@ def test_favourites_read_last_ratings_only(spark, data):
     assert "elo_a_post" not in registry.QUERIES["favourites"](spark, data)._jdf.queryExecution().toString()
 
 
+def test_statistics_of_associations_read_last_ratings_only(spark, data, monkeypatch):
+    plans, keep = [], contest_queries.written
+    monkeypatch.setattr(contest_queries, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    contest_queries.elo_association_stats(spark, data)
+    assert any("MapInArrow" in p for p in plans) and not any("elo_a_post" in p for p in plans)
+
+
 def test_fests_of_any_number_keep_their_order(spark):
     """Day and fest are one number to the sort, as far as they fit."""
     fests = [-5, -1, 0, 3, (1 << 40) - 1, 1 << 40, (1 << 40) + 7, 1 << 62]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringside.operators import history, meetings, ratings
 from ringside.plans import contest_queries, model_queries, registry
+from ringside.sources import contests
 
 SCHEMA = "fest_id long, datum date, a_id long, b_id long, outcome string"
 
@@ -116,6 +117,10 @@ def test_statistics_of_associations_read_last_ratings_only(spark, data, monkeypa
     assert any("MapInArrow" in p for p in plans) and not any("elo_a_post" in p for p in plans)
 
 
+def test_lists_of_athletes_read_last_ratings_only(spark, data):
+    assert "elo_a_post" not in registry.QUERIES["athlete_list"](spark, data)._jdf.queryExecution().toString()
+
+
 def test_fests_of_any_number_keep_their_order(spark):
     """Day and fest are one number to the sort, as far as they fit."""
     fests = [-5, -1, 0, 3, (1 << 40) - 1, 1 << 40, (1 << 40) + 7, 1 << 62]
@@ -128,3 +133,10 @@ def test_fests_of_any_number_keep_their_order(spark):
         told[f, day, a, b] = ra, rb
     got = ratings.rated(spark.createDataFrame(sorted(set(rows), key=str), "fest_id long, datum date, a_id long, b_id long, outcome string").repartition(3), F.lit(1.0)).collect()
     assert {(r.fest_id, r.datum, r.a_id, r.b_id): (r.elo_a_pre, r.elo_b_pre) for r in got} == told
+
+
+def test_participants_are_dealt_by_fest_in_as_many_parts_as_the_session_names(spark, data):
+    rows = contests.participants(spark, data)
+    parts = rows.select("fest_id", F.spark_partition_id().alias("p")).distinct()
+    assert parts.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts.count() == rows.select("fest_id").distinct().count()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ringside.operators import history, meetings, ratings
@@ -44,6 +45,30 @@ def test_groups_are_who_meets_whom(spark):
     assert {r.athlete_id: r.group for r in got} == plain_groups(pairs)
 
 
+def test_few_links_are_joined_in_one_task_and_many_by_stars(spark, monkeypatch):
+    draw = random.Random(4)
+    pairs = [(i, i + 1) for i in range(1000, 1040)] + [tuple(draw.sample(range(300), 2)) for _ in range(140)] + [(7_000, 7_000)]
+    draw.shuffle(pairs)
+    bouts, rounds, stars = spark.createDataFrame(pairs, "a_id long, b_id long").repartition(7), [], meetings._large_star
+    monkeypatch.setattr(meetings, "_large_star", lambda links: rounds.append(1) or stars(links))
+    for few, by_stars in ((1 << 20, False), (0, True)):
+        monkeypatch.setattr(meetings, "FEW", few)
+        got = meetings.groups(bouts).collect()
+        assert len(got) == len({r.athlete_id for r in got}) and {r.athlete_id: r.group for r in got} == plain_groups(pairs)
+        assert bool(rounds) == by_stars
+
+
+def test_the_table_of_a_forest_is_made_anew_for_a_share_of_its_athletes(monkeypatch):
+    """Made for each batch it took the square of the athletes."""
+    made, keep = [], meetings.np.array
+    monkeypatch.setattr(meetings.np, "array", lambda *a, **k: made.append(1) or keep(*a, **k))
+    n = 20_000
+    chain = pa.record_batch([pa.array(range(n)), pa.array(range(1, n + 1))], ["a", "b"])
+    got = list(meetings._forest(chain.slice(i, 20) for i in range(0, n, 20)))[0].to_pydict()
+    assert sorted(got["a"]) == list(range(n + 1)) and set(got["b"]) == {0}
+    assert len(made) < 200
+
+
 def test_groups_that_never_meet_are_folded_in_several_tasks_with_the_same_rows(spark):
     bouts = spark.createDataFrame(random_bouts(12, 60), SCHEMA)
     whole = ratings.rated(bouts, F.lit(0.5))
@@ -64,6 +89,21 @@ def test_large_groups_go_to_tasks_of_their_own(spark, monkeypatch):
     assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, ratings.rated(bouts, F.lit(0.5)).collect()))
 
 
+def test_bouts_are_dealt_once_to_the_tasks_that_fold_them(spark, monkeypatch):
+    bouts = spark.createDataFrame(random_bouts(12, 60), SCHEMA)
+    whole = sorted(map(tuple, ratings.rated(bouts, F.lit(0.5)).collect()))
+    for few, dealt in ((1 << 20, 1), (0, None)):
+        monkeypatch.setattr(meetings, "FEW", few)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            apart = ratings.rated_apart(bouts, F.lit(0.5))
+            assert sorted(map(tuple, apart.collect())) == whole
+            shuffles = apart._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ShuffleQueryStage")
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert shuffles == dealt or dealt is None and shuffles > 1
+
+
 def test_the_last_rating_needs_no_sort(spark):
     rows = ratings.rated(spark.createDataFrame(random_bouts(1, 40), SCHEMA), F.lit(1.0))
     final = ratings.final_ratings(rows, spark.range(12).withColumnRenamed("id", "athlete_id"))

@@ -180,3 +180,9 @@ def test_participants_are_dealt_by_fest_in_as_many_parts_as_the_session_names(sp
     parts = rows.select("fest_id", F.spark_partition_id().alias("p")).distinct()
     assert parts.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts.count() == rows.select("fest_id").distinct().count()
+
+
+def test_a_sorted_list_folds_its_bouts_once(spark, data):
+    """A global sort runs what it sorts twice, first to find its ranges: no fold may be below it."""
+    plan = registry.QUERIES["athlete_list_search"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "MapInArrow" not in plan

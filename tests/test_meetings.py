@@ -186,3 +186,10 @@ def test_a_sorted_list_folds_its_bouts_once(spark, data):
     """A global sort runs what it sorts twice, first to find its ranges: no fold may be below it."""
     plan = registry.QUERIES["athlete_list_search"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" in plan and "MapInArrow" not in plan
+
+
+def test_profiles_read_last_ratings_only(spark, data, monkeypatch):
+    plans, keep = [], model_queries.profiles.written
+    monkeypatch.setattr(model_queries.profiles, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    model_queries.similar_profiles(spark, data)
+    assert plans and any("MapInArrow" in p for p in plans) and not any("elo_a_post" in p for p in plans)
